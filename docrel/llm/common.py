@@ -118,3 +118,24 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+
+
+def with_result(df: DataFrame, name: str, fields: str, compute, keep: list[str] | None = None) -> DataFrame:
+    """df with one struct column more (an input column of that name is replaced); ``compute`` maps a record batch to a
+    list of dicts or None. keep: the input columns to pass on, all by default."""
+    from pyspark.sql import types as T
+
+    kept = [c for c in (keep if keep is not None else df.columns) if c != name]
+    extra = T.StructField(name, T._parse_datatype_string(fields))
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, max(1, batch.num_rows), 2000):
+                part = batch.slice(low, 2000)
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(compute(part), kind)], [*kept, name])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(extra.dataType)
+    return df.drop(name).mapInArrow(run, T.StructType([df.schema[c] for c in kept] + [extra]))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import decontamination, mixing, sharding, token_files
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_sharding": sharding.op8_sharding,
     "op10_token_files": token_files.op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE,
+}
