@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, token_files
+from . import decontamination, mixing, quality, secrets, sharding, token_files
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": quality.op9_quality,
     "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_secrets": secrets.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
