@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, secrets, sharding, token_files
+from . import decontamination, mixing, quality, secrets, sharding, substring_dedup, token_files
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontamination.op7_decontamination,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op4_secrets": secrets.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
