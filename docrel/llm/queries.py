@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, secrets, sharding, substring_dedup, token_files
+from . import cover_tree, decontamination, mixing, quality, secrets, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_top_k": cover_tree.op2_top_k,
     "op4_secrets": secrets.op4_secrets,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontamination.op7_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_top_k": cover_tree.ORACLE,
     "op4_secrets": secrets.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
