@@ -12,9 +12,13 @@ doc_ids stay as rows of their own, ordered by text; an empty table gives no file
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -102,26 +106,73 @@ class TokenFileReader:
         return list(range(low, high))
 
 
+#: A word of Latin letters (normalised as they stand, lower case letter by letter) and marks that end it.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Ids of a text as bytes. White space ends every token of these tokenizers, so each run of other characters is
-    encoded once and kept; a text is then the join of its words' ids."""
+    encoded once and kept; a text is then the join of its words' ids. A run of letters and one of marks after it are
+    tokens of their own too, so letters are encoded once for all the marks that follow them, without the normaliser."""
 
     def __init__(self, tokenizer: str, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.type, self.kept = Tokenizer.from_file(tokenizer), f"<u{width}", {}
+        self.whole, self.type = Tokenizer.from_file(tokenizer), f"<u{width}"
+        parts = json.loads(self.whole.to_str())
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.splits = [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[-1]})) if self.splits else None
+        self.kept, self.old, self.cores, self.old_cores = {}, {}, {}, {}
+
+    def _encode(self, tokenizer, new: list[str]) -> list[bytes]:
+        return [np.array(c.ids, self.type).tobytes() for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _letters(self, wanted: set[str]) -> dict[str, bytes]:
+        if len(self.cores) > CACHED_WORDS // 2:
+            self.old_cores, self.cores = self.cores, {}
+        new = []
+        for core in wanted.difference(self.cores):
+            if core in self.old_cores:
+                self.cores[core] = self.old_cores[core]
+            else:
+                new.append(core)
+        self.cores.update(zip(new, self._encode(self.bare, new), strict=True))
+        return self.cores
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, other, marks = [], [], set()
+        for w in words:
+            if w in self.old:
+                self.kept[w] = self.old[w]
+            elif self.splits and (m := PLAIN.fullmatch(w.decode("utf-8"))):
+                plain.append((w, m[1].lower(), m[2]))
+                marks.add(m[2])
+            else:
+                other.append(w)
+        marks = list(marks)
+        ends = dict(zip(marks, self._encode(self.whole, marks), strict=True))
+        cores = self._letters({core for _, core, _ in plain}) if plain else {}
+        self.kept.update((w, cores[core] + ends[mark]) for w, core, mark in plain)
+        self.kept.update(zip(other, self._encode(self.whole, [w.decode("utf-8") for w in other]), strict=True))
 
     def __call__(self, text: str | None) -> bytes:
         found = (text or "").encode("utf-8").split()
-        new = list(set(found).difference(self.kept))
+        new = set(found).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > CACHED_WORDS:
-                self.kept, new = {}, list(set(found))
-            coded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-            self.kept.update((w, np.array(c.ids, self.type).tobytes()) for w, c in zip(new, coded, strict=True))
+            if len(self.kept) > CACHED_WORDS:
+                self.old, self.kept, new = self.kept, {}, set(found)
+            self._learn(new)
         return b"".join(map(self.kept.__getitem__, found))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer: str, width: int) -> WordEncoder:
+    """One per Python process, so that it serves all the tasks that run there."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(tokenizer, width)
+
+
 def write_token_files(df: DataFrame, tokenizer: str, out: str, end_id: int = 2, files: int | None = None) -> DataFrame:
     """Writes df (doc_id, text) to files of ``out``; a row per file: its name, order, documents and ids."""
     from tokenizers import Tokenizer
@@ -130,15 +181,12 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, end_id: int = 2,
     width = 2 if max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
 
     def write(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, writer, encode, ids = TaskContext.get().partitionId(), None, None, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if writer is None:
                     writer = TokenFileWriter(f"{out}/ids-{part:06d}.zst", width)
-                    encode, end = WordEncoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+                    encode, end = word_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
                 coded = encode(text) + end
                 writer.write(doc, coded)
                 ids += len(coded) // width
