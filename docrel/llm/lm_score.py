@@ -7,7 +7,7 @@ back), hashed into a weight table; the word is predicted from its class by its a
 
 All training documents count: word counts, and counts of (three classes before, class), whose table cannot exceed 64^4
 cells whatever the corpus. Each training step sends the weights to the tasks that hold that table, gathers their
-gradients of the exact log likelihood, and moves the weights (Adam). Scoring takes documents in batches, computes the
+gradients of the exact log likelihood, and moves the weights (penalised, scaled by curvature, with momentum). Scoring takes documents in batches, computes the
 softmax once per distinct history in sparse numpy form, and sums per document. The KNOWN_WORDS most frequent words go
 to the tasks; counts of all rarer words are joined in Spark, per document and word, so the vocabulary may grow freely.
 
@@ -32,7 +32,7 @@ CLASSES, SINGLE, ENDINGS = 64, 23, 36
 #: Words sent to the tasks with their counts (some 20 MB); counted words and class histories held before they are passed on.
 KNOWN_WORDS, HELD_WORDS, HELD_CODES = 200_000, 200_000, 1 << 21
 ROWS = 1 << 14
-STEPS, TASKS = 24, 8
+STEPS, TASKS, PENALTY = 10, 8, 4.0
 #: Not a word, as words hold no white space.
 END = b"\n"
 #: Places back that each feature looks at.
@@ -100,21 +100,25 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
-def gradient(weights: np.ndarray, history: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Of the log likelihood of counts (histories x classes), and that likelihood."""
-    out, total = np.zeros_like(weights), 0.0
+def add_to_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each history's values to the rows of all its features."""
+    for k in range(rows.shape[1]):
+        order = np.argsort(rows[:, k], kind="stable")
+        ids = rows[order, k]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        out[ids[first]] += np.add.reduceat(values[order], first)
+
+
+def gradient(weights: np.ndarray | None, history: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of the log likelihood of counts (histories x classes): observed less expected counts of every feature and
+    class; without weights, the observed ones alone."""
+    out = np.zeros((ROWS, CLASSES), np.float32)
     for low in range(0, len(history), 8192):
         part = counts[low : low + 8192]
         rows = feature_rows(history[low : low + 8192])
-        log_p = log_softmax(weights, rows)
-        total += float((part * log_p).sum())
-        rest = part - part.sum(1, keepdims=True) * np.exp(log_p)
-        for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k], kind="stable")
-            ids = rows[order, k]
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            out[ids[first]] += np.add.reduceat(rest[order], first)
-    return out, total
+        rest = part if weights is None else part - part.sum(1, keepdims=True) * np.exp(log_softmax(weights, rows))
+        add_to_rows(out, rows, rest)
+    return out
 
 
 @dataclass
@@ -165,43 +169,47 @@ def history_counts(docs: DataFrame, known: dict[bytes, int], class_of: np.ndarra
     return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """codes: (code, n). Full-batch gradient steps, each a job over the same partitions of histories."""
+def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
+    """codes: (code, n). Full-batch steps, each a job over the same partitions of histories, along the gradient of the
+    penalised log likelihood scaled by its curvature, with momentum."""
     spark = codes.sparkSession
-    by_history = materialize(
-        codes.groupBy(F.shiftright("code", 6).alias("history")).agg(F.collect_list(F.struct((F.col("code") % CLASSES).cast("int").alias("c"), "n")).alias("after"))
-    ).repartition(TASKS, "history")
-    by_history = materialize(by_history)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    weights[feature_rows(np.zeros(1, np.int64))[0, 0]] = np.log(prior)
-    mean, square = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, steps + 1):
+    after = F.collect_list(F.struct((F.col("code") % CLASSES).cast("int").alias("c"), "n")).alias("after")
+    by_history = codes.groupBy(F.shiftright("code", 6).alias("history")).agg(after)
+    by_history = materialize(by_history.repartition(TASKS, "history"))
+
+    def gathered(weights: np.ndarray | None) -> np.ndarray:
         sent = spark.sparkContext.broadcast(weights)
 
-        def part(batches, sent=sent):
-            total, value, seen = None, 0.0, 0.0
+        def part(batches):
+            total = None
             for batch in batches:
                 after = batch.column("after")
                 sizes = np.diff(after.offsets.to_numpy())
                 inner = after.flatten()
                 counts = np.zeros((batch.num_rows, CLASSES), np.float32)
                 counts[np.repeat(np.arange(batch.num_rows), sizes), inner.field("c").to_numpy()] = inner.field("n").to_numpy()
-                g, v = gradient(sent.value, batch.column("history").to_numpy(), counts)
+                g = gradient(sent.value, batch.column("history").to_numpy(), counts)
                 total = g if total is None else total + g
-                value, seen = value + v, seen + float(counts.sum())
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([value]), pa.array([seen])], ["g", "value", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
-        found = by_history.mapInArrow(part, "g binary, value double, seen double").collect()
+        out = np.zeros((ROWS, CLASSES), np.float32)
+        for r in by_history.mapInArrow(part, "g binary").collect():
+            out += np.frombuffer(r["g"], np.float32).reshape(out.shape)
         sent.destroy()
-        seen = sum(r["seen"] for r in found)
-        if not seen:
-            break
-        g = sum(np.frombuffer(r["g"], np.float32).reshape(weights.shape) for r in found) / seen
-        mean = 0.8 * mean + 0.2 * g
-        square = 0.95 * square + 0.05 * g * g
-        rate = 0.35 * (1 - (step - 1) / steps) + 0.02
-        weights = (weights + rate * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)).astype(np.float32)
+        return out
+
+    start = np.zeros((ROWS, CLASSES), np.float32)
+    start[feature_rows(np.zeros(1, np.int64))[0, 0]] = np.log(prior)
+    observed = gathered(None)
+    times = np.maximum(observed.sum(1, keepdims=True), 1)
+    weights, pace = start, np.zeros_like(start)
+    for _ in range(steps):
+        g = gathered(weights)
+        expected = observed - g
+        curve = expected * (1 - expected / times) + penalty
+        pace = 0.5 * pace + 0.3 * np.clip((g - penalty * (weights - start)) / curve, -1, 1)
+        weights = (weights + pace).astype(np.float32)
     return weights
 
 
