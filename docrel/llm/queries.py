@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import cover_tree, decontamination, lm_score, mixing, quality, secrets, sharding, substring_dedup, token_files
+from . import cover_tree, decontamination, lm_score, mixing, near_copies, quality, secrets, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_top_k": cover_tree.op2_top_k,
     "op3_lm_score": lm_score.op3_lm_score,
     "op4_secrets": secrets.op4_secrets,
+    "op5_near_copies": near_copies.op5_near_copies,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
