@@ -1,5 +1,6 @@
 """Substring dedup: passages that recur across documents, located by sharded Aho-Corasick automata.
 
+0. Of texts that are equal as a whole, all but the one of the smallest doc_id are set aside: they lose every word.
 1. Every window of 13 words is represented by the smallest hash of its runs of 5 words (its anchor): equal windows
    have equal anchors, wherever they stand. Anchors seen in one document only rule out all their windows, so one
    narrow aggregation of anchors, a fifth as many as words, finds where recurring passages can be at all.
@@ -23,17 +24,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, table, text_chunks, with_result, words
+from .common import Words, materialize, mix, spans_hash, table, text_chunks, with_result, words
 
 WINDOW, GRAM = 13, 5
 #: Documents from which on an anchor is dealt out by window.
 HOT_DOCS = 1000
-#: Distinct stretches that one automaton serves.
-AUTOMATON_ROWS = 20_000
+#: Distinct stretches that one automaton serves, and that a task gathers before it passes them on.
+AUTOMATON_ROWS, HELD_STRETCHES = 20_000, 100_000
 
 
 def stretches(found: Words, window: int, gram: int):
@@ -63,15 +63,18 @@ def stretches(found: Words, window: int, gram: int):
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id), once per document."""
+    """(anchor, doc_id), once per document; copies of a text stand for nothing new."""
 
     def find(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            skip = copies_in(batch)
             for low, high, data, offsets in text_chunks(batch, "text"):
                 found = Words(data, offsets)
                 first, _, anchor = stretches(found, window, gram)
                 doc = found.doc[first]
+                own = ~skip[low:high][doc]
+                doc, anchor = doc[own], anchor[own]
                 order = np.lexsort((anchor, doc))
                 doc, anchor = doc[order], anchor[order]
                 new = np.ones(len(doc), bool)
@@ -81,42 +84,95 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(find, "anchor long, doc_id long")
 
 
-def places(marked: DataFrame, window: int, gram: int, with_words: bool) -> DataFrame:
-    """The stretches whose anchor is among the document's ``anchors`` (or, dealt out by window, among its ``hot``)."""
-    fields = "doc_id long, tag long, place int, route long, digest long" + ", stretch binary" * with_words
+def tag_of(text: str | None) -> int:
+    return zlib.crc32((text or "").encode("utf-8"))
+
+
+def copies_in(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows hold a text that a smaller doc_id holds too."""
+    out = np.zeros(batch.num_rows, bool)
+    copied = batch.column("copied").to_pylist()
+    for k in np.flatnonzero([c is not None for c in copied]):
+        out[k] = tag_of(batch.column("text")[int(k)].as_py()) in copied[k]
+    return out
+
+
+def places(batch: pa.RecordBatch, window: int, gram: int):
+    """The stretches of a batch whose anchor is among the document's ``anchors``, or, dealt out by window, its ``hot``.
+
+    Per run of rows: row, first word in the text, route, digest, first word and end in the buffer (arrays), the words."""
+    skip = copies_in(batch)
+    for low, high, data, offsets in text_chunks(batch, "text"):
+        found = Words(data, offsets)
+        first, count, anchor = stretches(found, window, gram)
+        doc = found.doc[first]
+        row_of = mix(np.arange(high - low, dtype=np.uint64) + np.uint64(1))
+        joined = anchor ^ row_of[doc]
+        part = []
+        for column in ("anchors", "hot"):
+            lists = batch.column(column).slice(low, high - low)
+            sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            part.append(np.isin(joined, values ^ np.repeat(row_of, sizes)))
+        known, hot = part
+        keep = (known | hot) & ~skip[low:high][doc]
+        first, count, anchor, hot = first[keep], count[keep], anchor[keep], hot[keep]
+        times = np.where(hot, count, 1)
+        at = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        hot = np.repeat(hot, times)
+        end = at + np.where(hot, 1, np.repeat(count, times)) + window - 1
+        digest = spans_hash(found.hash, at, end)
+        route = np.where(hot, digest, np.repeat(anchor, times)).view(np.int64)
+        row = found.doc[at]
+        yield low + row, at - found.first[row], route, digest.view(np.int64), at, end, found
+
+
+def distinct_stretches(marked: DataFrame, window: int, gram: int) -> DataFrame:
+    """(route, digest, stretch, first, last): stretches with the first and last document that holds them, each once per
+    HELD_STRETCHES that a task sees."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    names = ["route", "digest", "stretch", "first", "last"]
+
+    def out(held):
+        columns = list(zip(*((r, d, *x) for (r, d), x in held.items()), strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def find(batches):
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            lists = [[np.array(x or (), np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in ("anchors", "hot")]
-            for low, _, data, offsets in text_chunks(batch, "text"):
-                found = Words(data, offsets)
-                first, count, anchor = stretches(found, window, gram)
-                doc = found.doc[first]
-                rows: list[tuple] = []
-                edge = np.searchsorted(doc, np.arange(len(offsets)))
-                raw = data.tobytes()
-                for d in range(len(offsets) - 1):
-                    own = slice(edge[d], edge[d + 1])
-                    if own.start == own.stop:
-                        continue
-                    tag = zlib.crc32(raw[offsets[d] : offsets[d + 1]])
-                    begin = found.first[d]
-                    known, hot = (np.isin(anchor[own], x[low + d]) for x in lists)
-                    for f, c, a, h in zip(first[own][known | hot].tolist(), count[own][known | hot].tolist(), anchor[own].view(np.int64)[known | hot].tolist(), hot[known | hot].tolist(), strict=True):
-                        cuts = [(f + k, 1) for k in range(c)] if h else [(f, c)]
-                        for at, n in cuts:
-                            last = at + n + window - 2
-                            # words joined by one space, whatever white space stood between them
-                            stretch = b" ".join(raw[found.start[at] : found.end[last]].split())
-                            digest = xxhash.xxh3_64_intdigest(stretch) - (1 << 63)
-                            rows.append((ids[low + d], tag, at - begin, digest if h else a, digest, stretch))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                names = ["doc_id", "tag", "place", "route", "digest", "stretch"][: 5 + with_words]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names)
-
-    return marked.mapInArrow(find, fields)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, _, route, digest, at, end, found in places(batch, window, gram):
+                raw = found.data.tobytes()
+                start, stop = found.start[at].tolist(), found.end[end - 1].tolist()
+                for d, r, g, s, e in zip(ids[row].tolist(), route.tolist(), digest.tolist(), start, stop, strict=True):
+                    seen = held.get((r, g))
+                    if seen is None:
+                        # words joined by one space, whatever white space stood between them
+                        held[r, g] = [b" ".join(raw[s:e].split()), d, d]
+                    elif d < seen[1]:
+                        seen[1] = d
+                    elif d > seen[2]:
+                        seen[2] = d
+                if len(held) > HELD_STRETCHES:
+                    yield out(held)
+                    held = {}
+        yield out(held)
+
+    return marked.mapInArrow(find, "route long, digest long, stretch binary, first long, last long")
+
+
+def placed_stretches(marked: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, tag, place, route, digest) of every stretch."""
+
+    def find(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            tags = np.array([tag_of(t) if a or h else 0 for t, a, h in zip(*(batch.column(c).to_pylist() for c in ("text", "anchors", "hot")), strict=True)])
+            for row, place, route, digest, _, _, _ in places(batch, window, gram):
+                arrays = [pa.array(x) for x in (ids[row].astype(np.int64), tags[row].astype(np.int64), place.astype(np.int32), route, digest)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "place", "route", "digest"])
+
+    return marked.mapInArrow(find, "doc_id long, tag long, place int, route long, digest long")
 
 
 def located(rows: list[tuple], window: int):
@@ -124,6 +180,11 @@ def located(rows: list[tuple], window: int):
     that has it, or None if no other has) for stretches with any such window."""
     import ahocorasick
 
+    once: dict[tuple[int, int], tuple] = {}
+    for r in rows:
+        seen = once.get(r[:2])
+        once[r[:2]] = r if seen is None else (*r[:3], min(r[3], seen[3]), max(r[4], seen[4]))
+    rows = list(once.values())
     number: dict[bytes, int] = {}
     coded, docs = [], {}
     for _, _, stretch, first, last in rows:
@@ -171,10 +232,19 @@ def run_automata(distinct: DataFrame, window: int) -> DataFrame:
     return distinct.repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, digest long, firsts array<long>")
 
 
+def with_copies(df: DataFrame) -> DataFrame:
+    """df with ``copied``: the crc32 of those texts of its doc_id that a smaller doc_id holds too."""
+    texts = df.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.md5("text")).alias("h"), F.crc32("text").alias("tag"))
+    first = texts.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    copies = texts.join(first, "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
+    return df.drop("copied").join(copies, "doc_id", "left")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, windows): for each document with any, the windows that also start in a document with a smaller doc_id,
-    as structs of the text's crc32 and places (word numbers from 0)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    """docs: (doc_id, text, copied). (doc_id, windows): for each document with any, the windows that also start in a
+    document with a smaller doc_id, as structs of the text's crc32 and places (word numbers from 0); whole copies of
+    another document's text are not among them."""
+    docs = docs.where("doc_id is not null and text is not null")
     found = anchors(docs, window, gram).repartition("anchor")
     many = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     recurring = many.where("low < high").select("anchor", (F.col("n") > HOT_DOCS).alias("is_hot"))
@@ -182,34 +252,37 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")
     )
     marked = docs.join(materialize(listed), "doc_id")
-    distinct = places(marked, window, gram, True).groupBy("route", "digest", "stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    reports = run_automata(distinct, window)
+    reports = run_automata(distinct_stretches(marked, window, gram), window)
     starts = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("place") + k)), lambda p: p.isNotNull())
-    joined = places(marked, window, gram, False).join(reports, ["route", "digest"]).select("doc_id", "tag", starts.alias("starts")).where(F.size("starts") > 0)
-    return joined.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts")).alias("windows"))
+    joined = placed_stretches(marked, window, gram).join(reports, ["route", "digest"]).select("doc_id", "tag", starts.alias("starts"))
+    return joined.where(F.size("starts") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts")).alias("windows"))
 
 
 def remove_repeats(df: DataFrame, name: str = "dedup", window: int = WINDOW, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
     """df with a struct: n_words, n_removed, kept (the words that stay, joined by one space)."""
-    keep = keep if keep is not None else df.columns
-    joined = df.join(repeats(df, window, gram).withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc").withColumnRenamed("windows", "__windows")
+    keep = [c for c in (keep if keep is not None else df.columns) if c != name]
+    if df.schema["doc_id"].dataType.simpleString() != "bigint":
+        df = df.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if name in ("doc_id", "text"):
+        raise ValueError(name)
+    whole = with_copies(df)
+    joined = whole.join(repeats(whole.select("doc_id", "text", "copied"), window, gram).withColumnRenamed("windows", "__windows"), "doc_id", "left")
 
     def compute(batch):
-        out = []
-        for text, windows in zip(batch.column("text").to_pylist(), batch.column("__windows").to_pylist(), strict=True):
+        out, copy = [], copies_in(batch)
+        for k, (text, windows) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__windows").to_pylist(), strict=True)):
             w = words(text)
-            if windows:
-                tag = zlib.crc32(text.encode("utf-8"))
-                covered = np.zeros(len(w) + 1, np.int64)
+            kept = w
+            if copy[k]:
+                kept = w if len(w) < window else []
+            elif windows:
+                tag, covered = tag_of(text), np.zeros(len(w) + 1, np.int64)
                 for part in windows:
                     if part["tag"] == tag:
                         starts = np.array(part["starts"])
                         np.add.at(covered, starts, 1)
                         np.add.at(covered, starts + window, -1)
-                stay = (np.cumsum(covered)[:-1] == 0).tolist()
-                kept = [x for x, s in zip(w, stay, strict=True) if s]
-            else:
-                kept = w
+                kept = [x for x, c in zip(w, np.cumsum(covered)[:-1].tolist(), strict=True) if not c]
             out.append({"n_words": len(w), "n_removed": len(w) - len(kept), "kept": b" ".join(kept).decode("utf-8")})
         return out
 
