@@ -1,4 +1,463 @@
 """The registered queries of the core operators and the SQL that checks them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import derived as D
+from .derived import table
+from .functions import text as X
+from .functions import variants as V
+from .operators import flatten as FL
+from .operators import profile as P
+from .operators.collect import plan_documents, profile_documents
+from .operators.load import encode_key, upserted, without_keys
+from .operators.walk import facts, first_paths
+from .plans import nesting, render
+from .plans.infer import Profile, bi_type, declared_type
+from .sources import documents as S
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Sources -------------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey > 1000")
+def scan_filter_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    return S.after(table(spark, sf, "orders"), "o_orderkey", 1000).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select count(*) as n from events where event_type = 'error'")
+def estimated_count_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return S.count(table(spark, sf, "events"), "event_type = 'error'")
+
+
+@query("select o_orderkey, o_orderstatus from orders order by (o_orderkey * 7919) % 10007, o_orderkey limit 100")
+def sample_deterministic(spark: SparkSession, sf: str) -> DataFrame:
+    order = (F.col("o_orderkey") * 7919) % 10007
+    return S.sample(table(spark, sf, "orders"), 100, "o_orderkey", order=order).select("o_orderkey", "o_orderstatus")
+
+
+# Path facts ----------------------------------------------------------------------------------------------------------
+
+
+@query("""select 'k' as path, 'int' as type, count(*) as n, cast(min(x) as double) as lo, cast(max(x) as double) as hi
+from (select cast(j.value as bigint) as x from events, json_each(props) as j where j.key = 'k')""")
+def facts_json_props(spark: SparkSession, sf: str) -> DataFrame:
+    found = facts(D.prop_docs(spark, sf).persist())
+    return found.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+@query("""with o as (select count(*) as n from orders), l as (select count(*) as n from lineitem)
+select path, type, n from (values ('_id', 'int'), ('status', 'string'), ('customer', 'object'), ('customer.name', 'string'), ('customer.segment', 'string'),
+  ('customer.nation', 'object'), ('customer.nation.name', 'string'), ('customer.nation.region', 'string'), ('items', 'array')) v(path, type), o
+union all select path, type, n from (values ('items[]', 'object'), ('items[].part', 'int'), ('items[].supp', 'int'), ('items[].qty', 'double'), ('items[].price', 'double')) v(path, type), l""")
+def facts_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(D.order_docs(spark, sf).persist()).groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@query("""select unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as path,
+  unnest(['int64', 'string', 'int', 'double', 'string']) as type, (select count(*) from customer) as n""")
+def facts_flat(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.profile_typed(table(spark, sf, "customer"), "c_custkey")
+    return rows.select("path", F.explode("types").alias("type", "n"))
+
+
+_MIX = """mix as (select 'mix' as path, case event_type when 'signup' then 'int' when 'purchase' then 'double' when 'error' then 'string' when 'view' then 'object' else 'null' end as type,
+  event_id, user_id, event_type from events)"""
+
+
+@query(f"""with {_MIX} select path, type, count(*) as n from mix group by all
+union all select 'mix.k', 'int', count(*) from mix where type = 'object'
+union all select '_id', 'int', count(*) from events where event_id % 10 <> 7
+union all select 'note', 'string', count(*) from events where user_id % 3 = 0""")
+def type_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = profile_documents(D.mixed_docs(spark, sf))
+    return rows.select("path", F.explode("types").alias("type", "n"))
+
+
+@query(f"""with {_MIX}, t as (select type, count(*) as n, min(event_id) as first from mix where type <> 'null' group by type)
+select 'mix' as path, (select count(*) from mix) as present, (select count(*) from mix where type = 'null') as nulls, (select arg_max(type, (n, -first)) from t) as dominant
+union all select 'mix.k', count(*), 0, 'int' from mix where type = 'object'
+union all select '_id', count(*), 0, 'int' from events where event_id % 10 <> 7
+union all select 'note', count(*), 0, 'string' from events where user_id % 3 = 0""")
+def presence_dominant_type(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = profile_documents(D.mixed_docs(spark, sf))
+    return rows.select("path", "present", "nulls", "dominant")
+
+
+@query("""select 'mix' as path, 1.0 :: double as fill union all select 'mix.k', 1.0
+union all select '_id', (select count(*) from events where event_id % 10 <> 7) / (select count(*) from events)
+union all select 'note', (select count(*) from events where user_id % 3 = 0) / (select count(*) from events)""")
+def fill_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = profile_documents(D.mixed_docs(spark, sf))
+    return rows.select("path", "fill")
+
+
+@query("""select path from (values ('_id'), ('customer'), ('customer.name'), ('customer.nation'), ('customer.nation.name')) v(path) where exists (select 1 from orders)""")
+def path_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return first_paths(facts(D.order_docs(spark, sf).persist()), 5)
+
+
+# Measures of the profile ----------------------------------------------------------------------------------------------
+
+_UNITS = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+@query(f"""select 'documents' as source, lang as part, cast(max({_UNITS.format("text")}) as bigint) as units from documents group by lang
+union all select 'pages', 'html', cast(max({_UNITS.format("html")}) as bigint) from pages""")
+def max_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("part")).agg(F.max(X.utf16_len(F.col("text"))).alias("units"))
+    pages = table(spark, sf, "pages").agg(F.lit("html").alias("part"), F.max(X.utf16_len(F.col("html"))).alias("units"))
+    return docs.select(F.lit("documents").alias("source"), "*").unionByName(pages.select(F.lit("pages").alias("source"), "*"))
+
+
+@query("select lang, arg_max(left(text, 80), (length(text), -doc_id)) as longest from documents group by lang")
+def longest_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy("lang").agg(F.max_by(F.left("text", F.lit(80)), F.struct(X.utf16_len(F.col("text")), -F.col("doc_id"))).alias("longest"))
+
+
+def _distinct_sql() -> str:
+    cols = [("orders", c) for c in ("o_orderstatus", "o_orderpriority")] + [("part", c) for c in ("p_name", "p_brand", "p_type")]
+    return " union all ".join(
+        f"select '{c}' as path, case when count(distinct {c}) <= 50 then string_agg(distinct {c}, '|' order by {c}) end as distinct_values from {t} where length({c}) <= 200" for t, c in cols
+    )
+
+
+@query(_distinct_sql())
+def bounded_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.profile_typed(table(spark, sf, "orders"), "o_orderkey").unionByName(P.profile_typed(table(spark, sf, "part"), "p_partkey"))
+    return rows.where("element_at(types, 'string') > 0").select("path", F.array_join("distinct_values", "|").alias("distinct_values"))
+
+
+def _range_sql() -> str:
+    return " union all ".join(
+        f"select '{c}' as path, cast(min({c}) as double) as num_min, cast(max({c}) as double) as num_max, {odd} as non_integral, count(*) as present from lineitem"
+        for c, odd in [(c, "false") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")] + [(c, f"bool_or({c} <> trunc({c}))") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    )
+
+
+@query(_range_sql())
+def numeric_range(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.profile_typed(table(spark, sf, "lineitem"), "l_orderkey")
+    return rows.where("num_min is not null").select("path", "num_min", "num_max", "non_integral", "present")
+
+
+@query("""select 'messages' as path, max(n) as array_max, cast(sum(n) as bigint) as array_total from (select count(*) as n from conversations group by conv_id)
+union all select 'embedding', max(len(embedding)), cast(sum(len(embedding)) as bigint) from embeddings""")
+def array_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.profile_typed(D.conversation_rows(spark, sf), "_id").unionByName(P.profile_typed(table(spark, sf, "embeddings"), "vec_id"))
+    return rows.where("dominant = 'array'").select("path", "array_max", "array_total")
+
+
+_LINES = "(select count(*) from lineitem)"
+
+
+@query(f"""with o as (select * from orders), c as (select * from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join orders on o_custkey = c_custkey)
+select '_id' as path, count(*) as present, cast(0 as bigint) as max_utf16, min(o_orderkey) :: double as num_min, max(o_orderkey) :: double as num_max from o
+union all select 'status', count(*), max(length(o_orderstatus)), null, null from o
+union all select 'customer', count(*), 0, null, null from o
+union all select 'customer.name', count(*), max(length(c_name)), null, null from c
+union all select 'customer.segment', count(*), max(length(c_mktsegment)), null, null from c
+union all select 'customer.nation', count(*), 0, null, null from o
+union all select 'customer.nation.name', count(*), max(length(n_name)), null, null from c
+union all select 'customer.nation.region', count(*), max(length(r_name)), null, null from c
+union all select 'items', count(*), 0, null, null from o
+union all select 'items[]', {_LINES}, 0, null, null
+union all select 'items[].part', count(*), 0, min(l_partkey), max(l_partkey) from lineitem
+union all select 'items[].supp', count(*), 0, min(l_suppkey), max(l_suppkey) from lineitem
+union all select 'items[].qty', count(*), 0, min(l_quantity), max(l_quantity) from lineitem
+union all select 'items[].price', count(*), 0, min(l_extendedprice), max(l_extendedprice) from lineitem""")
+def profile_nested(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.profile_typed(D.order_rows(spark, sf), "_id")
+    return rows.select("path", "present", "max_utf16", "num_min", "num_max")
+
+
+# Maps, types, shapes ---------------------------------------------------------------------------------------------------
+
+
+@query("""with slot as (select distinct l_orderkey, l_suppkey from lineitem), docs as (select count(distinct l_orderkey) as n from lineitem),
+child as (select l_suppkey, count(*) / (select n from docs) as fill from slot group by l_suppkey)
+select 'slots' as path, count(*) as keys, round(avg(fill), 9) as avg_fill, cast(max(length(concat('s', l_suppkey))) as bigint) as key_max_utf16 from child
+having count(*) >= 30 and avg(fill) <= 0.2""")
+def map_detection(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = profile_documents(D.slot_docs(spark, sf))
+    return P.maps(rows).select("path", "keys", F.round("avg_fill", 9).alias("avg_fill"), "key_max_utf16")
+
+
+def _bucket(units: str) -> str:
+    need = f"greatest(1, ceil({units} * 1.5))"
+    return "case " + " ".join(f"when {need} <= {w} then 'NVARCHAR({w})'" for w in X.WIDTHS) + " else 'NVARCHAR(MAX)' end"
+
+
+@query(f"select source, {_bucket('max(length(text))')} as sql_type, {_bucket('max(length(lang))')} as lang_type from documents group by source")
+def nvarchar_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    units = lambda c: F.max(X.utf16_len(F.col(c)))
+    widths = table(spark, sf, "documents").groupBy("source").agg(units("text").alias("t"), units("lang").alias("l"))
+    return widths.select("source", X.text_type(F.col("t")).alias("sql_type"), X.text_type(F.col("l")).alias("lang_type"))
+
+
+_TYPED = {
+    "orders": ("o_orderkey", {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderstatus": None, "o_totalprice": "FLOAT", "o_orderdate": "DATETIME2(3)", "o_orderpriority": None}),
+    "part": ("p_partkey", {"p_partkey": "BIGINT", "p_name": None, "p_brand": None, "p_type": None, "p_size": "INT", "p_retailprice": "FLOAT"}),
+    "customer": ("c_custkey", {"c_custkey": "BIGINT", "c_name": None, "c_nationkey": "INT", "c_acctbal": "FLOAT", "c_mktsegment": None}),
+}
+
+
+def _inferred(spark: SparkSession, sf: str) -> list[tuple[str, str, str, bool]]:
+    out = []
+    for name, (key, _) in _TYPED.items():
+        df = table(spark, sf, name)
+        n = df.count()
+        profile = Profile.collect(P.with_fill(P.profile_typed(df, key), n), n)
+        out += [(name, s.path, declared_type(s)[0], s.nullable) for s in profile.stats.values()]
+    return out
+
+
+def _inference_sql(value) -> str:
+    return " union all ".join(
+        f"select '{t}' as collection, '{c}' as path, {value(c, kind)}, count(*) filter ({c} is null) > 0 as nullable from {t}" for t, (_, cols) in _TYPED.items() for c, kind in cols.items()
+    )
+
+
+@query(_inference_sql(lambda c, kind: (f"'{kind}'" if kind else _bucket(f"max(length({c}))")) + " as sql_type"))
+def sql_type_inference(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_inferred(spark, sf), "collection string, path string, sql_type string, nullable boolean")
+
+
+_BI = {"BIGINT": "int64", "FLOAT": "float64", "DATETIME2(3)": "date", "INT": "int", None: "varchar"}
+
+
+@query(_inference_sql(lambda c, kind: f"'{_BI[kind]}' as bi_type"))
+def drdl_types(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(t, c, bi_type(kind), null) for t, c, kind, null in _inferred(spark, sf)]
+    return spark.createDataFrame(rows, "collection string, path string, bi_type string, nullable boolean")
+
+
+@query("""select kind, paths from (values ('top_arrays', 'items'), ('nested_arrays', ''), ('top_objects', 'customer'), ('nested_objects', 'customer.nation,items[]')) v(kind, paths)
+where exists (select 1 from orders)""")
+def shape_lists(spark: SparkSession, sf: str) -> DataFrame:
+    rows, n = profile_documents(D.order_docs(spark, sf))
+    shape = nesting.describe_shape(Profile.collect(rows, n))
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in shape.items() if k != "documents"], "kind string, paths string")
+
+
+@query(r"""with s as (select p_partkey, regexp_replace(regexp_replace(concat(p_partkey % 3, ' ', p_name, ' é'), '[^0-9A-Za-z_]+', '_', 'g'), '_+$', '') as a,
+  regexp_replace(regexp_replace(p_type, '[^0-9A-Za-z_]+', '_', 'g'), '_+$', '') as b from part)
+select p_partkey, left(concat('c_', a), 120) as from_name, left(case when b = '' then 'col' else b end, 120) as from_type from s""")
+def sql_ident(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.col("p_partkey") % 3, F.lit(" "), "p_name", F.lit(" é"))
+    return table(spark, sf, "part").select("p_partkey", X.identifier(name).alias("from_name"), X.identifier(F.col("p_type")).alias("from_type"))
+
+
+# Plans and flattening --------------------------------------------------------------------------------------------------
+
+
+def _flat(docs: DataFrame, collection: str, strategy: str = "deep") -> tuple[nesting.Plan, dict[str, DataFrame]]:
+    plan, _ = plan_documents(docs, collection, strategy)
+    return plan, {n: df.drop("__clipped") for n, df in FL.flatten(docs, plan).items()}
+
+
+@query("""select o_orderkey as mongo_id, o_orderstatus as status, c_name as customer_name, c_mktsegment as customer_segment, n_name as customer_nation_name, r_name as customer_nation_region
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def flatten_root_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(D.order_docs(spark, sf), "orders")[1]["orders"].withColumn("mongo_id", F.col("mongo_id").cast("long"))
+
+
+_ITEM = """select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as idx, * from lineitem"""
+
+
+@query(f"""select l_orderkey as order_id, cast(idx as integer) as items_idx, l_partkey as part, l_suppkey as supp, l_quantity as qty, l_extendedprice as price from ({_ITEM})""")
+def flatten_items(spark: SparkSession, sf: str) -> DataFrame:
+    items = _flat(D.order_docs(spark, sf), "orders")[1]["orders_items"]
+    return items.withColumns({c: F.col(c).cast("long") for c in ("order_id", "part", "supp")})
+
+
+@query(f"""with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as oi from orders)
+select o_custkey as customer_id, cast(oi as integer) as orders_idx, cast(idx as integer) as lines_idx, l_partkey as part, l_suppkey as supp, l_quantity as qty, l_extendedprice as price
+from o join ({_ITEM}) on o_orderkey = l_orderkey""")
+def flatten_two_level(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _flat(D.customer_docs(spark, sf), "customers")[1]["customers_orders_lines"]
+    return lines.withColumns({c: F.col(c).cast("long") for c in ("customer_id", "part", "supp")})
+
+
+def _slot_plan(docs: DataFrame) -> nesting.Plan:
+    """The plan with slots as key/value rows whatever the number of suppliers at this scale."""
+    return plan_documents(docs, "slot_docs", min_keys=1, max_fill=1.0)[0]
+
+
+@query("""select l_orderkey as slot_doc_id, concat('s', l_suppkey) as slots_key, cast(cast(sum(l_quantity) as bigint) as varchar) as slots_value from lineitem group by l_orderkey, l_suppkey""")
+def flatten_map(spark: SparkSession, sf: str) -> DataFrame:
+    docs = D.slot_docs(spark, sf)
+    out = FL.flatten(docs, _slot_plan(docs))["slot_docs_slots"].drop("__clipped")
+    return out.withColumn("slot_doc_id", F.col("slot_doc_id").cast("long"))
+
+
+@query("""select vec_id, cast(pos as integer) as embedding_idx, cast(embedding[pos + 1] as double) as value from (select vec_id, embedding, unnest(range(0, len(embedding))) as pos from embeddings)""")
+def flatten_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    rows = _flat(S.from_table(vectors, "_id"), "vec_docs")[1]["vec_docs_embedding"]
+    return rows.select(F.col("vec_doc_id").cast("long").alias("vec_id"), "embedding_idx", "value")
+
+
+@query("""select conv_id as mongo_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as integer) as messages_idx, cast(turn as bigint) as turn, role, text from conversations""")
+def flatten_hybrid_json(spark: SparkSession, sf: str) -> DataFrame:
+    plan, tables = _flat(S.from_table(D.conversation_rows(spark, sf), "_id"), "conversations", "hybrid")
+    value = F.parse_json("value")
+    get = lambda p, t: F.try_variant_get(value, f"$.{p}", t)
+    return tables["conversations_messages"].select(
+        F.col("conversation_id").cast("long").alias("mongo_id"), "messages_idx", get("turn", "long").alias("turn"), get("role", "string").alias("role"), get("text", "string").alias("text")
+    )
+
+
+@query("""select o_orderkey as mongo_id, o_orderstatus as status, c_name as name, n_name as nation, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_items
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""")
+def flatten_columns_json(spark: SparkSession, sf: str) -> DataFrame:
+    root = _flat(D.order_docs(spark, sf), "orders", "columns")[1]["orders"]
+    customer = F.parse_json("customer")
+    return root.select(
+        F.col("mongo_id").cast("long").alias("mongo_id"),
+        "status",
+        F.try_variant_get(customer, "$.name", "string").alias("name"),
+        F.try_variant_get(customer, "$.nation.name", "string").alias("nation"),
+        F.size(F.try_variant_get(F.parse_json("items"), "$", "array<variant>")).cast("long").alias("n_items"),
+    )
+
+
+@query("""select event_id as mongo_id, case when user_id % 3 = 0 then concat('n', user_id % 60) end as note from events where event_id % 10 <> 7""")
+def skip_no_key(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(D.mixed_docs(spark, sf), "events")[1]["events"].select(F.col("mongo_id").cast("long").alias("mongo_id"), "note")
+
+
+@query("""with o as (select count(*) as n from orders), l as (select count(*) as n from lineitem)
+select 'orders' as name, 'root' as kind, cast(6 as bigint) as columns, cast(0 as bigint) as elements from o where n > 0 union all select 'orders_items', 'array', 4, n from l""")
+def plan_tables(spark: SparkSession, sf: str) -> DataFrame:
+    plan, _ = plan_documents(D.order_docs(spark, sf), "orders")
+    return spark.createDataFrame([(t.name, t.kind, len(t.columns), t.elements) for t in plan.tables], "name string, kind string, columns long, elements long")
+
+
+@query()
+def ddl_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rendering of the plan of nested orders."""
+    plan, profile = plan_documents(D.order_docs(spark, sf), "orders")
+    texts = {"ddl": render.ddl(plan), "drdl": render.drdl("shop", plan), "json": render.to_json(plan), "report": render.report(plan, profile), "spark": ";\n".join(render.spark_ddl(plan))}
+    return spark.createDataFrame(list(texts.items()), "kind string, text string")
+
+
+# Values ----------------------------------------------------------------------------------------------------------------
+
+
+def _mixed_value(spark: SparkSession, sf: str):
+    docs = D.mixed_docs(spark, sf)
+    return docs.withColumn("m", FL.at(F.col("v"), "mix"))
+
+
+@query("""select event_id as seq, case event_type when 'signup' then event_id <> 0 when 'purchase' then true when 'error' then false end as bit from events""")
+def coerce_bit(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_value(spark, sf).select("seq", V.coerce(F.col("m"), "BIT")[0].alias("bit"))
+
+
+@query("""select event_id as seq, cast(case when event_type in ('signup', 'purchase') then event_id end as integer) as small, case when event_type in ('signup', 'purchase') then event_id end as large from events""")
+def coerce_int(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_value(spark, sf).select("seq", V.coerce(F.col("m"), "INT")[0].alias("small"), V.coerce(F.col("m"), "BIGINT")[0].alias("large"))
+
+
+@query("""select event_id as seq, cast(case event_type when 'signup' then event_id when 'purchase' then event_id + 0.5 end as double) as number from events""")
+def coerce_float(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_value(spark, sf).select("seq", V.coerce(F.col("m"), "FLOAT")[0].alias("number"))
+
+
+@query("""select event_id as seq, cast(case event_type when 'signup' then event_id when 'purchase' then event_id + 0.5 end as decimal(38, 6)) as number from events""")
+def coerce_decimal(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_value(spark, sf).select("seq", V.coerce(F.col("m"), "DECIMAL(38, 6)")[0].alias("number"))
+
+
+@query("""with t as (select event_id as seq, case event_type when 'signup' then cast(event_id as varchar) when 'purchase' then concat(event_id, '.5') when 'error' then concat('Yes ', user_id % 100)
+  when 'view' then concat('{"k":', user_id, '}') end as whole from events)
+select seq, left(whole, 4) as text, coalesce(length(whole) > 4, false) as clipped from t""")
+def coerce_text(spark: SparkSession, sf: str) -> DataFrame:
+    text, cut = V.coerce(F.col("m"), "NVARCHAR(4)")
+    return _mixed_value(spark, sf).select("seq", text.alias("text"), cut.alias("clipped"))
+
+
+@query("""select doc_id, left(text, 100) as clipped, length(text) > 100 as was_clipped from documents""")
+def clip_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", X.clip_utf16(text, 100).alias("clipped"), (X.utf16_len(text) > 100).alias("was_clipped"))
+
+
+@query("""select source, count(*) filter (length(text) > 4000) as truncated from documents group by source""")
+def truncated_count(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.from_table(table(spark, sf, "documents").select(F.col("doc_id").alias("_id"), "text", "source"), "_id")
+    cut = V.coerce(FL.at(F.col("v"), "text"), "NVARCHAR(4000)")[1]
+    source = F.try_variant_get("v", "$.source", "string")
+    return rows.groupBy(source.alias("source")).agg(F.count_if(cut).alias("truncated"))
+
+
+@query(r"""select doc_id, case when doc_id % 2 = 0 then text else trim(regexp_replace(concat(left(text, 40), '  ', text), '[ \t]{2,}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) end as cleaned from documents""")
+def strip_emoji(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    odd = F.concat(F.left(text, F.lit(40)), F.lit(" \U0001f600‍ "), text, F.lit("\U0001f1e6"))
+    return table(spark, sf, "documents").select("doc_id", X.strip_emoji(F.when(F.col("doc_id") % 2 == 0, text).otherwise(odd)).alias("cleaned"))
+
+
+# Loads -------------------------------------------------------------------------------------------------------------------
+
+
+@query("""select o_orderkey, o_orderstatus, case when o_orderkey % 3 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders""")
+def upsert_replace(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changed = orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return upserted(orders, changed, "o_orderkey")
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey % 3 <> 0")
+def delete_keys(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return without_keys(orders, "o_orderkey", orders.where("o_orderkey % 3 = 0").select("o_orderkey"))
+
+
+@query("select o_orderkey, o_custkey from orders")
+def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    mark = orders.agg((F.max("o_orderkey") / 2).cast("long")).first()[0]
+    return upserted(orders.where(F.col("o_orderkey") <= mark), S.after(orders, "o_orderkey", mark), "o_orderkey")
+
+
+@query("select cast(max(event_id) as varchar) as last_id, 'int' as last_id_type from events where event_id % 10 <> 7")
+def watermark(spark: SparkSession, sf: str) -> DataFrame:
+    plan, tables = _flat(D.mixed_docs(spark, sf), "events")
+    return spark.createDataFrame([encode_key(tables["events"].agg(F.max("mongo_id")).first()[0], plan.key)], "last_id string, last_id_type string")
+
+
+@query("""with i as (select count(*) as n from lineitem left join orders on l_orderkey = o_orderkey where o_orderkey is null)
+select n as orphans, cast(0 as bigint) as duplicates from i""")
+def key_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Items without an order, and keys of items that occur twice, after flattening."""
+    tables = _flat(D.order_docs(spark, sf), "orders")[1]
+    items = tables["orders_items"]
+    orphans = items.join(tables["orders"], items["order_id"] == tables["orders"]["mongo_id"], "left_anti").agg(F.count("*").alias("orphans"))
+    twice = items.groupBy("order_id", "items_idx").count().where("count > 1").agg(F.count("*").alias("duplicates"))
+    return orphans.join(twice)
+
+
+@query(f"""select 'o_orderstatus' as name, {_bucket("max(length(o_orderstatus))")} as planned, 'NVARCHAR(8)' as bound from orders
+union all select 'o_orderpriority', {_bucket("max(length(o_orderpriority))")}, 'NVARCHAR(8)' from orders""")
+def column_widths_bind(spark: SparkSession, sf: str) -> DataFrame:
+    plan, _ = plan_documents(S.from_table(table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), "o_orderstatus", "o_orderpriority"), "_id"), "orders")
+    bound = nesting.bind(plan, {"orders": {"o_orderstatus": 8, "o_orderpriority": 8}})
+    rows = [(a.name, a.sql_type, b.sql_type) for a, b in zip(plan.root.columns, bound.root.columns, strict=True) if a.name != nesting.ROOT_KEY]
+    return spark.createDataFrame(rows, "name string, planned string, bound string")
