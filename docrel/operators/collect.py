@@ -30,6 +30,7 @@ def plan_documents(
     profile = Profile.collect(filled, documents, truncated=filled.count() >= MAX_PATHS)
     infos = map_infos(filled, min_keys, max_fill)
     filled.unpersist()
+    docs.unpersist()
     return build_plan(profile, collection, schema, infos, nesting, headroom), profile
 
 

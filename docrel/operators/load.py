@@ -6,7 +6,7 @@ is loading once. Parquet tables have no MERGE: the new state is written beside t
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +105,7 @@ def ensure_tables(catalog: Catalog, plan: Plan, recreate: bool = False) -> tuple
         for table in reversed(plan.tables):
             catalog.drop(table.name)
     there = [t.name for t in plan.tables if catalog.exists(t.name)]
-    for statement in spark_ddl(plan):
+    for statement in spark_ddl(replace(plan, schema=catalog.schema)):
         catalog.spark.sql(statement)
     return [t.name for t in plan.tables if t.name not in there], there
 
