@@ -13,7 +13,6 @@ candidate). Extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as C
 from re import _parser
@@ -26,18 +25,20 @@ from .common import table
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: for Java and Python alike; group: the one whose length counts; least: characters it must have."""
+    """pattern: for Java and Python alike; group: the one whose length counts; least: characters it must have; probe: a
+    pattern that every text with a long enough match has, where the pattern itself would be found nearly everywhere."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    probe: str | None = None
 
 
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
 )
 #: Public shapes of keys that the base rules miss.
 MORE = (
@@ -51,7 +52,6 @@ MORE = (
 RULES = BASE + MORE
 #: Alternatives of one literal stretch that are kept apart before it is cut.
 MOST_STRINGS = 64
-#: A rule that scans everything looks only for runs this long before it splits the text.
 SPAN = "struct<start: int, end: int, rank: int, kind: string>"
 
 
@@ -151,8 +151,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    least = re.sub(r"\+$", f"{{{rule.least},}}", rule.pattern) if not rule.group else rule.pattern
-    return F.when(F.rlike(text, F.lit(least)), found).otherwise(none)
+    return F.when(F.rlike(text, F.lit(rule.probe or rule.pattern)), found).otherwise(none)
 
 
 def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
