@@ -10,7 +10,7 @@ the path's first occurrence).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,8 @@ def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
         F.min("first").alias("first"),
         F.max("about").alias("about"),
     )
-    ranked = F.row_number().over(_reading_order())
-    rows = rows.withColumn("first", ranked.cast("long")).where(F.col("first") <= max_paths)
+    # At most max_paths rows are left to number.
+    rows = rows.orderBy("first").limit(max_paths).withColumn("first", F.row_number().over(Window.orderBy("first")).cast("long"))
     # Only paths whose estimate is near the limit or below can be within it.
     few = rows.where(F.col("about") <= 2 * distinct).select("path")
     values = (
@@ -70,12 +70,6 @@ def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
     return rows.join(values, "path", "left").withColumn("distinct_values", F.coalesce("distinct_values", none)).drop("about")
 
 
-def _reading_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("first")
-
-
 def _type_name(kind: T.DataType) -> str:
     if isinstance(kind, T.BooleanType):
         return "bool"

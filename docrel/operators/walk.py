@@ -53,8 +53,5 @@ def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
 
 def first_paths(found: DataFrame, max_paths: int) -> DataFrame:
     """(path): the first ``max_paths`` paths in reading order, without those inside a path that is left out."""
-    from pyspark.sql import Window
-
     seen = found.groupBy("path").agg(F.min(F.struct("seq", "ord")).alias("first"))
-    kept = seen.withColumn("k", F.row_number().over(Window.orderBy("first"))).where(F.col("k") <= max_paths)
-    return kept.select("path")
+    return seen.orderBy("first").limit(max_paths).select("path")

@@ -449,9 +449,10 @@ def key_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Items without an order, and keys of items that occur twice, after flattening."""
     tables = _flat(D.order_docs(spark, sf), "orders")[1]
     items = tables["orders_items"]
-    orphans = items.join(tables["orders"], items["order_id"] == tables["orders"]["mongo_id"], "left_anti").agg(F.count("*").alias("orphans"))
-    twice = items.groupBy("order_id", "items_idx").count().where("count > 1").agg(F.count("*").alias("duplicates"))
-    return orphans.join(twice)
+    orphans = items.join(tables["orders"], items["order_id"] == tables["orders"]["mongo_id"], "left_anti").select(F.lit("orphan").alias("kind"))
+    twice = items.groupBy("order_id", "items_idx").count().where("count > 1").select(F.lit("duplicate").alias("kind"))
+    found = orphans.unionAll(twice)
+    return found.agg(F.count_if(F.col("kind") == "orphan").alias("orphans"), F.count_if(F.col("kind") == "duplicate").alias("duplicates"))
 
 
 @query(f"""select 'o_orderstatus' as name, {_bucket("max(length(o_orderstatus))")} as planned, 'NVARCHAR(8)' as bound from orders
