@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.infer import Profile
 from ..plans.nesting import Plan, build_plan, describe_shape
-from .profile import MAX_PATHS, maps, profile_facts, with_fill
+from .profile import MAX_PATHS, maps, profile_facts, profile_typed, with_fill
 from .walk import facts
 
 
@@ -34,6 +34,15 @@ def plan_documents(
     return build_plan(profile, collection, schema, infos, nesting, headroom), profile
 
 
+def plan_typed(df: DataFrame, collection: str, nesting: str = "deep", schema: str = "dbo", headroom: float = 1.5, key: str = "_id") -> tuple[Plan, Profile]:
+    """Plan of typed rows, from aggregations generated from their schema."""
+    df = df.persist()
+    documents = df.count()
+    profile = Profile.collect(with_fill(profile_typed(df, key), documents), documents)
+    df.unpersist()
+    return build_plan(profile, collection, schema, None, nesting, headroom), profile
+
+
 def plan_many(collections: dict[str, DataFrame], **options) -> tuple[dict[str, Plan], dict[str, str]]:
     """Plans by collection, and errors by collection; empty collections are left out, an error does not stop the rest."""
     plans, errors = {}, {}

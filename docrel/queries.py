@@ -11,7 +11,8 @@ from .functions import text as X
 from .functions import variants as V
 from .operators import flatten as FL
 from .operators import profile as P
-from .operators.collect import plan_documents, profile_documents
+from .operators.collect import plan_documents, plan_typed, profile_documents
+from .operators.flatten_typed import flatten_typed
 from .operators.load import encode_key, upserted, without_keys
 from .operators.walk import facts, first_paths
 from .plans import nesting, render
@@ -271,10 +272,15 @@ def _flat(docs: DataFrame, collection: str, strategy: str = "deep") -> tuple[nes
     return plan, {n: df.drop("__clipped") for n, df in FL.flatten(docs, plan).items()}
 
 
+def _typed(rows: DataFrame, collection: str, strategy: str = "deep") -> dict[str, DataFrame]:
+    plan, _ = plan_typed(rows, collection, strategy)
+    return {n: df.drop("__clipped") for n, df in flatten_typed(rows, plan).items()}
+
+
 @query("""select o_orderkey as mongo_id, o_orderstatus as status, c_name as customer_name, c_mktsegment as customer_segment, n_name as customer_nation_name, r_name as customer_nation_region
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def flatten_root_deep(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(D.order_docs(spark, sf), "orders")[1]["orders"].withColumn("mongo_id", F.col("mongo_id").cast("long"))
+    return _typed(D.order_rows(spark, sf), "orders")["orders"].withColumn("mongo_id", F.col("mongo_id").cast("long"))
 
 
 _ITEM = """select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as idx, * from lineitem"""
@@ -282,7 +288,7 @@ _ITEM = """select l_orderkey, row_number() over (partition by l_orderkey order b
 
 @query(f"""select l_orderkey as order_id, cast(idx as integer) as items_idx, l_partkey as part, l_suppkey as supp, l_quantity as qty, l_extendedprice as price from ({_ITEM})""")
 def flatten_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _flat(D.order_docs(spark, sf), "orders")[1]["orders_items"]
+    items = _typed(D.order_rows(spark, sf), "orders")["orders_items"]
     return items.withColumns({c: F.col(c).cast("long") for c in ("order_id", "part", "supp")})
 
 
@@ -290,10 +296,17 @@ def flatten_items(spark: SparkSession, sf: str) -> DataFrame:
 select o_custkey as customer_id, cast(oi as integer) as orders_idx, cast(idx as integer) as lines_idx, l_partkey as part, l_suppkey as supp, l_quantity as qty, l_extendedprice as price
 from o join ({_ITEM}) on o_orderkey = l_orderkey""")
 def flatten_two_level(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _flat(D.customer_docs(spark, sf), "customers")[1]["customers_orders_lines"]
+    lines = _typed(D.customer_rows(spark, sf), "customers")["customers_orders_lines"]
     return lines.withColumns({c: F.col(c).cast("long") for c in ("customer_id", "part", "supp")})
 
 
+@query(f"""select l_orderkey as order_id, cast(idx as integer) as items_idx, l_partkey as part, l_suppkey as supp, l_quantity as qty, l_extendedprice as price from ({_ITEM})""")
+def flatten_items_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from schemaless documents."""
+    items = _flat(D.order_docs(spark, sf), "orders")[1]["orders_items"]
+    return items.withColumns({c: F.col(c).cast("long") for c in ("order_id", "part", "supp")})
+
+
 def _slot_plan(docs: DataFrame) -> nesting.Plan:
     """The plan with slots as key/value rows whatever the number of suppliers at this scale."""
     return plan_documents(docs, "slot_docs", min_keys=1, max_fill=1.0)[0]
@@ -309,13 +322,13 @@ def flatten_map(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select vec_id, cast(pos as integer) as embedding_idx, cast(embedding[pos + 1] as double) as value from (select vec_id, embedding, unnest(range(0, len(embedding))) as pos from embeddings)""")
 def flatten_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    rows = _flat(S.from_table(vectors, "_id"), "vec_docs")[1]["vec_docs_embedding"]
+    rows = _typed(vectors, "vec_docs")["vec_docs_embedding"]
     return rows.select(F.col("vec_doc_id").cast("long").alias("vec_id"), "embedding_idx", "value")
 
 
 @query("""select conv_id as mongo_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as integer) as messages_idx, cast(turn as bigint) as turn, role, text from conversations""")
 def flatten_hybrid_json(spark: SparkSession, sf: str) -> DataFrame:
-    plan, tables = _flat(S.from_table(D.conversation_rows(spark, sf), "_id"), "conversations", "hybrid")
+    tables = _typed(D.conversation_rows(spark, sf), "conversations", "hybrid")
     value = F.parse_json("value")
     get = lambda p, t: F.try_variant_get(value, f"$.{p}", t)
     return tables["conversations_messages"].select(
@@ -326,7 +339,7 @@ def flatten_hybrid_json(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select o_orderkey as mongo_id, o_orderstatus as status, c_name as name, n_name as nation, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_items
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""")
 def flatten_columns_json(spark: SparkSession, sf: str) -> DataFrame:
-    root = _flat(D.order_docs(spark, sf), "orders", "columns")[1]["orders"]
+    root = _typed(D.order_rows(spark, sf), "orders", "columns")["orders"]
     customer = F.parse_json("customer")
     return root.select(
         F.col("mongo_id").cast("long").alias("mongo_id"),
@@ -447,7 +460,7 @@ def watermark(spark: SparkSession, sf: str) -> DataFrame:
 select n as orphans, cast(0 as bigint) as duplicates from i""")
 def key_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Items without an order, and keys of items that occur twice, after flattening."""
-    tables = _flat(D.order_docs(spark, sf), "orders")[1]
+    tables = _typed(D.order_rows(spark, sf), "orders")
     items = tables["orders_items"]
     orphans = items.join(tables["orders"], items["order_id"] == tables["orders"]["mongo_id"], "left_anti").select(F.lit("orphan").alias("kind"))
     twice = items.groupBy("order_id", "items_idx").count().where("count > 1").select(F.lit("duplicate").alias("kind"))

@@ -121,6 +121,21 @@ def test_typed_and_variant_profiles_agree(spark):
     assert typed == {r["path"]: (r["present"] - r["nulls"], r["max_utf16"], r["num_min"], r["num_max"], r["array_total"]) for r in variant.collect()}
 
 
+def test_typed_and_variant_tables_agree(spark):
+    from docrel.operators.collect import plan_typed
+    from docrel.operators.flatten_typed import flatten_typed
+
+    rows = [(1, ("a", 2.5), [("x", [1, 2]), ("y", [])], {"k": 1}), (2, None, [], {}), (None, ("z", 1.0), [], {}), (3, ("b" * 40, float("nan")), None, {"k": 2, "m": 3})]
+    df = spark.createDataFrame(rows, "_id int, o struct<s: string, d: double>, a array<struct<t: string, n: array<int>>>, m map<string, int>")
+    plan, _ = plan_typed(df.drop("m"), "things")
+    got, want = flatten_typed(df, plan), FL.flatten(S.from_table(df, "_id"), plan)
+    assert sorted(got) == ["things", "things_a", "things_a_n"]
+    assert {n: sorted(map(str, t.collect())) for n, t in got.items()} == {n: sorted(map(str, t.select(*got[n].columns).collect())) for n, t in want.items()}
+    df = df.select("_id", "m")
+    plan, _ = plan_documents(S.from_table(df, "_id"), "things", min_keys=1, max_fill=1.0)
+    assert {tuple(r)[:3] for r in flatten_typed(df, plan)["things_m"].collect()} == {(1, "k", "1"), (3, "k", "2"), (3, "m", "3")}
+
+
 def test_paths_are_limited_in_reading_order(docs):
     from docrel.operators.walk import facts, first_paths
 
