@@ -22,6 +22,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, materialize, mix, table
 
 CLASSES, SINGLE, ENDINGS = 64, 23, 36
-#: Words sent to the tasks with their counts (some 20 MB); counted words and class histories held before they are passed on.
-KNOWN_WORDS, HELD_WORDS, HELD_CODES = 200_000, 200_000, 1 << 21
+#: Words sent to the tasks with their counts (some 15 MB); counted words and class histories held before they are passed on.
+KNOWN_WORDS, HELD_WORDS, HELD_CODES = 150_000, 200_000, 1 << 21
 ROWS = 1 << 14
-STEPS, TASKS, PENALTY = 10, 8, 4.0
+STEPS, TASKS, SLICES, PENALTY = 10, 8, 16, 4.0
 #: Not a word, as words hold no white space.
 END = b"\n"
 #: Places back that each feature looks at.
@@ -175,7 +176,7 @@ def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS, penal
     spark = codes.sparkSession
     after = F.collect_list(F.struct((F.col("code") % CLASSES).cast("int").alias("c"), "n")).alias("after")
     by_history = codes.groupBy(F.shiftright("code", 6).alias("history")).agg(after)
-    by_history = materialize(by_history.repartition(TASKS, "history"))
+    by_history = materialize(by_history).coalesce(TASKS)
 
     def gathered(weights: np.ndarray | None) -> np.ndarray:
         sent = spark.sparkContext.broadcast(weights)
@@ -191,13 +192,19 @@ def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS, penal
                 g = gradient(sent.value, batch.column("history").to_numpy(), counts)
                 total = g if total is None else total + g
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
-
-        out = np.zeros((ROWS, CLASSES), np.float32)
-        for r in by_history.mapInArrow(part, "g binary").collect():
-            out += np.frombuffer(r["g"], np.float32).reshape(out.shape)
+                cut = [x.tobytes() for x in np.split(total, SLICES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], ["slice", "g"])
+
+        # Each slice of the gradient is summed in Spark, so the driver gets one small row per slice, however many tasks.
+        summed = by_history.mapInArrow(part, "slice int, g binary").groupBy("slice").applyInPandas(add, "slice int, g binary")
+        out = [np.zeros(ROWS // SLICES * CLASSES, np.float32)] * SLICES
+        for r in summed.toLocalIterator():
+            out[r["slice"]] = np.frombuffer(r["g"], np.float32)
         sent.destroy()
-        return out
+        return np.concatenate(out).reshape(ROWS, CLASSES)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "g": [np.sum([np.frombuffer(g, np.float32) for g in rows["g"]], axis=0, dtype=np.float32).tobytes()]})
 
     start = np.zeros((ROWS, CLASSES), np.float32)
     start[feature_rows(np.zeros(1, np.int64))[0, 0]] = np.log(prior)
@@ -213,10 +220,22 @@ def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS, penal
     return weights
 
 
+def most_frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> list[tuple[bytes, int]]:
+    """The words of at least some count, the least for which they are no more than ``most``; most frequent first."""
+    least, total = 1, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if (total := total + r["words"]) > most:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    order = sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [(bytes(w), n) for w, n in order]
+
+
 def train(docs: DataFrame) -> LanguageModel:
     """docs: the training documents."""
     counts = materialize(count_tokens(docs))
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()]
+    top = most_frequent(counts)
     single = [w for w, _ in top if w != END][:SINGLE]
     ending = F.substring("word", -3, 3)
     often = counts.where(~F.col("word").isin([bytearray(w) for w in [*single, END]])).groupBy(ending.alias("e")).agg(F.sum("n").alias("n"))
