@@ -16,8 +16,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -118,15 +120,19 @@ class WordEncoder:
     def __init__(self, tokenizer: str, width: int):
         from tokenizers import Tokenizer
 
-        self.whole, self.type = Tokenizer.from_file(tokenizer), f"<u{width}"
+        self.whole, self.type = Tokenizer.from_file(tokenizer), {2: "H", 4: "I"}[width]
         parts = json.loads(self.whole.to_str())
         steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.splits = [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
         self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[-1]})) if self.splits else None
-        self.kept, self.old, self.cores, self.old_cores = {}, {}, {}, {}
+        self.kept, self.old, self.cores, self.old_cores, self.marks = {}, {}, {}, {}, {}
 
     def _encode(self, tokenizer, new: list[str]) -> list[bytes]:
-        return [np.array(c.ids, self.type).tobytes() for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        coded = [array(self.type, c.ids) for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in coded:
+                ids.byteswap()
+        return [ids.tobytes() for ids in coded]
 
     def _letters(self, wanted: set[str]) -> dict[str, bytes]:
         if len(self.cores) > CACHED_WORDS // 2:
@@ -150,20 +156,27 @@ class WordEncoder:
                 marks.add(m[2])
             else:
                 other.append(w)
-        marks = list(marks)
-        ends = dict(zip(marks, self._encode(self.whole, marks), strict=True))
+        if len(self.marks) > CACHED_WORDS // 8:
+            self.marks = {}
+        marks = list(marks.difference(self.marks))
+        self.marks.update(zip(marks, self._encode(self.whole, marks), strict=True))
+        ends = self.marks
         cores = self._letters({core for _, core, _ in plain}) if plain else {}
         self.kept.update((w, cores[core] + ends[mark]) for w, core, mark in plain)
         self.kept.update(zip(other, self._encode(self.whole, [w.decode("utf-8") for w in other]), strict=True))
 
-    def __call__(self, text: str | None) -> bytes:
-        found = (text or "").encode("utf-8").split()
-        new = set(found).difference(self.kept)
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        found = [(t or "").encode("utf-8").split() for t in texts]
+        here = set().union(*found)
+        new = here.difference(self.kept)
         if new:
             if len(self.kept) > CACHED_WORDS:
-                self.old, self.kept, new = self.kept, {}, set(found)
+                self.old, self.kept, new = self.kept, {}, here
             self._learn(new)
-        return b"".join(map(self.kept.__getitem__, found))
+        return [b"".join(map(self.kept.__getitem__, f)) for f in found]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -182,14 +195,15 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, end_id: int = 2,
 
     def write(batches):
         part, writer, encode, ids = TaskContext.get().partitionId(), None, None, 0
+        encode, end = word_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for low in range(0, batch.num_rows, 250):
+                some = batch.slice(low, 250)
                 if writer is None:
                     writer = TokenFileWriter(f"{out}/ids-{part:06d}.zst", width)
-                    encode, end = word_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
-                coded = encode(text) + end
-                writer.write(doc, coded)
-                ids += len(coded) // width
+                for doc, coded in zip(some.column("doc_id").to_pylist(), encode.many(some.column("text").to_pylist()), strict=True):
+                    writer.write(doc, coded + end)
+                    ids += len(coded) // width + 1
         if writer is not None:
             writer.close()
             import pyarrow as pa
