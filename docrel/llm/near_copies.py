@@ -3,24 +3,29 @@
 1. Each text becomes its set of shingle hashes; texts with equal sets are one node from here on, however many copies.
 2. In each of RUNS runs a set picks each of its tokens with probability PICKS / size, by a hash that all sets share,
    and so goes to the buckets of its picked tokens: two similar sets pick a common token with high probability.
-   Buckets of more than BUCKET sets are split again by a second and third picked token; a set follows the RAREST
-   rarest of its large buckets, as sets that meet in large buckets alone share nearly all of them. Small buckets compare
-   their sets by 64 minimum hashes, far below the threshold; buckets still large at the last level become candidates
-   whole.
+   Small buckets compare their sets by 64 minimum hashes, far below the threshold. In a bucket of more than BUCKET
+   sets, one of them is the pivot: sets that agree with it in TIGHT of the hashes leave the bucket, linked to it, and so
+   is every set that agrees in LOOSE of them, which stays. Agreement is transitive hash by hash, so whatever agrees in
+   SKETCH_LEAST with a set that left agrees in LOOSE with the pivot: no pair is lost. (Where most links would be of sets
+   that stay, all stay and none is linked.) The rest, if still large, is split by SPLITS of its minimum hashes, other
+   ones in every run and level; all large buckets of a set are followed, and every set has a part to go to. Buckets
+   still large at the last level become candidates whole.
 3. Connected candidates form components. The sets of each component are compared exactly, every pair once, in blocks
    of bounded size; a block pair gives each set its number of links and its least linked neighbour, never the pairs.
 4. Links connect the classes; a class is named by its smallest doc_id.
 
-With 10 runs of 2 picks a pair at similarity 0.8 shares a bucket with probability over 0.99999 (0.8 a run); a pair all
-of whose common buckets are large meets again below one of them with probability above 0.9, and sets of a large group
-are linked through one another; the sketch test (0.55) loses fewer than one pair in a million, and pairs of one
-component are compared whether or not they met. Texts of 1 to 4 words are one shingle of all their words. Null,
+With 10 runs of 2 picks a pair at similarity 0.8 shares a bucket with probability over 0.99999 (0.8 a run), and is kept
+together by the splits of a large one with 0.96 a level: over 0.99999 too for a pair all of whose common buckets are
+large. The sketch test (0.55) loses fewer than one pair in a million, and pairs of one component are compared whether or
+not they met. Texts of 1 to 4 words are one shingle of all their words. Null,
 empty and white texts have none: each is a class of its own without links. Row per row of the input; rows that share a
 doc_id are told apart by their text. A null doc_id names no class unless the class has no other.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +37,11 @@ from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, LEVELS, PICKS = 10, 3, 2.0
-BUCKET, RAREST = 256, 2
+BUCKET = 256
 SKETCH, SKETCH_LEAST = 64, 0.55
+#: Agreement with the pivot of a large bucket, in hashes; and hashes by which its rest is split.
+TIGHT, SPLITS = 48, 2
+LOOSE = TIGHT + math.ceil(SKETCH * SKETCH_LEAST) - SKETCH
 #: A block of exact comparison: sets, and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -67,7 +75,7 @@ def digest(values: np.ndarray) -> bytes:
 def features(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, tag (crc32 of the text), node (digest of its set, null if empty), n, sketch, picks.
 
-    A pick packs run (4 bits), level (2 bits) and the token's upper 58 bits."""
+    A pick packs run (4 bits) and the token's upper 60 bits."""
 
     def find(batches):
         for batch in batches:
@@ -86,10 +94,9 @@ def features(docs: DataFrame) -> DataFrame:
                 limit[share[doc] == 1.0] = np.iinfo(np.uint64).max
                 docs_at, picked = [], []
                 for run in range(RUNS):
-                    for level in range(LEVELS):
-                        hit = np.flatnonzero(value * _ODD[run * LEVELS + level] <= limit)
-                        docs_at.append(doc[hit])
-                        picked.append((value[hit] >> np.uint64(6)) | np.uint64(run << 60 | level << 58))
+                    hit = np.flatnonzero(value * _ODD[run * LEVELS] <= limit)
+                    docs_at.append(doc[hit])
+                    picked.append((value[hit] >> np.uint64(4)) | np.uint64(run << 60))
                 docs_at, picked = np.concatenate(docs_at), np.concatenate(picked)
                 order = np.argsort(docs_at, kind="stable")
                 cut = np.searchsorted(docs_at[order], np.arange(high - low + 1)).astype(np.int32)
@@ -116,14 +123,27 @@ def _components_of(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def with_pivots(large: DataFrame) -> DataFrame:
+    """large: (bucket, node, run, sketch). Adds the least set of each bucket, its pivot (mostly the same
+    one in all buckets of a group, so that links repeat), and in how many hashes each set agrees with it."""
+    first = F.min(F.struct(F.col("node").alias("pivot"), F.col("sketch").alias("other")))
+    joined = large.join(large.groupBy("bucket").agg(first.alias("p")), "bucket").select("bucket", "node", "run", "sketch", "p.pivot", "p.other")
+
+    def compare(batches):
+        for batch in batches:
+            own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SKETCH) for c in ("sketch", "other"))
+            same = pa.array((own == other).sum(1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "other"), same], [*(c for c in batch.schema.names if c != "other"), "same"])
+
+    return joined.mapInArrow(compare, "bucket long, node binary, run int, sketch binary, pivot binary, same int")
+
+
 def candidate_links(made: DataFrame) -> DataFrame:
     """(a, b): links that connect whatever may be similar."""
     picks = made.where("node is not null").select("node", F.explode("picks").alias("p")).distinct()
-    picks = picks.select(
-        "node", F.shiftrightunsigned("p", 60).alias("run"), F.shiftrightunsigned("p", 58).bitwiseAND(3).alias("level"), F.expr("p & 288230376151711743").alias("token")
-    )
-    rows = picks.where("level = 0").select("node", "run", F.xxhash64("run", "token").alias("bucket"))
-    small, whole = [], None
+    rows = picks.select("node", F.shiftrightunsigned("p", 60).cast("int").alias("run"), F.xxhash64("p").alias("bucket"))
+    sketches = made.where("node is not null").select("node", "n", "sketch").dropDuplicates(["node"])
+    small, sure = [], []
     for level in range(LEVELS):
         counts = rows.groupBy("bucket").count().where("count > 1")
         held = materialize(rows.join(counts, "bucket"))
@@ -131,19 +151,24 @@ def candidate_links(made: DataFrame) -> DataFrame:
         large = held.where(F.col("count") > BUCKET)
         if large.isEmpty():
             break
+        large = materialize(with_pivots(large.select("bucket", "node", "run").join(sketches.select("node", "sketch"), "node")))
+        tight, loose = (F.count_if(F.col("same") >= k) for k in (TIGHT, LOOSE))
+        stats = large.groupBy("bucket").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
+        large = large.join(stats, "bucket")
+        sure.append(large.where(F.col("leave") & (F.col("same") >= LOOSE)).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        rest = large.where(~F.col("leave") | (F.col("same") < TIGHT))
+        small.append(rest.where(F.col("left") <= BUCKET).select("bucket", "node"))
+        rest = rest.where(F.col("left") > BUCKET)
         if level == LEVELS - 1:
-            least = large.groupBy("bucket").agg(F.min("node").alias("b"))
-            whole = large.join(least, "bucket").select(F.col("node").alias("a"), "b")
+            sure.append(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         else:
-            rarest = F.row_number().over(Window.partitionBy("node").orderBy("count", "bucket"))
-            large = large.withColumn("k", rarest).where(F.col("k") <= RAREST).drop("k")
-            rows = large.drop("count").join(picks.where(F.col("level") == level + 1), ["node", "run"])
-            rows = rows.select("node", "run", F.xxhash64("bucket", "token").alias("bucket")).distinct()
+            slot = F.explode(F.array(*(F.col("run") * (LEVELS - 1) * SPLITS + level * SPLITS + k for k in range(SPLITS)))).alias("slot")
+            rows = rest.select("node", "run", "bucket", "sketch", slot)
+            rows = rows.select("node", "run", F.xxhash64("bucket", "slot", F.expr("substring(sketch, slot * 4 + 1, 4)")).alias("bucket"))
     together = small[0]
     for more in small[1:]:
         together = together.unionAll(more)
     lists = together.groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
-    sketches = made.where("node is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     listed = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node")).join(sketches, "node")
     grouped = listed.groupBy("list").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("sets"))
 
@@ -160,7 +185,9 @@ def candidate_links(made: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     links = grouped.mapInArrow(compare, "a binary, b binary")
-    return links.unionAll(whole) if whole is not None else links
+    for more in sure:
+        links = links.unionAll(more)
+    return links
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:

@@ -116,6 +116,36 @@ def test_one_of_each_class_stays(odd_docs, spark):
     assert near_copies.near_copies(df.limit(0)).collect() == []
 
 
+@pytest.fixture(scope="module")
+def large_groups(spark):
+    """Groups of over 256 different near copies, of which any two are near, and different texts with a common passage."""
+    rng, rows = random.Random(11), []
+    for size in (300, 700):
+        base = text_of(rng, 100).split()
+        for k in range(size):
+            w = list(base)
+            w[5 + k % 90] = f"x{k}"
+            rows.append((len(rows) * 7 % 5003, " ".join(w)))
+    passage = text_of(rng, 40)
+    for _ in range(300):
+        own = text_of(rng, 30)
+        rows += [(len(rows) * 7 % 5003, f"{passage} {own}"), ((len(rows) + 1) * 7 % 5003, f"{passage} {own} end")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+def test_large_groups_of_near_copies(large_groups):
+    df, rows = large_groups
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_copies.near_copies(df).collect())
+    assert got == brute_near(rows)
+
+
+def test_two_thousand_near_copies_are_one_class(spark):
+    base = text_of(random.Random(12), 100).split()
+    rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(2000)]
+    got = {tuple(r) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("class_id", "n_links").collect()}
+    assert got == {(0, 1999)}
+
+
 def test_connected(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
