@@ -146,6 +146,15 @@ def test_two_thousand_near_copies_are_one_class(spark):
     assert got == {(0, 1999)}
 
 
+def test_pipeline_keeps_one_of_a_large_group(spark):
+    import corpus_pipeline
+
+    base = text_of(random.Random(12), 100).split()
+    rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()] == [0]
+
+
 def test_connected(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
