@@ -8,7 +8,8 @@ bucket of that suffix block holds the test strings to compare directly.
 The tables go to the tasks whole while there are at most TABLE_WINDOWS test strings; beyond that they are written in
 parts of that size to the shared folder, and each task loads one part after the other for every batch of documents,
 so memory stays bounded and nothing is left out. Documents are never shuffled.
-Null and empty texts have no words and no hits; items that are null, or have no words or no id, have no test string;
+Null and empty texts have no words and no hits; items that are null or have no words have no test string.
+Items without an id hit like others; they are not in the list of ids, and all of them together count one item;
 repeated rows stay. Other columns pass through; an input column named like the result is replaced.
 """
 
@@ -28,7 +29,7 @@ WINDOW = 10
 TABLE_WINDOWS = 500_000
 #: Keeps digits, letters (A-Z lower-cased) and every byte of non-ASCII characters; all else separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-RESULT = "struct<n_words: long, n_hit: long, spans: array<struct<start: int, end: int>>, items: array<long>>"
+RESULT = "struct<n_words: long, n_hit: long, spans: array<struct<start: int, end: int>>, items: array<long>, n_items: long>"
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -76,7 +77,7 @@ def build(rows) -> list[WuManber]:
 
 
 def test_strings(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """length, window (words joined by a space), items: the distinct test strings."""
+    """length, window (words joined by a space), items: the distinct test strings. A null ends the items where some have no id."""
 
     def cut(batches):
         for batch in batches:
@@ -84,11 +85,12 @@ def test_strings(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = normal_words(text)
                 n = min(window, len(w))
-                out += [(n, b" ".join(w[k : k + n]), item) for k in range(len(w) - n + 1)] if n and item is not None else []
+                out += [(n, b" ".join(w[k : k + n]), item) for k in range(len(w) - n + 1)] if n else []
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], ["length", "window", "item"])
 
     cut_up = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "length int, window binary, item long")
-    return cut_up.groupBy("length", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    unnamed = F.when(F.bool_or(F.col("item").isNull()), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return cut_up.groupBy("length", "window").agg(F.concat(F.array_sort(F.collect_set("item")), unnamed).alias("items"))
 
 
 def find_test_strings(df: DataFrame, benchmark: DataFrame, name: str = "leaks", keep: list[str] | None = None) -> DataFrame:
@@ -131,7 +133,7 @@ def find_test_strings(df: DataFrame, benchmark: DataFrame, name: str = "leaks",
                     spans[-1]["end"] = max(end, spans[-1]["end"])
                 else:
                     spans.append({"start": start, "end": end})
-            out.append({"n_words": len(w), "n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans, "items": sorted(item)})
+            out.append({"n_words": len(w), "n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans, "items": sorted(item - {None}), "n_items": len(item)})
         return out
 
     return with_result(df, name, RESULT, compute, keep)
@@ -163,7 +165,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "leaks.n_words",
         "leaks.n_hit",
-        F.size("leaks.items").cast("long").alias("n_items"),
+        "leaks.n_items",
         F.sha2(named.cast("binary"), 256).alias("items_sha256"),
         (F.col("leaks.n_hit") > 0).alias("contaminated"),
     )

@@ -172,6 +172,13 @@ def test_connected(spark):
     assert {tuple(r) for r in connected(spark.createDataFrame(pairs, "a int, b int")).collect()} == want
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "x One two y"), (2, "three"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (7, "two"), (None, "three")], "item_id int, text string")
+    got = decontamination.find_test_strings(docs, bench).select("doc_id", "leaks.n_hit", "leaks.items", "leaks.n_items").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 2, [7], 2), (2, 1, [], 1), (3, 0, [], 0)]
+
+
 def test_decontamination(spark, odd_docs, monkeypatch):
     df, rows = odd_docs
     words = rows[0][1].split()
