@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """links: (a, b), any orderable type. Returns (node, root): every node of a link with its component's least node.
 
+    It ends when a round changes nothing; where ``rounds`` are given and run out before, with an error.
     Links are only rewritten, never collected; nodes of many links are joined, not grouped."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges), None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -172,6 +172,13 @@ def test_connected(spark):
     assert {tuple(r) for r in connected(spark.createDataFrame(pairs, "a int, b int")).collect()} == want
 
 
+def test_components_are_never_cut_short(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int")
+    assert {r["root"] for r in connected(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected(path, rounds=1)
+
+
 def test_items_without_an_id_hit(spark):
     docs = spark.createDataFrame([(1, "x One two y"), (2, "three"), (3, "none")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "one two"), (7, "two"), (None, "three")], "item_id int, text string")
