@@ -112,9 +112,33 @@ class TokenFileReader:
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: How the pattern of tokens must end; before it only alternatives of plain characters.
+TOKENS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def normal_steps(parts: dict) -> list[dict]:
+    normal = parts["normalizer"]
+    return normal.get("normalizers", [normal]) if normal else []
+
+
+def white_is_dropped(parts: dict) -> bool:
+    """Whether a tokenizer (its file as a dict) gives the words of a text the ids they have alone, and white space none."""
+    steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1].get("use_regex", True):
+        return False
+    pattern = steps[0]["pattern"].get("Regex", "")
+    if not pattern.endswith(TOKENS) or re.search(r"[^a-z'|]", pattern[: -len(TOKENS)]) or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True):
+        return False
+    for s in normal_steps(parts):
+        if s["type"] not in ("NFC", "Lowercase") and (s["type"], s.get("pattern"), s.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    return not (parts["truncation"] or parts["padding"] or any(re.search(r"\s", t["content"]) for t in parts["added_tokens"]))
+
+
 class WordEncoder:
-    """Ids of a text as bytes. White space ends every token of these tokenizers, so each run of other characters is
-    encoded once and kept; a text is then the join of its words' ids. A run of letters and one of marks after it are
+    """Ids of a text as bytes. Where the tokenizer's file shows that white space ends every token and has no id, each run
+    of other characters is encoded once and kept; a text is then the join of its words' ids. Other tokenizers encode
+    whole texts. Where the file also has NFC and Lowercase, a run of letters and one of marks after it are
     tokens of their own too, so letters are encoded once for all the marks that follow them, without the normaliser."""
 
     def __init__(self, tokenizer: str, width: int):
@@ -122,8 +146,10 @@ class WordEncoder:
 
         self.whole, self.type = Tokenizer.from_file(tokenizer), {2: "H", 4: "I"}[width]
         parts = json.loads(self.whole.to_str())
-        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.splits = [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
+        self.by_word, self.splits = white_is_dropped(parts), False
+        if self.by_word:
+            steps = parts["pre_tokenizer"]["pretokenizers"]
+            self.splits = {"NFC", "Lowercase"} <= {s["type"] for s in normal_steps(parts)}
         self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[-1]})) if self.splits else None
         self.kept, self.old, self.cores, self.old_cores, self.marks = {}, {}, {}, {}, {}
 
@@ -166,6 +192,8 @@ class WordEncoder:
         self.kept.update(zip(other, self._encode(self.whole, [w.decode("utf-8") for w in other]), strict=True))
 
     def many(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._encode(self.whole, [t or "" for t in texts])
         found = [(t or "").encode("utf-8").split() for t in texts]
         here = set().union(*found)
         new = here.difference(self.kept)

@@ -334,6 +334,23 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(df.limit(0), path, out + "0").collect()).collect() == []
 
 
+def test_white_space_and_case_follow_the_tokenizer(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    vocabulary = {c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    spaces = Tokenizer(models.BPE(vocabulary, []))
+    spaces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    cased = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2).splits
+    cased.normalizer = normalizers.Sequence([normalizers.NFC()])
+    for k, tokenizer in enumerate((spaces, cased)):
+        tokenizer.save(str(tmp_path / f"{k}.json"))
+        for text in ("Ab  c\nD", "Hello WORLD's end", "", None):
+            want = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
+            assert token_files.WordEncoder(str(tmp_path / f"{k}.json"), 2)(text) == want
+
+
 def test_damaged_frames_are_noticed(tmp_path):
     path = str(tmp_path / "one.zst")
     writer = token_files.TokenFileWriter(path, 2)
