@@ -8,7 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII controls 0x09 to 0x0D. bytes.split() uses the same six bytes.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -39,6 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with ``__file`` (a hash that tells its files apart) and ``__row`` (the row's number in its file)."""
+    if {"__file", "__row"} <= set(df.columns):
+        return df
+    row = F.col("_metadata.row_index").alias("__row")
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), row)
+    except AnalysisException:  # not a plain read of files
+        name = F.regexp_replace("_metadata.file_name", "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+        return materialize(df).select("*", F.xxhash64(name).alias("__file"), row)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,7 +81,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -98,7 +113,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
-        self.hash = spans_hash(_byte_values()[data], self.start, self.end)
+        self.hash = spans_hash(byte_values()[data], self.start, self.end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each run of k words within one text."""
@@ -120,7 +135,19 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         low = high
 
 
-def with_result(df: DataFrame, name: str, fields: str, compute, keep: list[str] | None = None) -> DataFrame:
+def byte_slices(batch: pa.RecordBatch, rows: int, limit: int, column: str = "text"):
+    """Row ranges of at most ``rows`` rows and, but for a longer text alone, ``limit`` bytes of the column."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > low and (held + size > limit or k - low == rows):
+            yield low, k
+            low, held = k, 0
+        held += size
+    yield low, batch.num_rows
+
+
+def with_result(df: DataFrame, name: str, fields: str, compute, keep: list[str] | None = None, rows: int = 2000, limit: int = 1 << 22) -> DataFrame:
     """df with one struct column more (an input column of that name is replaced); ``compute`` maps a record batch to a
     list of dicts or None. keep: the input columns to pass on, all by default."""
     from pyspark.sql import types as T
@@ -130,8 +157,8 @@ def with_result(df: DataFrame, name: str, fields: str, compute, keep: list[str]
 
     def run(batches):
         for batch in batches:
-            for low in range(0, max(1, batch.num_rows), 2000):
-                part = batch.slice(low, 2000)
+            for low, high in byte_slices(batch, rows, limit):
+                part = batch.slice(low, high - low)
                 if part.num_rows:
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(compute(part), kind)], [*kept, name])
 

@@ -30,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, table
+from .common import LOWER, byte_values, shared_dir, shuffle_partitions, spans_hash, table, text_chunks
 
 #: Magic numbers of the public formats.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_DOC = -(2**63)
 MANIFEST = "file string, part int, docs long, ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Encoded words kept by a task; beyond it the cache starts anew.
-CACHED_WORDS = 400_000
+#: Tokens, and words, with their ids that a Python process keeps in a generation; there are two of each.
+CACHED = 400_000
 
 
 def filesystem(path: str):
@@ -108,12 +108,67 @@ class TokenFileReader:
         return list(range(low, high))
 
 
-#: A word of Latin letters (normalised as they stand, lower case letter by letter) and marks that end it.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-#: How the pattern of tokens must end; before it only alternatives of plain characters.
+#: How the pattern of tokens must end; before it only short endings after an apostrophe.
 TOKENS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WHITE, LETTER, NUMBER, MARK, OTHER = range(5)
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of single bytes, and of the characters U+0080 to U+00BF (after 0xC2) and U+00C0 to U+00FF (after 0xC3)."""
+    import unicodedata
+
+    def kind(code: int) -> int:
+        if code in (*range(9, 14), 0x20, 0x85, 0xA0):
+            return WHITE
+        return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], MARK)
+
+    one = np.full(256, OTHER, np.uint8)
+    one[:128] = [kind(k) for k in range(128)]
+    after = [np.full(256, OTHER, np.uint8) for _ in range(2)]
+    for k in range(64):
+        after[0][0x80 + k], after[1][0x80 + k] = kind(0x80 + k), kind(0xC0 + k)
+    return one, *after
+
+
+ONE, AFTER_C2, AFTER_C3 = _byte_classes()
+LOWER_ASCII = np.frombuffer(LOWER, np.uint8)
+#: Second bytes of the capital letters U+00C0 to U+00DE; their small letters are 0x20 further on.
+CAPITAL = np.isin(np.arange(256), [k for k in range(0x80, 0x9F) if k != 0x97])
+
+
+def token_runs(data: np.ndarray, offsets: np.ndarray, endings: list[bytes]):
+    """Cuts texts of characters up to U+00FF into runs of letters, single numbers and runs of other marks, where an
+    apostrophe takes one of ``endings`` that follows it. Lower-case bytes; start, end and text of each run."""
+    low = LOWER_ASCII[data]
+    kind = ONE[data]
+    head = kind < OTHER
+    for lead, table_of in ((0xC2, AFTER_C2), (0xC3, AFTER_C3)):
+        at = np.flatnonzero(data == lead)
+        if len(at):
+            second = data[at + 1]
+            kind[at] = kind[at + 1] = table_of[second]
+            head[at] = True
+            if lead == 0xC3:
+                low[at + 1] = np.where(CAPITAL[second], second + np.uint8(0x20), second)
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[offsets] = True
+    new[:-1] |= (kind == NUMBER) & head
+    cut = np.flatnonzero(new)
+    start, end = cut[:-1], cut[1:]
+    full = kind[start] != WHITE
+    start, end = start[full], end[full].copy()
+    if endings and len(start) > 1:
+        quote = np.flatnonzero((low[start[:-1]] == 39) & (end[:-1] == start[:-1] + 1) & (start[1:] == end[:-1]) & (kind[start[1:]] == LETTER))
+        quote = quote[np.searchsorted(offsets, start[quote], "right") == np.searchsorted(offsets, start[quote + 1], "right")]
+        for k in quote.tolist():
+            after = low[start[k + 1] : min(end[k + 1], start[k + 1] + 8)].tobytes()
+            if taken := next((len(e) for e in endings if after.startswith(e)), 0):
+                end[k] += taken
+                start[k + 1] += taken
+        full = start < end
+        start, end = start[full], end[full]
+    return low, start, end, np.searchsorted(offsets, start, "right") - 1
 
 
 def normal_steps(parts: dict) -> list[dict]:
@@ -127,7 +182,7 @@ def white_is_dropped(parts: dict) -> bool:
     if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1].get("use_regex", True):
         return False
     pattern = steps[0]["pattern"].get("Regex", "")
-    if not pattern.endswith(TOKENS) or re.search(r"[^a-z'|]", pattern[: -len(TOKENS)]) or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True):
+    if not pattern.endswith(TOKENS) or not re.fullmatch(r"('[a-z]{1,8}\|)*", pattern[: -len(TOKENS)]) or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True):
         return False
     for s in normal_steps(parts):
         if s["type"] not in ("NFC", "Lowercase") and (s["type"], s.get("pattern"), s.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
@@ -135,23 +190,28 @@ def white_is_dropped(parts: dict) -> bool:
     return not (parts["truncation"] or parts["padding"] or any(re.search(r"\s", t["content"]) for t in parts["added_tokens"]))
 
 
-class WordEncoder:
-    """Ids of a text as bytes. Where the tokenizer's file shows that white space ends every token and has no id, each run
-    of other characters is encoded once and kept; a text is then the join of its words' ids. Other tokenizers encode
-    whole texts. Where the file also has NFC and Lowercase, a run of letters and one of marks after it are
-    tokens of their own too, so letters are encoded once for all the marks that follow them, without the normaliser."""
+class TextEncoder:
+    """Ids of texts as bytes, by the tokenizers library.
+
+    Where the tokenizer's file shows that white space ends every token and has no id, each word is encoded once and kept,
+    and a text is the join of its words' ids. Where the file also has NFC and Lowercase, texts of characters up to
+    U+00FF (which NFC leaves alone) are cut into the pattern's tokens in numpy, and those are encoded once and kept,
+    without normaliser and pattern. Other tokenizers, and texts with an added token's string, are encoded whole."""
 
     def __init__(self, tokenizer: str, width: int):
         from tokenizers import Tokenizer
 
         self.whole, self.type = Tokenizer.from_file(tokenizer), {2: "H", 4: "I"}[width]
+        self.width = width
         parts = json.loads(self.whole.to_str())
-        self.by_word, self.splits = white_is_dropped(parts), False
-        if self.by_word:
+        self.by_word = white_is_dropped(parts)
+        self.added = [t["content"].encode("utf-8") for t in parts["added_tokens"]]
+        self.bare = None
+        if self.by_word and {"NFC", "Lowercase"} <= {s["type"] for s in normal_steps(parts)}:
             steps = parts["pre_tokenizer"]["pretokenizers"]
-            self.splits = {"NFC", "Lowercase"} <= {s["type"] for s in normal_steps(parts)}
-        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[-1]})) if self.splits else None
-        self.kept, self.old, self.cores, self.old_cores, self.marks = {}, {}, {}, {}, {}
+            self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": steps[-1], "added_tokens": []}))
+            self.endings = [e.encode() for e in steps[0]["pattern"]["Regex"][: -len(TOKENS)].replace("'", "").split("|") if e]
+        self.runs, self.words = ({}, {}), ({}, {})
 
     def _encode(self, tokenizer, new: list[str]) -> list[bytes]:
         coded = [array(self.type, c.ids) for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
@@ -160,58 +220,89 @@ class WordEncoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in coded]
 
-    def _letters(self, wanted: set[str]) -> dict[str, bytes]:
-        if len(self.cores) > CACHED_WORDS // 2:
-            self.old_cores, self.cores = self.cores, {}
+    def _look_up(self, which: str, tokenizer, keys: list[bytes]) -> list[bytes]:
+        """Ids of each key, from what is kept (two generations of at most CACHED entries each) or newly encoded."""
+        kept, old = getattr(self, which)
+        if len(kept) > CACHED:
+            kept, old = {}, kept
+            setattr(self, which, (kept, old))
+        found = list(map(kept.get, keys))
+        missing = [k for k, ids in enumerate(found) if ids is None]
         new = []
-        for core in wanted.difference(self.cores):
-            if core in self.old_cores:
-                self.cores[core] = self.old_cores[core]
+        for k in missing:
+            if (ids := old.get(keys[k])) is None:
+                new.append(k)
             else:
-                new.append(core)
-        self.cores.update(zip(new, self._encode(self.bare, new), strict=True))
-        return self.cores
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain, other, marks = [], [], set()
-        for w in words:
-            if w in self.old:
-                self.kept[w] = self.old[w]
-            elif self.splits and (m := PLAIN.fullmatch(w.decode("utf-8"))):
-                plain.append((w, m[1].lower(), m[2]))
-                marks.add(m[2])
-            else:
-                other.append(w)
-        if len(self.marks) > CACHED_WORDS // 8:
-            self.marks = {}
-        marks = list(marks.difference(self.marks))
-        self.marks.update(zip(marks, self._encode(self.whole, marks), strict=True))
-        ends = self.marks
-        cores = self._letters({core for _, core, _ in plain}) if plain else {}
-        self.kept.update((w, cores[core] + ends[mark]) for w, core, mark in plain)
-        self.kept.update(zip(other, self._encode(self.whole, [w.decode("utf-8") for w in other]), strict=True))
+                found[k] = kept[keys[k]] = ids
+        for k, ids in zip(new, self._encode(tokenizer, [keys[k].decode("utf-8") for k in new]), strict=True):
+            found[k] = kept[keys[k]] = ids
+        return found
+
+    def _by_word(self, text: bytes) -> bytes:
+        w = text.split()
+        return b"".join(self._look_up("words", self.whole, w)) if w else b""
+
+    def _by_runs(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes] | None:
+        low, start, end, text = token_runs(data, offsets, self.endings)
+        if not len(start):
+            return [b""] * (len(offsets) - 1)
+        code, distinct = pd.factorize(spans_hash(byte_values()[low], start, end))
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        size, like = end - start, first[code]
+        if (size != size[like]).any():
+            return None
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (low[np.repeat(start, size) + inner] != low[np.repeat(start[like], size) + inner]).any():
+            return None
+        raw = low.tobytes()
+        coded = self._look_up("runs", self.bare, [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        ids = np.frombuffer(b"".join(coded), f"<u{self.width}")
+        count = np.fromiter(map(len, coded), np.int64, len(coded)) // self.width
+        begin = np.cumsum(count) - count
+        times = count[code]
+        stop = np.cumsum(times)
+        out = ids[np.repeat(begin[code] - stop + times, times) + np.arange(stop[-1])].tobytes()
+        edge = (np.append(0, stop)[np.searchsorted(text, np.arange(len(offsets)))] * self.width).tolist()
+        return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of the texts that lie in one byte buffer."""
+        n, raw = len(offsets) - 1, data.tobytes()
+        cut = offsets.tolist()
+        texts = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if not self.by_word:
+            return self._encode(self.whole, [t.decode("utf-8") for t in texts])
+        lower = raw.translate(LOWER)
+        special = set()
+        if any(a in raw or a.translate(LOWER) in lower for a in self.added):
+            special = {k for k, t in enumerate(texts) if any(a in t or a.translate(LOWER) in t.translate(LOWER) for a in self.added)}
+        wide = set(range(n)) if self.bare is None else set((np.searchsorted(offsets, np.flatnonzero(data >= 0xC4), "right") - 1).tolist())
+        odd = special | wide
+        if odd:
+            plain = [k for k in range(n) if k not in odd]
+            own = np.frombuffer(b"".join(texts[k] for k in plain), np.uint8)
+            coded = self._by_runs(own, np.cumsum([0, *(len(texts[k]) for k in plain)])) if plain else []
+        else:
+            plain, coded = range(n), self._by_runs(data, offsets)
+        coded = [self._by_word(texts[k]) for k in plain] if coded is None else coded
+        out = dict(zip(plain, coded, strict=True))
+        out |= {k: self._encode(self.whole, [texts[k].decode("utf-8")])[0] if k in special else self._by_word(texts[k]) for k in odd}
+        return [out[k] for k in range(n)]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(self.whole, [t or "" for t in texts])
-        found = [(t or "").encode("utf-8").split() for t in texts]
-        here = set().union(*found)
-        new = here.difference(self.kept)
-        if new:
-            if len(self.kept) > CACHED_WORDS:
-                self.old, self.kept, new = self.kept, {}, here
-            self._learn(new)
-        return [b"".join(map(self.kept.__getitem__, f)) for f in found]
+        raw = [(t or "").encode("utf-8") for t in texts]
+        return self.chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
 
 @lru_cache(maxsize=1)
-def word_encoder(tokenizer: str, width: int) -> WordEncoder:
+def text_encoder(tokenizer: str, width: int) -> TextEncoder:
     """One per Python process, so that it serves all the tasks that run there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(tokenizer, width)
+    return TextEncoder(tokenizer, width)
 
 
 def write_token_files(df: DataFrame, tokenizer: str, out: str, end_id: int = 2, files: int | None = None) -> DataFrame:
@@ -222,14 +313,13 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, end_id: int = 2,
     width = 2 if max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
 
     def write(batches):
-        part, writer, encode, ids = TaskContext.get().partitionId(), None, None, 0
-        encode, end = word_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        part, writer, ids = TaskContext.get().partitionId(), None, 0
+        encode, end = text_encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 250):
-                some = batch.slice(low, 250)
-                if writer is None:
-                    writer = TokenFileWriter(f"{out}/ids-{part:06d}.zst", width)
-                for doc, coded in zip(some.column("doc_id").to_pylist(), encode.many(some.column("text").to_pylist()), strict=True):
+            doc_ids = batch.column("doc_id").to_pylist()
+            for low, high, data, offsets in text_chunks(batch, "text"):
+                writer = writer or TokenFileWriter(f"{out}/ids-{part:06d}.zst", width)
+                for doc, coded in zip(doc_ids[low:high], encode.chunk(data, offsets), strict=True):
                     writer.write(doc, coded + end)
                     ids += len(coded) // width + 1
         if writer is not None:

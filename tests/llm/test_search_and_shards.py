@@ -71,7 +71,8 @@ def test_matrix_has_its_margins_and_law():
 
 
 def test_shards_are_exact_gapless_and_repeatable(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 5)
     rows = [(i if i % 9 else None, "same" if i % 3 else f"t{i}", 7) for i in range(500)] + [(1, "same", 7)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     out = sharding.shuffle_to_shards(df, 40)
@@ -80,11 +81,42 @@ def test_shards_are_exact_gapless_and_repeatable(spark, monkeypatch):
     sizes = Counter(s for *_, s, _ in got)
     assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 1
     assert sorted((s, k) for *_, s, k in got) == sorted((s, k) for s, n in sizes.items() for k in range(n))
-    again = sharding.shuffle_to_shards(df.repartition(7), 40).collect()
+    again = sharding.shuffle_to_shards(df, 40).collect()
     assert sorted(map(str, again)) == sorted(map(str, out.collect()))
     assert sharding.shuffle_to_shards(df.limit(0), 40).collect() == []
 
 
+def test_copies_and_neighbours_go_their_own_ways(spark, tmp_path, monkeypatch):
+    """Rows of one key, null keys and neighbours in a file are as independent as any rows."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    n = 6000
+    df = spark.range(n).select(F.when(F.col("id") % 4 > 0, F.col("id") - F.col("id") % 4).alias("doc_id"), F.lit("same").alias("text"))
+    df.repartition(3, "text").write.parquet(str(tmp_path / "t"))
+    got = sharding.shuffle_to_shards(spark.read.parquet(str(tmp_path / "t")), 20).select("doc_id", "shard", "slot").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    nulls = Counter(s for s, _ in by.pop(None))
+    assert sum((nulls[s] - n / 4 / 20) ** 2 / (n / 4 / 20) for s in range(20)) < 45  # chi-square, 19 degrees
+    triples = list(by.values())
+    together = sum(len({s for s, _ in t}) == 1 for t in triples)
+    assert together < 20  # 1500 / 400 expected
+    beside = sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for t in triples for a, b in zip(sorted(t), sorted(t)[1:], strict=False))
+    assert beside < 10
+    first, second = (np.array([t[k] for t in triples if None not in t])[:, 1] for k in (0, 1))
+    assert abs(np.corrcoef(first, second)[0, 1]) < 0.1
+
+
+def test_every_arrangement_is_as_likely(spark):
+    """Chi-square over the orders of three rows in two shards, by 60 seeds."""
+    one = sharding.numbered(spark.range(3).select(F.col("id").alias("doc_id"))).cache()
+    seen = Counter()
+    for seed in range(0, 600, 10):
+        got = sharding.shuffle_to_shards(one, 2, seed=seed).collect()
+        seen[tuple(r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"])))] += 1
+    assert len(seen) == 6 and sum((seen[x] - 10) ** 2 / 10 for x in seen) < 20  # 5 degrees
+
+
 def test_sharding_runs_without_python(spark):
     df = spark.range(100).select(F.col("id").alias("doc_id"))
     plan = sharding.shuffle_to_shards(df, 4)._jdf.queryExecution().executedPlan().toString()

@@ -112,7 +112,10 @@ def test_one_of_each_class_stays(odd_docs, spark):
     df, rows = odd_docs
     kept = near_copies.keep_one(df).collect()
     classes = {(d, c) for d, c, _ in brute_near(rows) if d is not None}
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(d for d, c in classes if d == c)
+    assert sorted(r["doc_id"] for r in kept) == sorted(d for d, c in classes if d == c)  # the null id is a copy of others
+    unnamed = spark.createDataFrame([(None, text_of(random.Random(1), 60)), (None, text_of(random.Random(1), 60) + " x"), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_links"] for r in near_copies.near_copies(unnamed).collect()) == [0, 1, 1]
+    assert near_copies.keep_one(unnamed).count() == 2
     assert near_copies.near_copies(df.limit(0)).collect() == []
 
 
@@ -139,6 +142,22 @@ def test_large_groups_of_near_copies(large_groups):
     assert got == brute_near(rows)
 
 
+def test_pairs_of_common_passages_are_found(spark):
+    """Documents of 5 out of 20 common passages, most of whose shingles lie in large buckets, and altered copies of
+    some, at 0.8 to 0.98: every link to a copy is there, as all pairs say."""
+    rng = random.Random(5)
+    passages = [text_of(rng, 60, 5000) for _ in range(20)]
+    rows = [(k, " ".join(rng.sample(passages, 5))) for k in range(1500)]
+    for k in range(200):
+        w = rows[k * 7][1].split()
+        for _ in range(1 + k % 6):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        rows.append((2000 + k, " ".join(w)))
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_near(rows)
+    assert got == want and sum(n > 0 for _, _, n in want) > 350
+
+
 def test_two_thousand_near_copies_are_one_class(spark):
     base = text_of(random.Random(12), 100).split()
     rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(2000)]
@@ -342,13 +361,28 @@ def test_white_space_and_case_follow_the_tokenizer(tmp_path):
     spaces = Tokenizer(models.BPE(vocabulary, []))
     spaces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
     cased = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    assert token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2).splits
+    assert token_files.TextEncoder(public_tokenizers.path("word_bpe_49k.json"), 2).bare is not None
     cased.normalizer = normalizers.Sequence([normalizers.NFC()])
     for k, tokenizer in enumerate((spaces, cased)):
         tokenizer.save(str(tmp_path / f"{k}.json"))
         for text in ("Ab  c\nD", "Hello WORLD's end", "", None):
             want = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
-            assert token_files.WordEncoder(str(tmp_path / f"{k}.json"), 2)(text) == want
+            assert token_files.TextEncoder(str(tmp_path / f"{k}.json"), 2)(text) == want
+
+
+def test_token_ids_are_the_tokenizers_own(monkeypatch):
+    """Random texts of apostrophes, marks, numbers, wide characters, white space and added tokens, with small caches."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "CACHED", 50)
+    encode, rng = token_files.TextEncoder(public_tokenizers.path("word_bpe_49k.json"), 2), random.Random(3)
+    pieces = "the Don't l'\u00e9t\u00e9 \u00c9COLE 's 'S 're ''s \"'s 'vex 'llama don''t x\u00b2 \u00bd \u00b5m \u00aa\u00ba 123 a1b2 -- (foo) <|endoftext|> <|EndOfText|> foo<|startoftext|>x \u65e5\u672c\u8a9e \u0130stanbul \u03a3\u0391\u03a3 \u00df \u00d7\u00f7 _a_ \U0001f600 \u00ff\u00de".split(" ")
+    pieces += ["\x85", "\xa0", "\x1c", "\x00", "\t", "\n", " "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += ["".join(chr(rng.choice([rng.randint(1, 255), 39, 115, 116, rng.randint(1, 0x2FFF)])) for _ in range(rng.randint(0, 20))) for _ in range(800)]
+    for low in range(0, len(texts), 100):
+        for text, ids in zip(texts[low : low + 100], encode.many(texts[low : low + 100]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == encode.whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_damaged_frames_are_noticed(tmp_path):
