@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from .operators.collect import plan_documents
 from .plans import render
 from .plans.nesting import STRATEGIES
-from .sources.documents import from_table, read_documents
+from .sources.documents import from_table, read_documents, sample
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--collection", required=True)
     p.add_argument("--key", default="_id", help="column of a typed table that is the document's key")
     p.add_argument("--sample", type=int, default=0, help="documents to profile; 0 for all")
+    p.add_argument("--seed", type=int, default=0, help="of the sample")
     p.add_argument("--schema", default="dbo")
     p.add_argument("--database", default="docs", help="database name in the DRDL")
     p.add_argument("--nesting", choices=list(STRATEGIES), default="deep")
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         docs = read_documents(spark, a.from_file)
     else:
         docs = from_table(spark.read.parquet(a.from_parquet).withColumnRenamed(a.key, "_id"), "_id")
-    docs = docs.orderBy("seq").limit(a.sample) if a.sample else docs
+    docs = sample(docs, a.sample, "seq", a.seed)
     if docs.isEmpty():
         print("no documents", file=sys.stderr)
         return 1

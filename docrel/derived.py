@@ -46,7 +46,7 @@ def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """_id, name, orders [{key, total, lines [{part, supp, qty, price}]}]."""
     orders = table(spark, sf_dir, "orders").join(_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"), F.coalesce("items", F.array()).alias("lines"))
-    per = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order), lambda a, b: (a["key"] - b["key"]).cast("int")).alias("orders"))
+    per = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(order), lambda a, b: F.signum(a["key"] - b["key"]).cast("int")).alias("orders"))
     joined = table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"), F.coalesce("orders", F.array()).alias("orders"))
 

@@ -25,9 +25,12 @@ def map_infos(filled: DataFrame, min_keys: int, max_fill: float) -> dict[str, di
 def plan_documents(
     docs: DataFrame, collection: str, nesting: str = "deep", schema: str = "dbo", min_keys: int = 30, max_fill: float = 0.2, headroom: float = 1.5
 ) -> tuple[Plan, Profile]:
-    filled, documents = profile_documents(docs)
+    # One path more than the limit tells whether any was left out.
+    filled, documents = profile_documents(docs, MAX_PATHS + 1)
     filled = filled.persist()
-    profile = Profile.collect(filled, documents, truncated=filled.count() >= MAX_PATHS)
+    truncated = filled.count() > MAX_PATHS
+    filled = filled.orderBy("first").limit(MAX_PATHS) if truncated else filled
+    profile = Profile.collect(filled, documents, truncated=truncated)
     infos = map_infos(filled, min_keys, max_fill)
     filled.unpersist()
     docs.unpersist()

@@ -21,6 +21,7 @@ def _facts(level: DataFrame) -> DataFrame:
 
 
 def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
+    """Documents deeper than ``max_depth`` levels are an error, as their facts would be incomplete."""
     spark = docs.sparkSession
     boxes = docs.where(label(F.col("v")) == "object").select(
         "seq", F.array().cast("array<int>").alias("ord"), F.lit("").alias("base"), F.lit(False).alias("in_array"), "v"
@@ -47,8 +48,8 @@ def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
             F.col("value").alias("v"),
         ).persist()
         if boxes.isEmpty():
-            break
-    return out
+            return out
+    raise ValueError(f"documents are deeper than {max_depth} levels")
 
 
 def first_paths(found: DataFrame, max_paths: int) -> DataFrame:

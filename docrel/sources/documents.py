@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,36 @@ def from_table(df: DataFrame, key: str | None = None, nulls: bool = False) -> Da
     return df.select(seq.alias("seq"), v.alias("v"))
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document per line; blank lines and lines that are not JSON are skipped."""
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line, v): lines that are not blank, with v null where a line is not JSON."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("seq"), F.try_parse_json("value").alias("v")).where("v is not null")
+    return lines.select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"), F.try_parse_json("value").alias("v"))
+
+
+def read_json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """One document per line; blank lines are skipped. A line that is not JSON is an error, or left out if not strict
+    (``bad_lines`` counts those)."""
+    lines = json_lines(spark, path)
+    if not strict:
+        return lines.where("v is not null").select("seq", "v")
+    # Spark may look at a value before it drops blank lines.
+    broken = F.col("v").isNull() & (F.trim("line") != "")
+    failed = F.raise_error(F.concat(F.lit("not JSON: "), F.left("line", F.lit(80)))).cast("variant")
+    return lines.select("seq", F.when(broken, failed).otherwise(F.col("v")).alias("v"))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    return json_lines(spark, path).where("v is null").agg(F.count("*").alias("n"))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("a"), F.monotonically_increasing_id().alias("file"))
+    """One JSON array per file, read in the order of the files' names; each file is one task."""
+    files = spark.read.text(path, wholetext=True)
+    names = files.select(F.col("_metadata.file_path").alias("file")).distinct()
+    order = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("k"))
+    whole = files.select(F.try_parse_json("value").alias("a"), F.col("_metadata.file_path").alias("file")).join(order, "file")
     items = whole.lateralJoin(spark.tvf.variant_explode(F.col("a").outer()))
-    return items.select((F.col("file") * (1 << 32) + F.col("pos")).alias("seq"), F.col("value").alias("v"))
+    return items.select((F.col("k") * (1 << 32) + F.col("pos")).alias("seq"), F.col("value").alias("v"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -83,6 +83,34 @@ def test_plans(docs, strategy):
     assert {t.name: [(c.name, c.sql_type, c.nullable) for c in t.columns] for t in plan.tables} == EXPECTED[strategy]
 
 
+def test_many_array_files_and_bad_lines(spark, tmp_path):
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    for k in range(6):
+        (folder / f"{k}.json").write_text(f'[{{"_id": {2 * k}}}, {{"_id": {2 * k + 1}}}]')
+    got = S.read_documents(spark, str(folder)).orderBy("seq").select(F.to_json("v").alias("x")).collect()
+    assert [r["x"] for r in got] == [f'{{"_id":{k}}}' for k in range(12)]
+    lines = tmp_path / "lines.jsonl"
+    lines.write_text('{"_id": 1}\n\nnot json\n{"_id": 2}\n')
+    assert S.bad_lines(spark, str(lines)).first()["n"] == 1
+    assert S.read_json_lines(spark, str(lines), strict=False).count() == 2
+    with pytest.raises(Exception, match="not JSON"):
+        S.read_json_lines(spark, str(lines)).select(F.to_json("v")).collect()
+
+
+def test_wrappers_have_one_key_and_depth_is_bounded(spark):
+    from docrel.functions.variants import label
+    from docrel.operators.walk import facts
+
+    texts = ['{"$date": "2024-01-01T00:00:00Z"}', '{"$date": "2024-01-01T00:00:00Z", "x": 1}', '{"$ref": "a", "$id": 1}']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "seq long, t string").select("seq", F.parse_json("t").alias("v"))
+    assert [r["k"] for r in rows.orderBy("seq").select(label(F.col("v")).alias("k")).collect()] == ["date", "object", "object"]
+    deep = spark.createDataFrame([(0, '{"a": {"b": {"c": 1}}}')], "seq long, t string").select("seq", F.parse_json("t").alias("v"))
+    assert facts(deep, 3).count() == 3
+    with pytest.raises(ValueError, match="deeper"):
+        facts(deep, 2)
+
+
 def test_flattened_rows_and_renderings(docs):
     plan, profile = plan_documents(docs, "orders")
     got = {n: sorted(map(tuple, df.drop("__clipped").collect())) for n, df in FL.flatten(docs, plan).items()}
