@@ -51,9 +51,8 @@ def label(v: Column, shape: Column | None = None) -> Column:
     head = F.regexp_extract(shape, "^[A-Z_]+", 0)
     # A literal with decimals is an exact DECIMAL to Spark; only whole numbers too large for 64 bits are integers.
     large = F.rlike(shape, F.lit(r"^DECIMAL\((2[0-9]|3[0-9]),0\)"))
-    # A wrapper has no other key than its own.
-    wrapper = F.regexp_extract(shape, r"^OBJECT<`\$(\w+)`: ", 1)
-    wrapper = F.when((wrapper != "") & (F.size(F.try_variant_get(v, "$", "map<string,variant>")) == 1), wrapper).otherwise("")
+    # A wrapper has no other key than its own, and in it a single value or a flat object or array.
+    wrapper = F.regexp_extract(shape, r"^OBJECT<`\$(\w+)`: (?:[A-Z_ ]+(?:\(\d+,\d+\))?|[A-Z]+<[^<>]*>)>$", 1)
     named = F.try_element_at(F.create_map(*[F.lit(x) for pair in WRAPPERS.items() for x in pair]), wrapper)
     return (
         F.when(v.isNull(), "null")

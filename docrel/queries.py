@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .operators import flatten as FL
 from .operators import profile as P
 from .operators.collect import plan_documents, plan_typed, profile_documents
 from .operators.flatten_typed import flatten_typed
-from .operators.load import encode_key, upserted, without_keys
+from .operators.load import Catalog, encode_key, ensure_tables, load, load_watermark, save_watermark, upserted, without_keys
 from .operators.walk import facts, first_paths
 from .plans import nesting, render
 from .plans.infer import Profile, bi_type, declared_type
@@ -475,3 +477,132 @@ def column_widths_bind(spark: SparkSession, sf: str) -> DataFrame:
     bound = nesting.bind(plan, {"orders": {"o_orderstatus": 8, "o_orderpriority": 8}})
     rows = [(a.name, a.sql_type, b.sql_type) for a, b in zip(plan.root.columns, bound.root.columns, strict=True) if a.name != nesting.ROOT_KEY]
     return spark.createDataFrame(rows, "name string, planned string, bound string")
+
+
+# Files, wrappers and a live catalogue ------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/docrel-{uuid.uuid4().hex}"
+
+
+_NAMES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@query(" union all ".join(f"select cast({k} as integer) as place, '{n}' as name, (select count(*) from {n}) as n" for k, n in enumerate(_NAMES)))
+def catalog_sorted_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of a schema by name, with their number of rows."""
+    schema = f"names_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema}")
+    for name in reversed(_NAMES):
+        spark.sql(f"CREATE TABLE {schema}.{name} USING parquet LOCATION '{sf}/{name}.parquet'")
+    out = None
+    for k, name in enumerate(S.list_tables(spark, schema)):
+        one = S.count(spark.table(f"{schema}.{name}")).select(F.lit(k).alias("place"), F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_LINES_SQL = "select c_custkey as key, c_name as name, cast(c_acctbal as double) as balance from customer"
+
+
+def _customer_json(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal")).alias("value"))
+
+
+def _customers(docs: DataFrame) -> DataFrame:
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    return docs.select(get("_id", "bigint").alias("key"), get("c_name", "string").alias("name"), get("c_acctbal", "double").alias("balance"))
+
+
+@query(_LINES_SQL)
+def json_lines_source(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark)
+    _customer_json(spark, sf).select("value").write.text(path)
+    return _customers(S.read_documents(spark, path))
+
+
+@query(_LINES_SQL)
+def json_array_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven array files."""
+    path = _folder(spark)
+    parts = _customer_json(spark, sf).groupBy((F.col("c_custkey") % 7).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    parts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _customers(S.read_documents(spark, path))
+
+
+def _wrapped(spark: SparkSession, sf: str) -> DataFrame:
+    """at (a date), id (an object id), bin (bytes), two (an object whose first key looks like a wrapper's)."""
+    text = F.format_string(
+        '{"_id": %d, "at": {"$date": {"$numberLong": "%d"}}, "id": {"$oid": "%024x"}, "bin": {"$binary": {"base64": "%s", "subType": "00"}}, "two": {"$date": "2024-01-01", "x": 1}}',
+        "event_id", F.col("event_id") * 1000, "event_id", F.base64(F.col("event_type").cast("binary")),
+    )
+    return table(spark, sf, "events").select(F.col("event_id").cast("long").alias("seq"), F.parse_json(text).alias("v"))
+
+
+@query("""select t.path, t.type, n from (select count(*) as n from events), (values ('at', 'date'), ('id', 'objectId'), ('bin', 'binary'), ('two', 'object'), ('two.$date', 'string'), ('two.x', 'int')) t(path, type)""")
+def extended_json_types(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(_wrapped(spark, sf)).where("path <> '_id'").groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@query("select event_id as seq, epoch_ms(event_id * 1000) as at from events")
+def coerce_datetime(spark: SparkSession, sf: str) -> DataFrame:
+    return _wrapped(spark, sf).select("seq", V.coerce(FL.at(F.col("v"), "at"), "DATETIME2(3)")[0].alias("at"))
+
+
+@query("select event_id as seq, lower(hex(event_type)) as bytes, lpad(lower(to_hex(event_id)), 24, '0') as id from events")
+def coerce_binary(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _wrapped(spark, sf)
+    raw = V.coerce(FL.at(F.col("v"), "bin"), "VARBINARY(MAX)")[0]
+    return docs.select("seq", F.lower(F.hex(raw)).alias("bytes"), V.coerce(FL.at(F.col("v"), "id"), "CHAR(24)")[0].alias("id"))
+
+
+@query("""with k as (select bool_or(o_orderkey % 2 = 0) as even, bool_or(o_orderkey % 2 = 1) as odd from orders)
+select 'mixed' as name, case when even and odd then 'FLOAT' when even then 'INT' else 'FLOAT' end as sql_type from k
+union all select 'wide', case when max(o_orderkey) * 1000000 >= 2147483648 then 'BIGINT' else 'INT' end from orders
+union all select 'text', case when even and odd then 'NVARCHAR(128)' else 'INT' end from k""")
+def numeric_widening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole and fractional numbers, numbers beyond 32 bits, numbers and text in one field."""
+    even = F.col("o_orderkey") % 2 == 0
+    number = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit('{"_id": '), number, F.lit(', "mixed": '), number, F.when(even, "").otherwise(".5"), F.lit(', "wide": '), (F.col("o_orderkey") * 1000000).cast("string"),
+        F.lit(', "text": '), F.when(even, number).otherwise(F.concat(F.lit('"t'), number % 10, F.lit('"'))), F.lit("}"),
+    )
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("seq"), F.parse_json(text).alias("v"))
+    plan, _ = plan_documents(docs, "numbers")
+    return spark.createDataFrame([(c.name, c.sql_type) for c in plan.root.columns if c.name != nesting.ROOT_KEY], "name string, sql_type string")
+
+
+@query("""with o as (select * from orders where o_orderkey % 7 <> 0), i as (select l_orderkey as k, l_linenumber as n from lineitem union all select l_orderkey, l_linenumber from lineitem where l_partkey % 11 = 0)
+select (select count(*) from i where k not in (select o_orderkey from o)) as orphans,
+  (select count(*) from (select k, n from i group by k, n having count(*) > 1)) as duplicates""")
+def key_violations_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Children without a parent row and repeated child keys, on rows that have both."""
+    orders = table(spark, sf, "orders").where("o_orderkey % 7 <> 0")
+    own = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    items = own.unionAll(own.where("l_partkey % 11 = 0"))
+    orphans = without_keys(items, "l_orderkey", orders.select("o_orderkey")).agg(F.count("*").alias("orphans"))
+    twice = items.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.count("*").alias("duplicates"))
+    return orphans.crossJoin(twice)
+
+
+@query("""select o_orderkey as mongo_id, left(o_orderpriority, 8) as priority, case when o_orderkey % 3 = 0 then o_orderstatus || '2' else o_orderstatus end as status, 2 as runs,
+  (select cast(max(o_orderkey) as varchar) from orders) as last_id from orders""")
+def load_live_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables made in a live catalogue with narrower text, the plan bound to their widths, a load of all documents and one
+    of those that changed, and the watermark read back."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    catalog = Catalog(spark, f"live_{uuid.uuid4().hex}")
+    plan, _ = plan_documents(S.from_table(rows, "_id"), "orders")
+    ensure_tables(catalog, nesting.relax(nesting.bind(plan, {"orders": {"priority": 8, "status": 8}})))
+    bound = nesting.bind(nesting.relax(plan), {"orders": catalog.widths("orders")})
+    save_watermark(catalog, "orders", load(S.from_table(rows, "_id"), bound, catalog))
+    changed = rows.where("_id % 3 = 0").withColumn("status", F.concat("status", F.lit("2")))
+    stats = load(S.from_table(changed, "_id"), bound, catalog, mode="incremental")
+    runs = 2 if stats.total_rows == changed.count() else 0
+    last = load_watermark(catalog, "orders")
+    return catalog.read("orders").select("mongo_id", "priority", "status", F.lit(runs).alias("runs"), F.lit(str(last)).alias("last_id"))

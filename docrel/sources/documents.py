@@ -37,11 +37,12 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file, read in the order of the files' names; each file is one task."""
+    """One JSON array per file, read in the order of the files' names; each file is one task. A file that is not one
+    JSON value is an error."""
     files = spark.read.text(path, wholetext=True)
     names = files.select(F.col("_metadata.file_path").alias("file")).distinct()
     order = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("k"))
-    whole = files.select(F.try_parse_json("value").alias("a"), F.col("_metadata.file_path").alias("file")).join(order, "file")
+    whole = files.select(F.when(F.trim("value") != "", F.parse_json("value")).alias("a"), F.col("_metadata.file_path").alias("file")).join(order, "file")
     items = whole.lateralJoin(spark.tvf.variant_explode(F.col("a").outer()))
     return items.select((F.col("k") * (1 << 32) + F.col("pos")).alias("seq"), F.col("value").alias("v"))
 
