@@ -5,9 +5,10 @@ of equal length m share tables over blocks of two neighbouring words: SHIFT hold
 block stands at the window's end, and jumps m-1 words over blocks that no test string has; where the shift is 0, the
 bucket of that suffix block holds the test strings to compare directly.
 
-The tables go to the tasks whole while there are at most TABLE_WINDOWS test strings; beyond that they are written in
-parts of that size to the shared folder, and each task loads one part after the other for every batch of documents,
-so memory stays bounded and nothing is left out. Documents are never shuffled.
+The tables go to the tasks whole while there are at most TABLE_WINDOWS test strings of at most TABLE_BYTES; beyond that
+they are written in parts of that size to the shared folder, and each task loads one part after the other for every
+TEXT_BYTES of documents (about once for an input partition), so memory stays bounded and nothing is left out. Documents
+are never shuffled; texts of any length are searched whole.
 Null and empty texts have no words and no hits; items that are null or have no words have no test string.
 Items without an id hit like others; they are not in the list of ids, and all of them together count one item;
 repeated rows stay. Other columns pass through; an input column named like the result is replaced.
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table, with_result
 
 WINDOW = 10
-#: Test strings held by a task at once (some 100 MB).
-TABLE_WINDOWS = 500_000
+#: Test strings held by a task at once, and their bytes (some 100 MB in all); texts held while parts are loaded in turn.
+TABLE_WINDOWS, TABLE_BYTES, TEXT_BYTES = 500_000, 1 << 26, 1 << 26
 #: Keeps digits, letters (A-Z lower-cased) and every byte of non-ASCII characters; all else separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-RESULT = "struct<n_words: long, n_hit: long, spans: array<struct<start: int, end: int>>, items: array<long>, n_items: long>"
+RESULT = "struct<n_words: long, n_hit: long, spans: array<struct<start: int, end: int>>, items: array<{}>, n_items: long>"
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -76,9 +77,16 @@ def build(rows) -> list[WuManber]:
     return [WuManber(strings, length) for length, strings in sorted(by.items())]
 
 
+def id_type(benchmark: DataFrame) -> str:
+    """Ids of items stay text, or are whole numbers."""
+    return "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "long"
+
+
 def test_strings(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """length, window (words joined by a space), items: the distinct test strings. A null ends the items where some have no id."""
 
+    kind = id_type(benchmark)
+
     def cut(batches):
         for batch in batches:
             out = []
@@ -86,17 +94,18 @@ def test_strings(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = normal_words(text)
                 n = min(window, len(w))
                 out += [(n, b" ".join(w[k : k + n]), item) for k in range(len(w) - n + 1)] if n else []
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], ["length", "window", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.string() if kind == "string" else pa.int64()))], ["length", "window", "item"])
 
-    cut_up = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "length int, window binary, item long")
-    unnamed = F.when(F.bool_or(F.col("item").isNull()), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+    cut_up = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), "text").mapInArrow(cut, f"length int, window binary, item {kind}")
+    unnamed = F.when(F.bool_or(F.col("item").isNull()), F.array(F.lit(None).cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
     return cut_up.groupBy("length", "window").agg(F.concat(F.array_sort(F.collect_set("item")), unnamed).alias("items"))
 
 
 def find_test_strings(df: DataFrame, benchmark: DataFrame, name: str = "leaks", keep: list[str] | None = None) -> DataFrame:
     """df with a struct: words, words hit, merged word spans that are hit, items found."""
     strings = materialize(test_strings(benchmark))
-    parts = math.ceil(strings.count() / TABLE_WINDOWS)
+    many = strings.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("size")).first()
+    parts = max(math.ceil(many["n"] / TABLE_WINDOWS), math.ceil(many["size"] / TABLE_BYTES))
     spark = df.sparkSession
     if parts <= 1:
         tables = spark.sparkContext.broadcast([tuple(r) for r in strings.collect()])
@@ -116,27 +125,30 @@ def find_test_strings(df: DataFrame, benchmark: DataFrame, name: str = "leaks",
                 yield build(_read_part(folder, k))
 
     def compute(batch):
-        texts = [normal_words(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        sizes = [0] * len(texts)
         hits: list[list] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
         for found in tables_of_task():
-            for matcher in found:
-                for w, hit, item in zip(texts, hits, items, strict=True):
+            for k, text in enumerate(texts):
+                w = normal_words(text)
+                sizes[k] = len(w)
+                for matcher in found:
                     for at, string in matcher.search(w):
-                        hit.append((at, at + matcher.length))
-                        item.update(matcher.items[string])
+                        hits[k].append((at, at + matcher.length))
+                        items[k].update(matcher.items[string])
         out = []
-        for w, hit, item in zip(texts, hits, items, strict=True):
+        for n_words, hit, item in zip(sizes, hits, items, strict=True):
             spans: list[dict] = []
             for start, end in sorted(hit):
                 if spans and start <= spans[-1]["end"]:
                     spans[-1]["end"] = max(end, spans[-1]["end"])
                 else:
                     spans.append({"start": start, "end": end})
-            out.append({"n_words": len(w), "n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans, "items": sorted(item - {None}), "n_items": len(item)})
+            out.append({"n_words": n_words, "n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans, "items": sorted(item - {None}), "n_items": len(item)})
         return out
 
-    return with_result(df, name, RESULT, compute, keep)
+    return with_result(df, name, RESULT.format(id_type(benchmark)), compute, keep, *((1 << 40, TEXT_BYTES) if parts > 1 else ()))
 
 
 def _write_parts(strings: DataFrame, parts: int) -> str:
