@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WEIGHTS = (5, 2, 1)
 #: Budget left to the dynamic programme: greedy single documents, in seeded order of lengths, bring it below this.
@@ -126,5 +126,5 @@ def mix_sources(df: DataFrame, size=None, weights=WEIGHTS, most: int = 3, seed:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words("text").alias("words"))
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", count_words("text").alias("words")))
     return mix_sources(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")

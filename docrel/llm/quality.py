@@ -8,7 +8,7 @@ curve, fitted to labelled documents that the dictionaries have not seen.
 Fitting uses a bounded sample (parameters below) of the labelled rows that ``training`` allows, chosen by a seeded
 hash; scoring covers every byte of every document and needs no shuffle. Null and empty texts have difference 0 and so
 the curve's middle value. Without labelled texts of both classes every score is the share of label 1 (0.5 without any
-label). Conflicting labels of one document: the larger counts. Repeated rows stay; other columns pass through, and an
+label). A null doc_id has no label and is not held out. Conflicting labels of one document: the larger counts. Repeated rows stay; other columns pass through, and an
 input column named like the result is replaced.
 """
 
@@ -94,7 +94,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float,
 
 def training(doc_id):
     """Rows from which labels may be learned."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, seed: int = 9) -> QualityModel:
