@@ -21,7 +21,8 @@ def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
         if done == rounds:
             raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table, so that the join with nodes of many links is dealt anew where it is skewed.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")

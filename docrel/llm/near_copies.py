@@ -18,8 +18,10 @@ With 10 runs of 2 picks a pair at similarity 0.8 shares a bucket with probabilit
 together by the splits of a large one with 0.96 a level: over 0.99999 too for a pair all of whose common buckets are
 large. The sketch test (0.55) loses fewer than one pair in a million, and pairs of one component are compared whether or
 not they met. Texts of 1 to 4 words are one shingle of all their words. Null,
-empty and white texts have none: each is a class of its own without links. Row per row of the input; rows that share a
-doc_id are told apart by their text. A null doc_id names no class unless the class has no other.
+empty and white texts have none: each is a class of its own without links. Row per row of the input; rows are told
+apart by their file and their number in it, so repeated and null doc_ids are rows like any others (a table that is not
+read straight from Parquet files is written to the shared folder first). A null doc_id names no class unless the class
+has no other. Texts of any length are whole sets; of very large components every pair of sets is compared, in blocks.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, table, text_chunks
+from .common import Words, materialize, mix, numbered, table, text_chunks
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
-RUNS, LEVELS, PICKS = 10, 3, 2.0
+#: Runs are repeated until a pair at the threshold is missed with no more than MISS, as one run finds it with RUN_RECALL.
+PICKS, RUN_RECALL, MISS = 2.0, 0.8, 1.1e-7
+RUNS, LEVELS = math.ceil(math.log(MISS) / math.log(1 - RUN_RECALL)), 3
 BUCKET = 256
 SKETCH, SKETCH_LEAST = 64, 0.55
 #: Agreement with the pivot of a large bucket, in hashes; and hashes by which its rest is split.
@@ -73,13 +77,13 @@ def digest(values: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, tag (crc32 of the text), node (digest of its set, null if empty), n, sketch, picks.
+    """docs: numbered. A row per document: doc_id, __file, __row, node (digest of its set, null if empty), n, sketch, picks.
 
     A pick packs run (4 bits) and the token's upper 60 bits."""
 
     def find(batches):
         for batch in batches:
-            ids, tags = batch.column("doc_id"), batch.column("tag")
+            own = [batch.column(c) for c in ("doc_id", "__file", "__row")]
             for low, high, data, offsets in text_chunks(batch, "text"):
                 value, first, doc = shingle_sets(data, offsets)
                 n = np.diff(first)
@@ -104,12 +108,12 @@ def features(docs: DataFrame) -> DataFrame:
                 nodes = [digest(value[first[d] : first[d + 1]]) if n[d] else None for d in range(high - low)]
                 sketches = [s.tobytes() for s in sketch]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), tags.slice(low, high - low), pa.array(nodes, pa.binary()), pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), picks],
-                    ["doc_id", "tag", "node", "n", "sketch", "picks"],
+                    [*(x.slice(low, high - low) for x in own), pa.array(nodes, pa.binary()), pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), picks],
+                    ["doc_id", "__file", "__row", "node", "n", "sketch", "picks"],
                 )
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    return own.mapInArrow(find, "doc_id long, tag long, node binary, n int, sketch binary, picks array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row", "text")
+    return own.mapInArrow(find, "doc_id long, __file long, __row long, node binary, n int, sketch binary, picks array<long>")
 
 
 def _components_of(near: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ def candidate_links(made: DataFrame) -> DataFrame:
         stats = large.groupBy("bucket").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
         large = large.join(stats, "bucket")
         sure.append(large.where(F.col("leave") & (F.col("same") >= LOOSE)).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        rest = large.where(~F.col("leave") | (F.col("same") < TIGHT))
+        rest = materialize(large.where(~F.col("leave") | (F.col("same") < TIGHT)))
         small.append(rest.where(F.col("left") <= BUCKET).select("bucket", "node"))
         rest = rest.where(F.col("left") > BUCKET)
         if level == LEVELS - 1:
@@ -232,23 +236,21 @@ def linked(rows: list[dict]) -> list[tuple]:
 
 
 def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members: (node, comp, doc_id, copies, n). Returns (node, links, root, parts): one row per node and block pair."""
+    """members: (node, comp, __file, __row, copies, n), with one document that holds the set. Returns (node, links, root, parts): one row per node and block pair."""
     stats = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = members.join(stats.select("comp", parts.alias("parts")), "comp").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select("__file", "__row", "text")
 
     def load(batches):
         for batch in batches:
-            nodes, others = batch.column("node").to_pylist(), [c for c in batch.schema.names if c != "text"]
+            others = [c for c in batch.schema.names if c != "text"]
             for low, high, data, offsets in text_chunks(batch, "text"):
                 value, first, _ = shingle_sets(data, offsets)
-                own = [value[first[k] : first[k + 1]] for k in range(high - low)]
-                right = [k for k, v in enumerate(own) if digest(v) == nodes[low + k]]
-                taken = batch.slice(low, high - low).take(pa.array(right, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in others), pa.array([own[k].tobytes() for k in right], pa.binary())], [*others, "values"])
+                sets = [value[first[k] : first[k + 1]].tobytes() for k in range(high - low)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in others), pa.array(sets, pa.binary())], [*others, "values"])
 
-    loaded = dealt.join(own, "doc_id").select("node", "comp", "copies", "parts", "block", "text").mapInArrow(
+    loaded = dealt.join(own, ["__file", "__row"]).select("node", "comp", "copies", "parts", "block", "text").mapInArrow(
         load, "node binary, comp binary, copies long, parts int, block int, values binary"
     )
     other = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -279,11 +281,15 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, tag (crc32 of its text), class_id, n_links (other documents at or above the
-    similarity, copies included), n_copies (documents with the same set, itself included)."""
+    """A row per document: doc_id, class_id, n_links (other documents at or above the similarity, copies included),
+    n_copies (documents with the same set, itself included), and class_node (its class, null without words), __file and
+    __row (which document it is)."""
+    docs = numbered(docs)
     made = materialize(features(docs))
-    nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    nodes = materialize(nodes)
+    nodes = made.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("__file", "__row")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n")
+    )
+    nodes = materialize(nodes.select("node", "doc_id", "at.__file", "at.__row", "copies", "n"))
     comps = materialize(connected(candidate_links(made)).select("node", F.col("root").alias("comp")))
     found = materialize(exact_links(docs, comps.join(nodes, "node")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -295,27 +301,46 @@ def near_copies(docs: DataFrame) -> DataFrame:
     named = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", root)
     named = materialize(named.select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of_node = named.join(classes, "root").select("node", "class_id", "n_links", "n_copies")
+    of_node = materialize(named.join(classes, "root").select("node", F.col("root").alias("class_node"), "class_id", "n_links", "n_copies"))
     empty = F.col("node").isNull()
-    return made.select("doc_id", "tag", "node").join(of_node, "node", "left").select(
+    return made.select("doc_id", "__file", "__row", "node").join(of_node, "node", "left").select(
         "doc_id",
-        "tag",
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        "class_node",
+        "__file",
+        "__row",
     )
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """df with one row of each class: that of the class's own doc_id. Rows without a doc_id stay."""
-    found = near_copies(df).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).distinct()
-    tagged = df.withColumn("__crc", F.crc32(F.coalesce("text", F.lit(""))))
-    one = F.row_number().over(Window.partitionBy("doc_id", "__crc").orderBy(F.lit(0)))
-    named = tagged.where("doc_id is not null").join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__crc") == F.col("__tag")), "left_semi")
-    kept = named.withColumn("__one", one).where("__one = 1").drop("__one", "__crc")
-    return kept.unionAll(df.where("doc_id is null").select(kept.columns))
+    """df with one row of each class: of its least doc_id (null last), the first in the files. Rows without words stay."""
+    rows = numbered(df)
+    found = near_copies(rows)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")).alias("least")
+    first = found.where("class_node is not null").groupBy("class_node").agg(least).select("least.__file", "least.__row")
+    stay = first.unionAll(found.where("class_node is null").select("__file", "__row"))
+    return rows.join(stay, ["__file", "__row"], "left_semi").select(*df.columns)
 
 
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_copies(docs).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: Components spread the least doc_id along links, a step at a time; DuckDB keeps every (document, name) it has met.
+ORACLE = r"""
+with recursive doc as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+gram as (select distinct k, array_to_string(w[p:p + 4], ' ') as s from (
+    select k, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as p from doc where len(w) > 0)),
+size as (select k, count(*) as n from gram group by k),
+pair as (select a, b from (select x.k as a, y.k as b, count(*) as c from gram x join gram y using (s) where x.k <> y.k group by all)
+  join size m on m.k = a join size o on o.k = b where 5 * c >= 4 * (m.n + o.n - c)),
+reach as (select k, doc_id as name from doc union select b as k, name from reach join pair on a = reach.k),
+class as (select k, min(name) as class_id from reach group by k),
+links as (select a as k, count(*) as n from pair group by a),
+same as (select k, count(*) over (partition by h) as n from (select k, md5(string_agg(s, '\n' order by s)) as h from gram group by k))
+select doc_id, class_id, cast(coalesce(links.n, 0) as bigint) as n_links, cast(coalesce(same.n, 1) as bigint) as n_copies
+from doc left join class using (k) left join links using (k) left join same using (k)
+"""

@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_top_k": cover_tree.ORACLE,
     "op4_secrets": secrets.ORACLE,
+    "op5_near_copies": near_copies.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
