@@ -1,25 +1,32 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). Every word belongs to one of 64 classes: the end mark, the most
-frequent words on their own, words by their commonest last three bytes, and the rest by their last byte. The class is
-predicted by a softmax over n-gram and skip features of the three classes before it (1, 2, 3, 1+2, 1+3, 2+3, 1+2+3
-back), hashed into a weight table; the word is predicted from its class by its add-one count.
-
-All training documents count: word counts, and counts of (three classes before, class), whose table cannot exceed 64^4
-cells whatever the corpus. Each training step sends the weights to the tasks that hold that table, gathers their
-gradients of the exact log likelihood, and moves the weights (penalised, scaled by curvature, with momentum). Scoring takes documents in batches, computes the
-softmax once per distinct history in sparse numpy form, and sums per document. The KNOWN_WORDS most frequent words go
-to the tasks; counts of all rarer words are joined in Spark, per document and word, so the vocabulary may grow freely.
-
-Null and empty texts are scored as their end mark alone. An empty training part leaves all counts 0 and classes
+P(word | before) is a product of softmaxes of 64 outcomes each. The first one is over classes: the end mark and the 39
+most frequent words on their own, 16 classes of the next most frequent ones, 64 words each, and 8 classes of all other
+words by a hash of their last three bytes. The word of a class of 64 is the outcome of a second softmax. In a class of
+all other words, two more decide on bits of the word's hash, which makes 4,096 leaves a class; the few words of a leaf
+are told apart by add-one counts. All softmaxes use the same n-gram and skip features of the words before (1, 1+2 back;
+2 back), hashed, together with what is decided so far, into one table of weights. Logits start from the log shares of
+the outcomes.
+
+All training documents count: word counts, and every token in the gradient updates. The training rows are dealt to
+ROUNDS rounds. In each round, every task starts from the weights so far and moves its copy along the gradient of the
+log likelihood, batch by batch (steps scaled per row by the squares of its gradients); what the tasks have moved is
+averaged by row, weighted with how often a task met the row, in Spark, by slices of the table. The table has
+ROWS_A_WORD rows for each distinct word up to MOST_ROWS (32 MB, what tasks can hold), so it grows with the corpus until
+then; word counts grow without a bound. The KNOWN_WORDS most frequent words go to the tasks; counts of all rarer words
+are joined in Spark, per document and word.
+
+Null and empty texts are scored as their end mark alone. An empty training part leaves all counts 0 and leaves
 equally likely. Unknown words count 0, as one type. Rows that repeat are scored each. A null doc_id is not held out.
+Long texts are scored whole, BATCH tokens at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,17 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, mix, table
-
-CLASSES, SINGLE, ENDINGS = 64, 23, 36
-#: Words sent to the tasks with their counts (some 15 MB); counted words and class histories held before they are passed on.
-KNOWN_WORDS, HELD_WORDS, HELD_CODES = 150_000, 200_000, 1 << 21
-ROWS = 1 << 14
-STEPS, TASKS, SLICES, PENALTY = 10, 8, 16, 4.0
+from .common import LOWER, byte_slices, materialize, mix, table
+
+#: Outcomes of a softmax, the first one's classes: the end mark, single words, classes of SLOTS words, from REST on leaves.
+CLASSES = SLOTS = 64
+SINGLE, GROUPS = 39, 16
+REST = 1 + SINGLE + GROUPS
+#: Words sent to the tasks with their counts (some 15 MB); counted words held before they are passed on.
+KNOWN_WORDS, HELD_WORDS = 150_000, 200_000
+#: Rows of the weight table, each of 64 weights.
+ROWS_A_WORD, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, 1 << 17
+#: Rounds of training; tokens of one update; its step; slices of the table that are averaged apart.
+ROUNDS, BATCH, STEP, SLICES = 3, 4096, 1.0, 512
+#: A probability below it counts as this (32-bit floats end there).
+LEAST_P = 1e-37
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Not a word, as words hold no white space.
 END = b"\n"
 #: Places back that each feature looks at.
-FEATURES = ((), (1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3))
+FEATURES = ((1,), (2,), (1, 2))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,157 +82,200 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Classes:
-    """The class of every word: known words by table, others by their ending."""
-
-    def __init__(self, single: list[bytes], endings: list[bytes]):
-        self.single = {w: k + 1 for k, w in enumerate(single)}
-        self.ending = {e: k + 1 + SINGLE for k, e in enumerate(endings)}
-
-    def __call__(self, word: bytes) -> int:
-        if word == END:
-            return 0
-        found = self.single.get(word) or self.ending.get(word[-3:])
-        return found or 1 + SINGLE + ENDINGS + word[-1] % (CLASSES - 1 - SINGLE - ENDINGS)
-
-
-def feature_rows(history: np.ndarray) -> np.ndarray:
-    """Row of the weight table for each feature of each history (three classes, the nearest in the lowest bits)."""
-    back = {k: (history >> (6 * (k - 1))) & 63 for k in (1, 2, 3)}
-    out = np.empty((len(history), len(FEATURES)), np.int64)
-    for column, places in enumerate(FEATURES):
-        code = np.full(len(history), column + 1, np.uint64)
-        for k in places:
-            code = code * np.uint64(CLASSES) + back[k].astype(np.uint64)
-        out[:, column] = (mix(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROWS)).astype(np.int64)
-    return out
+def rest_class(word: bytes) -> int:
+    return REST + crc32(word[-3:]) % (CLASSES - REST)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]].copy()
-    for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+def leaf(word: bytes) -> int:
+    return crc32(word) % SLOTS**2
 
 
-def add_to_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each history's values to the rows of all its features."""
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        ids = rows[order, k]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        out[ids[first]] += np.add.reduceat(values[order], first)
-
-
-def gradient(weights: np.ndarray | None, history: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of the log likelihood of counts (histories x classes): observed less expected counts of every feature and
-    class; without weights, the observed ones alone."""
-    out = np.zeros((ROWS, CLASSES), np.float32)
-    for low in range(0, len(history), 8192):
-        part = counts[low : low + 8192]
-        rows = feature_rows(history[low : low + 8192])
-        rest = part if weights is None else part - part.sum(1, keepdims=True) * np.exp(log_softmax(weights, rows))
-        add_to_rows(out, rows, rest)
-    return out
+def leaf_sums(words: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and number of the words of each class and leaf that they have by hash."""
+    of = np.array([rest_class(w) * SLOTS**2 + leaf(w) for w in words], np.int64)
+    n = np.bincount(of, counts, CLASSES * SLOTS**2).astype(np.int64)
+    return n.reshape(CLASSES, -1), np.bincount(of, minlength=CLASSES * SLOTS**2).reshape(CLASSES, -1)
 
 
 @dataclass
-class LanguageModel:
-    classes: Classes
+class Vocabulary:
+    """What tasks know of words: ids of the known ones, their counts, classes, slots and leaves (a last entry
+    stands for all others)."""
+
     known: dict[bytes, int]
     counts: np.ndarray
     class_of: np.ndarray
-    class_tokens: np.ndarray
-    class_types: np.ndarray
-    weights: np.ndarray
-    tokens: int
-    types: int
-    word_counts: DataFrame | None = None
+    slot_of: np.ndarray
+    leaf_of: np.ndarray
+
+    def coded(self, texts: list[str | None]) -> tuple[Coded, list[Counter]]:
+        """The tokens of all texts, and each text's words that are not known."""
+        ids, others, lengths, rare = [], [], [], []
+        for text in texts:
+            words = tokens(text)
+            own = [self.known.get(w, -1) for w in words]
+            unknown = [w for k, w in zip(own, words, strict=True) if k < 0]
+            ids += own
+            others += unknown
+            rare.append(Counter(unknown))
+            lengths.append(len(words))
+        ids, lengths = np.array(ids, np.int64), np.array(lengths, np.int64)
+        classes, leaves, context = self.class_of[ids], self.leaf_of[ids], ids.copy()
+        at = ids < 0
+        hashed = np.array([crc32(w) for w in others], np.int64)
+        classes[at], leaves[at], context[at] = [rest_class(w) for w in others], hashed % SLOTS**2, hashed + (1 << 32)
+        return Coded(ids, classes, self.slot_of[ids], leaves, context, lengths), rare
 
-    def shipped(self):
-        """What tasks need; it has no DataFrame."""
-        return LanguageModel(**{**self.__dict__, "word_counts": None})
 
+@dataclass
+class Coded:
+    """Tokens of consecutive texts: word (-1: not known), class, slot, leaf, and what it is to the words after it."""
+
+    ids: np.ndarray
+    classes: np.ndarray
+    slots: np.ndarray
+    leaves: np.ndarray
+    context: np.ndarray
+    lengths: np.ndarray
+
+    def batches(self):
+        """Classes, slots, leaves and the codes of all features (tokens x features), BATCH tokens at a time."""
+        begins = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(self.ids)) - np.repeat(begins, self.lengths)
+        for low in range(0, len(self.ids), BATCH):
+            at = np.arange(low, min(low + BATCH, len(self.ids)))
+            back = {k: np.where(place[at] >= k, self.context[np.maximum(at - k, 0)] + 1, 0).astype(np.uint64) for k in (1, 2)}
+            codes = np.empty((len(at), len(FEATURES)), np.uint64)
+            for column, places in enumerate(FEATURES):
+                code = np.full(len(at), column + 1, np.uint64)
+                for k in places:
+                    code = mix(code * _ODD + back[k])
+                codes[:, column] = code
+            yield self.classes[at], self.slots[at], self.leaves[at], codes
 
-def class_codes(classes: list[int]) -> np.ndarray:
-    """For each place of a text, its three classes before and its own, 6 bits each; end marks stand before the text."""
-    s = np.concatenate([np.zeros(3, np.int64), np.array(classes, np.int64)])
-    return (s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]
 
+@dataclass
+class Weights:
+    """A table of rows x 64 weights, and the log shares that logits start from: of classes, of slots by class, of the
+    first bits of leaves by class, and of the last ones by class and first bits."""
+
+    table: np.ndarray
+    starts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+    def decisions(self, classes: np.ndarray, slots: np.ndarray, leaves: np.ndarray, codes: np.ndarray):
+        """For each softmax: the tokens that it is asked for, the rows of their features, their start and outcome."""
+        every, inner, deep = np.arange(len(classes)), np.flatnonzero((classes > SINGLE) & (classes < REST)), np.flatnonzero(classes >= REST)
+        last, first = np.divmod(leaves, SLOTS)
+        asked = ((every, np.zeros_like(classes), classes), (inner, classes, slots), (deep, classes, first), (deep, CLASSES + classes * SLOTS + first, last))
+        for k, (at, decided, outcome) in enumerate(asked):
+            if len(at):
+                node = ((decided[at, None] + 1) * 4 + k).astype(np.uint64)
+                rows = (mix(codes[at] * _ODD + node) & np.uint64(len(self.table) - 1)).astype(np.int64)
+                start = self.starts[k][decided[at] - (CLASSES if k == 3 else 0)] if k else self.starts[0]
+                yield at, rows, start, outcome[at]
+
+    def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        logits = self.table[rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            logits += self.table[rows[:, k]]
+        logits += start
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(1, keepdims=True)
+        return logits
+
+    def log_p(self, *batch: np.ndarray) -> np.ndarray:
+        """Log probability of each token's class, slot and leaf."""
+        out = np.zeros(len(batch[0]))
+        for at, rows, start, outcome in self.decisions(*batch):
+            out[at] += np.log(np.maximum(self.softmax(rows, start)[np.arange(len(at)), outcome], LEAST_P))
+        return out
+
+
+def row_gradient(rows: np.ndarray, p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that the tokens' features meet, how often, and the gradient of the log likelihood of ``own`` in them."""
+    rest = -p
+    rest[np.arange(len(own)), own] += 1
+    flat = rows.T.ravel()
+    order = np.argsort(flat, kind="stable")
+    ids, token = flat[order], order % len(own)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    times = np.diff(np.append(first, len(ids)))
+    out = rest[token[first]]
+    more = np.flatnonzero(times > 1)  # mostly a row is met once
+    if len(more):
+        inner = np.repeat(times > 1, times)
+        out[more] = np.add.reduceat(rest[token[inner]], np.cumsum(times[more]) - times[more])
+    return ids[first], times, out
+
+
+def train_weights(docs: DataFrame, vocabulary: Vocabulary, start: Weights, rounds: int = ROUNDS) -> Weights:
+    """docs: the training documents. Rounds of gradient updates in all tasks, averaged in Spark after each."""
+    spark, size = docs.sparkSession, len(start.table)
+    slices = min(SLICES, size)
+    texts = docs.select("text")
+    tasks = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 8)
+    weights, squares = start, np.zeros(size, np.float32)
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast((vocabulary, weights, squares))
 
-def history_counts(docs: DataFrame, known: dict[bytes, int], class_of: np.ndarray, classes: Classes) -> DataFrame:
-    """(code, n): how often each class follows each three classes."""
-    shipped = docs.sparkSession.sparkContext.broadcast((known, class_of.tolist(), classes))
+        def part(batches):
+            vocabulary, weights, before = sent.value
+            own, squares, seen = replace(weights, table=weights.table.copy()), before.copy(), np.zeros(size, np.float32)
 
-    def count(batches):
-        table_of, class_list, of = shipped.value
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(class_codes([class_list[k] if (k := table_of.get(w, -1)) >= 0 else of(w) for w in tokens(text)]))
-                size += len(held[-1])
-                if size > HELD_CODES:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+            for batch in batches:
+                for low, high in byte_slices(batch, 1000, 1 << 20):
+                    for some in vocabulary.coded(batch.column("text").slice(low, high - low).to_pylist())[0].batches():
+                        for _, rows, start, outcome in own.decisions(*some):
+                            at, times, g = row_gradient(rows, own.softmax(rows, start), outcome)
+                            squares[at] += np.einsum("ij,ij->i", g, g)
+                            g *= (STEP / np.sqrt(squares[at] + 1))[:, None]
+                            own.table[at] += g
+                            seen[at] += times
+            if seen.any():
+                moved = (own.table - weights.table).astype(np.float16)
+                cut = [[x.tobytes() for x in np.split(a, slices)] for a in (moved, squares - before, seen)]
+                for low in range(0, slices, 32):
+                    arrays = [pa.array(range(slices)[low : low + 32], pa.int32()), *(pa.array(c[low : low + 32], pa.binary()) for c in cut)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["slice", "moved", "squares", "seen"])
+
+        mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(tasks)
+        moves = mine.mapInArrow(part, "slice int, moved binary, squares binary, seen binary")
+        table, squares = weights.table.copy(), squares.copy()
+        for r in moves.groupBy("slice").applyInPandas(averaged, "slice int, moved binary, squares binary").toLocalIterator():
+            at = slice(r["slice"] * size // slices, (r["slice"] + 1) * size // slices)
+            table[at] += np.frombuffer(r["moved"], np.float16).reshape(-1, SLOTS)
+            squares[at] += np.frombuffer(r["squares"], np.float32)
+        weights = replace(weights, table=table)
+        sent.destroy()
+    return weights
 
-    def out(held):
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def averaged(parts: pd.DataFrame) -> pd.DataFrame:
+    """One slice of the table: what its tasks have moved, by row, weighted with how often each met the row."""
+    seen = [np.frombuffer(x, np.float32) for x in parts["seen"]]
+    total = np.maximum(np.sum(seen, axis=0), 1)
+    moved, squares = np.zeros((len(total), SLOTS), np.float32), np.zeros(len(total), np.float32)
+    for n, m, s in zip(seen, parts["moved"], parts["squares"], strict=True):
+        moved += (n / total)[:, None] * np.frombuffer(m, np.float16).reshape(-1, SLOTS)
+        squares += n / total * np.frombuffer(s, np.float32)
+    return pd.DataFrame({"slice": parts["slice"].iloc[:1], "moved": [moved.astype(np.float16).tobytes()], "squares": [squares.tobytes()]})
 
 
-def train_weights(codes: DataFrame, prior: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
-    """codes: (code, n). Full-batch steps, each a job over the same partitions of histories, along the gradient of the
-    penalised log likelihood scaled by its curvature, with momentum."""
-    spark = codes.sparkSession
-    after = F.collect_list(F.struct((F.col("code") % CLASSES).cast("int").alias("c"), "n")).alias("after")
-    by_history = codes.groupBy(F.shiftright("code", 6).alias("history")).agg(after)
-    by_history = materialize(by_history).coalesce(TASKS)
+@dataclass
+class LanguageModel:
+    """rest: for each class and leaf, the log10 of what its words are divided by."""
 
-    def gathered(weights: np.ndarray | None) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(weights)
+    vocabulary: Vocabulary
+    weights: Weights
+    rest: np.ndarray
+    tokens: int
+    types: int
+    word_counts: DataFrame | None = None
 
-        def part(batches):
-            total = None
-            for batch in batches:
-                after = batch.column("after")
-                sizes = np.diff(after.offsets.to_numpy())
-                inner = after.flatten()
-                counts = np.zeros((batch.num_rows, CLASSES), np.float32)
-                counts[np.repeat(np.arange(batch.num_rows), sizes), inner.field("c").to_numpy()] = inner.field("n").to_numpy()
-                g = gradient(sent.value, batch.column("history").to_numpy(), counts)
-                total = g if total is None else total + g
-            if total is not None:
-                cut = [x.tobytes() for x in np.split(total, SLICES)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], ["slice", "g"])
-
-        # Each slice of the gradient is summed in Spark, so the driver gets one small row per slice, however many tasks.
-        summed = by_history.mapInArrow(part, "slice int, g binary").groupBy("slice").applyInPandas(add, "slice int, g binary")
-        out = [np.zeros(ROWS // SLICES * CLASSES, np.float32)] * SLICES
-        for r in summed.toLocalIterator():
-            out[r["slice"]] = np.frombuffer(r["g"], np.float32)
-        sent.destroy()
-        return np.concatenate(out).reshape(ROWS, CLASSES)
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "g": [np.sum([np.frombuffer(g, np.float32) for g in rows["g"]], axis=0, dtype=np.float32).tobytes()]})
-
-    start = np.zeros((ROWS, CLASSES), np.float32)
-    start[feature_rows(np.zeros(1, np.int64))[0, 0]] = np.log(prior)
-    observed = gathered(None)
-    times = np.maximum(observed.sum(1, keepdims=True), 1)
-    weights, pace = start, np.zeros_like(start)
-    for _ in range(steps):
-        g = gathered(weights)
-        expected = observed - g
-        curve = expected * (1 - expected / times) + penalty
-        pace = 0.5 * pace + 0.3 * np.clip((g - penalty * (weights - start)) / curve, -1, 1)
-        weights = (weights + pace).astype(np.float32)
-    return weights
+    def shipped(self):
+        """What tasks need; it has no DataFrame."""
+        return replace(self, word_counts=None)
 
 
 def most_frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> list[tuple[bytes, int]]:
@@ -236,59 +294,68 @@ def train(docs: DataFrame) -> LanguageModel:
     """docs: the training documents."""
     counts = materialize(count_tokens(docs))
     top = most_frequent(counts)
-    single = [w for w, _ in top if w != END][:SINGLE]
-    ending = F.substring("word", -3, 3)
-    often = counts.where(~F.col("word").isin([bytearray(w) for w in [*single, END]])).groupBy(ending.alias("e")).agg(F.sum("n").alias("n"))
-    endings = [bytes(r["e"]) for r in often.orderBy(F.desc("n"), "e").limit(ENDINGS).collect()]
-    classes = Classes(single, endings)
 
-    def per_class(batches):
+    def per_leaf(batches):
         for batch in batches:
-            of = np.fromiter((classes(w) for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
-            n = np.bincount(of, batch.column("n").to_numpy(), CLASSES).astype(np.int64)
-            types = np.bincount(of, minlength=CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(types)], ["c", "n", "types"])
-
-    sums = counts.mapInArrow(per_class, "c long, n long, types long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
-    class_tokens, class_types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in sums:
-        class_tokens[r["c"]], class_types[r["c"]] = r["n"], r["types"]
+            arrays = leaf_sums(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+            at = np.flatnonzero(arrays[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(a.flat[at]) for a in arrays)], ["c", "n", "types"])
+
+    # No more rows than leaves.
+    sums = counts.mapInArrow(per_leaf, "c long, n long, types long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).toArrow()
+    leaf_tokens, leaf_types = np.zeros((2, CLASSES, SLOTS**2), np.int64)
+    leaf_tokens.flat[sums.column("c").to_numpy()] = sums.column("n").to_numpy()
+    leaf_types.flat[sums.column("c").to_numpy()] = sums.column("types").to_numpy()
+    model = start_model(top, leaf_tokens, leaf_types)
+    return replace(model, weights=train_weights(docs, model.vocabulary, model.weights), word_counts=counts)
+
+
+def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_types: np.ndarray) -> LanguageModel:
+    """The model before training. top: the known words, most frequent first; counts of all words by class and leaf."""
+    types, total = int(leaf_types.sum()), int(leaf_tokens.sum())
     known = {w: k for k, (w, _) in enumerate(top)}
-    class_of = np.array([classes(w) for w in known], np.int64)
-    weights = train_weights(history_counts(docs, known, class_of, classes), (class_tokens + 1) / (class_tokens.sum() + CLASSES))
-    return LanguageModel(
-        classes, known, np.array([n for _, n in top], np.int64), class_of, class_tokens, class_types, weights, int(class_tokens.sum()), int(class_types.sum()), counts
-    )
+    n = np.array([n for _, n in top], np.int64)
+    leaf_of = np.array([leaf(w) for w in known], np.int64)
+    class_of, slot_of = np.array([rest_class(w) for w in known], np.int64), np.zeros(len(top), np.int64)
+    often = np.array([k for w, k in known.items() if w != END][: SINGLE + GROUPS * SLOTS], np.int64)
+    own = np.append(often, known[END]) if END in known else often
+    np.subtract.at(leaf_tokens, (class_of[own], leaf_of[own]), n[own])
+    np.subtract.at(leaf_types, (class_of[own], leaf_of[own]), 1)
+    place = np.arange(len(often)) - SINGLE
+    class_of[often] = np.where(place < 0, place + SINGLE + 1, 1 + SINGLE + place // SLOTS)
+    slot_of[often] = np.where(place < 0, 0, place % SLOTS)
+    class_of[own[len(often) :]] = 0
+    # Leaves hold the words that have no outcome of their own, each with one count more, and one for unseen words.
+    held, slot_counts = leaf_tokens + leaf_types + 1.0, np.zeros((CLASSES, SLOTS))
+    slot_counts[class_of[own], slot_of[own]] = n[own] + 1
+    class_counts = np.where(np.arange(CLASSES) < REST, slot_counts.sum(1), held.sum(1))
+    class_counts[0] = max(class_counts[0], 1)
+    by_bits = held.reshape(CLASSES, SLOTS, SLOTS).transpose(0, 2, 1)  # class, first bits, last bits
+
+    def shares(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(x.sum(-1, keepdims=True), 1)), -1e4).astype(np.float32)
+
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (ROWS_A_WORD * types).bit_length()))
+    starts = shares(class_counts), shares(slot_counts), shares(by_bits.sum(2)), shares(by_bits.reshape(-1, SLOTS))
+    start = Weights(np.zeros((rows, SLOTS), np.float32), starts)
+    vocabulary = Vocabulary(known, np.append(n, 0), np.append(class_of, REST), np.append(slot_of, 0), np.append(leaf_of, 0))
+    return LanguageModel(vocabulary, start, np.log10(held), total, types)
 
 
 def score_batch(model: LanguageModel, texts: list[str | None]) -> list[dict]:
     """Per text: tokens, known tokens, base and model log10 but for the counts of words that the task does not know,
     and those words with how often they occur."""
-    known, of = model.known, model.classes
-    coded, classes, lengths, rare = [], [], [], []
-    class_list = model.class_of.tolist()
-    for text in texts:
-        w = tokens(text)
-        ids = [known.get(x, -1) for x in w]
-        own = [class_list[k] if k >= 0 else of(x) for k, x in zip(ids, w, strict=True)]
-        coded += ids
-        classes.append(class_codes(own))
-        lengths.append(len(w))
-        rare.append(Counter(x for k, x in zip(ids, w, strict=True) if k < 0))
-    ids, codes = np.array(coded), np.concatenate(classes)
-    history, at = np.unique(codes >> 6, return_inverse=True)
-    log_p = log_softmax(model.weights, feature_rows(history))
-    own = codes & 63
-    below = np.log10(model.class_tokens + model.class_types + 1)
-    count = np.log10(np.append(model.counts, 0) + 1.0)[ids]  # index -1: a rare word's count is added later
-    line = np.repeat(np.arange(len(texts)), lengths)
+    coded, rare = model.vocabulary.coded(texts)
+    log_p = np.concatenate([model.weights.log_p(*x) for x in coded.batches()]).astype(np.float64) / math.log(10)
+    count = np.log10(model.vocabulary.counts + 1.0)[coded.ids]  # index -1: a rare word's count is added later
+    line = np.repeat(np.arange(len(texts)), coded.lengths)
     base = count - math.log10(model.tokens + model.types + 1)
-    score = log_p[at, own].astype(np.float64) / math.log(10) + count - below[own]
+    score = log_p + np.where(coded.classes >= REST, count - model.rest[coded.classes, coded.leaves], 0.0)
     base, score = (np.bincount(line, x, len(texts)).tolist() for x in (base, score))
-    seen = np.bincount(line, ids >= 0, len(texts)).astype(int).tolist()
+    seen = np.bincount(line, coded.ids >= 0, len(texts)).astype(int).tolist()
     return [
         {"n_tokens": n, "n_known": k, "base": b, "score": s, "rare": [{"word": w, "n": c} for w, c in r.items()]}
-        for n, k, b, s, r in zip(lengths, seen, base, score, rare, strict=True)
+        for n, k, b, s, r in zip(coded.lengths.tolist(), seen, base, score, rare, strict=True)
     ]
 
 
@@ -305,8 +372,8 @@ def score_texts(df: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low, high in byte_slices(batch, 500, 1 << 20):
+                part = batch.slice(low, high - low)
                 rows = score_batch(shipped.value, part.column("text").to_pylist())
                 made = [pa.array([r[f.name] for r in rows], k) for f, k in zip(fields, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, *(f"__{f.name}" for f in fields)])
