@@ -1,12 +1,12 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | before) is a product of softmaxes of 64 outcomes each. The first one is over classes: the end mark and the 39
-most frequent words on their own, 16 classes of the next most frequent ones, 64 words each, and 8 classes of all other
-words by a hash of their last three bytes. The word of a class of 64 is the outcome of a second softmax. In a class of
-all other words, two more decide on bits of the word's hash, which makes 4,096 leaves a class; the few words of a leaf
-are told apart by add-one counts. All softmaxes use the same n-gram and skip features of the words before (1, 1+2 back;
-2 back), hashed, together with what is decided so far, into one table of weights. Logits start from the log shares of
-the outcomes.
+P(word | before) is a product of softmaxes of 16 outcomes each. The first two are over 256 classes: the end mark and the
+191 most frequent words on their own, 32 classes of the next most frequent ones, 16 words each, and 32 classes of all
+other words by a hash of their last three bytes. The word of a class of 16 is the outcome of a third softmax. In a class
+of all other words, two more decide on bits of the word's hash, which makes 256 leaves a class; the words of a leaf are
+told apart by add-one counts. All softmaxes use the same n-gram and skip features of the words before (1, 1+2 back; 2
+back), hashed, together with what is decided so far, into one table of weights. Logits start from the log shares of the
+outcomes.
 
 All training documents count: word counts, and every token in the gradient updates. The training rows are dealt to
 ROUNDS rounds. In each round, every task starts from the weights so far and moves its copy along the gradient of the
@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, byte_slices, materialize, mix, table
 
-#: Outcomes of a softmax, the first one's classes: the end mark, single words, classes of SLOTS words, from REST on leaves.
-CLASSES = SLOTS = 64
-SINGLE, GROUPS = 39, 16
+#: Outcomes of a softmax; classes: the end mark, single words, classes of SLOTS words, from REST on leaves.
+SLOTS = 16
+CLASSES, SINGLE, GROUPS = SLOTS**2, 191, 32
 REST = 1 + SINGLE + GROUPS
 #: Words sent to the tasks with their counts (some 15 MB); counted words held before they are passed on.
 KNOWN_WORDS, HELD_WORDS = 150_000, 200_000
-#: Rows of the weight table, each of 64 weights.
-ROWS_A_WORD, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, 1 << 17
+#: Rows of the weight table, each of SLOTS weights.
+ROWS_A_WORD, LEAST_ROWS, MOST_ROWS = 32, 1 << 14, 1 << 19
 #: Rounds of training; tokens of one update; its step; slices of the table that are averaged apart.
 ROUNDS, BATCH, STEP, SLICES = 3, 4096, 1.0, 512
 #: A probability below it counts as this (32-bit floats end there).
@@ -156,23 +156,26 @@ class Coded:
 
 @dataclass
 class Weights:
-    """A table of rows x 64 weights, and the log shares that logits start from: of classes, of slots by class, of the
-    first bits of leaves by class, and of the last ones by class and first bits."""
+    """A table of rows x SLOTS weights, and the log shares that the logits of each softmax start from, by what is
+    decided before it: nothing, a class's high digit, its class, its class, its class and the leaf's low digit."""
 
     table: np.ndarray
-    starts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    starts: tuple[np.ndarray, ...]
 
     def decisions(self, classes: np.ndarray, slots: np.ndarray, leaves: np.ndarray, codes: np.ndarray):
         """For each softmax: the tokens that it is asked for, the rows of their features, their start and outcome."""
         every, inner, deep = np.arange(len(classes)), np.flatnonzero((classes > SINGLE) & (classes < REST)), np.flatnonzero(classes >= REST)
         last, first = np.divmod(leaves, SLOTS)
-        asked = ((every, np.zeros_like(classes), classes), (inner, classes, slots), (deep, classes, first), (deep, CLASSES + classes * SLOTS + first, last))
+        high, low = np.divmod(classes, SLOTS)
+        asked = (
+            (every, np.zeros_like(classes), high), (every, high, low), (inner, classes, slots),
+            (deep, classes, first), (deep, classes * SLOTS + first, last),
+        )
         for k, (at, decided, outcome) in enumerate(asked):
             if len(at):
-                node = ((decided[at, None] + 1) * 4 + k).astype(np.uint64)
+                node = ((decided[at, None] + 1) * 8 + k).astype(np.uint64)
                 rows = (mix(codes[at] * _ODD + node) & np.uint64(len(self.table) - 1)).astype(np.int64)
-                start = self.starts[k][decided[at] - (CLASSES if k == 3 else 0)] if k else self.starts[0]
-                yield at, rows, start, outcome[at]
+                yield at, rows, self.starts[k][decided[at]], outcome[at]
 
     def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
         logits = self.table[rows[:, 0]]
@@ -336,7 +339,8 @@ def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_type
         return np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(x.sum(-1, keepdims=True), 1)), -1e4).astype(np.float32)
 
     rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (ROWS_A_WORD * types).bit_length()))
-    starts = shares(class_counts), shares(slot_counts), shares(by_bits.sum(2)), shares(by_bits.reshape(-1, SLOTS))
+    by_digit = class_counts.reshape(SLOTS, SLOTS)
+    starts = shares(by_digit.sum(1)[None]), shares(by_digit), shares(slot_counts), shares(by_bits.sum(2)), shares(by_bits.reshape(-1, SLOTS))
     start = Weights(np.zeros((rows, SLOTS), np.float32), starts)
     vocabulary = Vocabulary(known, np.append(n, 0), np.append(class_of, REST), np.append(slot_of, 0), np.append(leaf_of, 0))
     return LanguageModel(vocabulary, start, np.log10(held), total, types)
