@@ -4,12 +4,13 @@
 2. In each of RUNS runs a set picks each of its tokens with probability PICKS / size, by a hash that all sets share,
    and so goes to the buckets of its picked tokens: two similar sets pick a common token with high probability.
    Small buckets compare their sets by 64 minimum hashes, far below the threshold. In a bucket of more than BUCKET
-   sets, one of them is the pivot: sets that agree with it in TIGHT of the hashes leave the bucket, linked to it, and so
-   is every set that agrees in LOOSE of them, which stays. Agreement is transitive hash by hash, so whatever agrees in
-   SKETCH_LEAST with a set that left agrees in LOOSE with the pivot: no pair is lost. (Where most links would be of sets
-   that stay, all stay and none is linked.) The rest, if still large, is split by SPLITS of its minimum hashes, other
-   ones in every run and level; all large buckets of a set are followed, and every set has a part to go to. Buckets
-   still large at the last level become candidates whole.
+   sets, the least of them is the pivot, and large buckets with the same pivot become one, whatever their runs. Sets that
+   agree with the pivot in TIGHT of the hashes leave the bucket, linked to it, and so is every set that agrees in LOOSE
+   of them, which stays. Agreement is transitive hash by hash, so whatever agrees in SKETCH_LEAST with a set that left
+   agrees in LOOSE with the pivot: no pair is lost. (Where most links would be of sets that stay, all stay and none is
+   linked.) The rest, if still large, is split by SPLITS of its minimum hashes for each run of its buckets (for
+   SPLIT_RUNS of them, if there are more), other ones at each level; all large buckets of a set are followed, and every
+   set has a part to go to. Buckets still large at the last level become candidates whole.
 3. Connected candidates form components. The sets of each component are compared exactly, every pair once, in blocks
    of bounded size; a block pair gives each set its number of links and its least linked neighbour, never the pairs.
 4. Links connect the classes; a class is named by its smallest doc_id.
@@ -46,6 +47,8 @@ SKETCH, SKETCH_LEAST = 64, 0.55
 #: Agreement with the pivot of a large bucket, in hashes; and hashes by which its rest is split.
 TIGHT, SPLITS = 48, 2
 LOOSE = TIGHT + math.ceil(SKETCH * SKETCH_LEAST) - SKETCH
+#: Runs whose hashes split one bucket: a pair at the threshold is parted in all of them with no more than MISS.
+SPLIT_RUNS = math.ceil(math.log(MISS) / math.log(1 - (1 - (1 - SIMILARITY) ** SPLITS) ** (LEVELS - 1)))
 #: A block of exact comparison: sets, and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -127,11 +130,15 @@ def _components_of(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def with_pivots(large: DataFrame) -> DataFrame:
-    """large: (bucket, node, run, sketch). Adds the least set of each bucket, its pivot (mostly the same
-    one in all buckets of a group, so that links repeat), and in how many hashes each set agrees with it."""
-    first = F.min(F.struct(F.col("node").alias("pivot"), F.col("sketch").alias("other")))
-    joined = large.join(large.groupBy("bucket").agg(first.alias("p")), "bucket").select("bucket", "node", "run", "sketch", "p.pivot", "p.other")
+def with_pivots(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """large: (bucket, node, run). The least set of a bucket is its pivot; buckets with the same pivot (most of those of
+    a group of copies) become one, so that a set meets its pivot once. Adds in how many hashes the two agree, and the
+    runs of the pivot's buckets, as many as its splits need."""
+    firsts = large.groupBy("bucket", "run").agg(F.min("node").alias("pivot"))
+    runs = firsts.groupBy("pivot").agg(F.slice(F.array_sort(F.collect_set("run")), 1, SPLIT_RUNS).alias("runs"))
+    other = runs.join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+    met = large.join(firsts.select("bucket", "pivot"), "bucket").select("node", "pivot").distinct()
+    joined = met.join(sketches.select("node", "sketch"), "node").join(other, "pivot").select("node", "pivot", "runs", "sketch", "other")
 
     def compare(batches):
         for batch in batches:
@@ -139,7 +146,7 @@ def with_pivots(large: DataFrame) -> DataFrame:
             same = pa.array((own == other).sum(1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "other"), same], [*(c for c in batch.schema.names if c != "other"), "same"])
 
-    return joined.mapInArrow(compare, "bucket long, node binary, run int, sketch binary, pivot binary, same int")
+    return joined.mapInArrow(compare, "node binary, pivot binary, runs array<int>, sketch binary, same int")
 
 
 def candidate_links(made: DataFrame) -> DataFrame:
@@ -155,20 +162,21 @@ def candidate_links(made: DataFrame) -> DataFrame:
         large = held.where(F.col("count") > BUCKET)
         if large.isEmpty():
             break
-        large = materialize(with_pivots(large.select("bucket", "node", "run").join(sketches.select("node", "sketch"), "node")))
+        large = materialize(with_pivots(large, sketches))
         tight, loose = (F.count_if(F.col("same") >= k) for k in (TIGHT, LOOSE))
-        stats = large.groupBy("bucket").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
-        large = large.join(stats, "bucket")
+        stats = large.groupBy("pivot").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
+        large = large.join(stats, "pivot")
         sure.append(large.where(F.col("leave") & (F.col("same") >= LOOSE)).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         rest = materialize(large.where(~F.col("leave") | (F.col("same") < TIGHT)))
-        small.append(rest.where(F.col("left") <= BUCKET).select("bucket", "node"))
+        small.append(rest.where(F.col("left") <= BUCKET).select(F.xxhash64("pivot", F.lit(level)).alias("bucket"), "node"))
         rest = rest.where(F.col("left") > BUCKET)
         if level == LEVELS - 1:
             sure.append(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         else:
-            slot = F.explode(F.array(*(F.col("run") * (LEVELS - 1) * SPLITS + level * SPLITS + k for k in range(SPLITS)))).alias("slot")
-            rows = rest.select("node", "run", "bucket", "sketch", slot)
-            rows = rows.select("node", "run", F.xxhash64("bucket", "slot", F.expr("substring(sketch, slot * 4 + 1, 4)")).alias("bucket"))
+            rows = rest.select("node", "pivot", "sketch", F.explode("runs").alias("run"))
+            slots = F.array(*(F.col("run") * (LEVELS - 1) * SPLITS + level * SPLITS + k for k in range(SPLITS)))
+            rows = rows.select("node", "pivot", "sketch", "run", F.explode(slots).alias("slot"))
+            rows = rows.select("node", "run", F.xxhash64("pivot", "slot", F.expr("substring(sketch, slot * 4 + 1, 4)")).alias("bucket"))
     together = small[0]
     for more in small[1:]:
         together = together.unionAll(more)
