@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import cover_tree, decontamination, lm_score, mixing, near_copies, quality, secrets, sharding, substring_dedup, token_files
+from . import (
+    chat_format,
+    cover_tree,
+    decontamination,
+    lm_score,
+    mixing,
+    near_copies,
+    prefix_trie,
+    quality,
+    secrets,
+    sharding,
+    substring_dedup,
+    token_alignment,
+    token_files,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality": quality.op9_quality,
     "op10_token_files": token_files.op10_token_files,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +40,6 @@ ORACLES: dict[str, str] = {
     "op4_secrets": secrets.ORACLE,
     "op5_near_copies": near_copies.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
