@@ -20,17 +20,19 @@ def at(v: Column, dotted: str) -> Column:
     return F.try_variant_get(v, f"${steps}", "variant")
 
 
+def key_of(plan: Plan) -> Column:
+    """The root key of a document v."""
+    own = next((c for c in plan.root.columns if c.name == ROOT_KEY), None)
+    return coerce(at(F.col("v"), own.path if own else "_id"), plan.key)[0]
+
+
 def _keyed(docs: DataFrame, plan: Plan) -> DataFrame:
     """Documents with their key; those without one are left out."""
-    own = next((c for c in plan.root.columns if c.name == ROOT_KEY), None)
-    key, _ = coerce(at(F.col("v"), own.path if own else "_id"), plan.key)
-    return docs.withColumn("__key", key).where(F.col("__key").isNotNull())
+    return docs.withColumn("__key", key_of(plan)).where(F.col("__key").isNotNull())
 
 
 def without_key(docs: DataFrame, plan: Plan) -> DataFrame:
-    own = next((c for c in plan.root.columns if c.name == ROOT_KEY), None)
-    key, _ = coerce(at(F.col("v"), own.path if own else "_id"), plan.key)
-    return docs.where(key.isNull())
+    return docs.where(key_of(plan).isNull())
 
 
 def _projected(df: DataFrame, lead: list[Column], value: Column, table: PlanTable, base: str) -> DataFrame:

@@ -60,14 +60,15 @@ def spark_type(declared: str) -> str:
     return SPARK_TYPES.get(declared.partition("(")[0], "string")
 
 
+def spark_columns(plan: Plan, table: PlanTable) -> str:
+    """Column definitions for Spark; declared types stay as comments."""
+    rows, _ = shape_of(plan, table)
+    return ",\n  ".join(f"`{name}` {spark_type(kind)} COMMENT '{kind}'" for name, kind, _ in rows)
+
+
 def spark_ddl(plan: Plan) -> list[str]:
-    """CREATE TABLE statements for Spark; declared types stay as comments."""
-    out = []
-    for table in plan.tables:
-        rows, _ = shape_of(plan, table)
-        body = ",\n  ".join(f"`{name}` {spark_type(kind)} COMMENT '{kind}'" for name, kind, _ in rows)
-        out.append(f"CREATE TABLE IF NOT EXISTS `{plan.schema}`.`{table.name}` (\n  {body}\n) USING parquet")
-    return out
+    """CREATE TABLE statements for Spark."""
+    return [f"CREATE TABLE IF NOT EXISTS `{plan.schema}`.`{t.name}` (\n  {spark_columns(plan, t)}\n) USING parquet" for t in plan.tables]
 
 
 def drdl(database: str, *plans: Plan) -> str:

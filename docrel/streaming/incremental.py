@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.load import Catalog, LoadStats, load, load_watermark, save_watermark
+from ..operators.load import Catalog, LoadStats, load, load_watermark
 from ..plans.nesting import Plan
 from ..sources.documents import after, from_table
 
 
 def load_new(table: DataFrame, key: str, plan: Plan, catalog: Catalog) -> LoadStats:
-    """Loads the rows of a typed table whose key lies beyond the saved mark, then moves the mark. Changes to rows below
-    the mark are not seen."""
+    """Loads the rows of a typed table whose key lies beyond the saved mark and moves the mark, in one commit. Changes
+    to rows below the mark are not seen."""
     mark = load_watermark(catalog, plan.collection)
     docs = from_table(after(table, key, mark).withColumnRenamed(key, "_id"), "_id")
-    stats = load(docs, plan, catalog, mode="full" if mark is None else "incremental")
-    save_watermark(catalog, plan.collection, stats)
-    return stats
+    return load(docs, plan, catalog, mode="full" if mark is None else "incremental", watermark=True)
 
 
 def load_stream(stream: DataFrame, key: str, plan: Plan, catalog: Catalog, checkpoint: str):
@@ -24,7 +22,7 @@ def load_stream(stream: DataFrame, key: str, plan: Plan, catalog: Catalog, check
 
     def batch(df: DataFrame, _: int) -> None:
         docs = from_table(df.withColumnRenamed(key, "_id"), "_id")
-        save_watermark(catalog, plan.collection, load(docs, plan, catalog, mode="incremental"))
+        load(docs, plan, catalog, mode="incremental", watermark=True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
