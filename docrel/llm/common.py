@@ -42,16 +42,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Marks the columns that ``numbered`` has made, so that columns of an input with their names are not taken for them.
+_NUMBERED = {"numbered": True}
+
+
+def plain_read(df: DataFrame) -> bool:
+    """Is df rows of files, projected or filtered, so that each of them is one row of a file?"""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """df with ``__file`` (a hash that tells its files apart) and ``__row`` (the row's number in its file)."""
-    if {"__file", "__row"} <= set(df.columns):
+    """df with ``__file`` (a hash that tells its files apart) and ``__row`` (the row's number in its file); an input's own
+    columns of these names are replaced. What is not a plain read of files (joined, exploded, united tables) is written
+    first, so that rows made of one row of a file are told apart too."""
+    if all(c in df.columns and df.schema[c].metadata == _NUMBERED for c in ("__file", "__row")):
         return df
-    row = F.col("_metadata.row_index").alias("__row")
-    try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), row)
-    except AnalysisException:  # not a plain read of files
-        name = F.regexp_replace("_metadata.file_name", "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
-        return materialize(df).select("*", F.xxhash64(name).alias("__file"), row)
+    df = df.drop("__file", "__row")
+    place = lambda file: (F.xxhash64(file).alias("__file", metadata=_NUMBERED), F.col("_metadata.row_index").alias("__row", metadata=_NUMBERED))
+    if plain_read(df):
+        try:
+            return df.select("*", *place("_metadata.file_path"))
+        except AnalysisException:  # files without row numbers
+            pass
+    name = F.regexp_replace("_metadata.file_name", "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    return materialize(df).select("*", *place(name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

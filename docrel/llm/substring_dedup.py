@@ -8,7 +8,7 @@
 2. Texts are cut into stretches of windows with one recurring anchor, of at most 21 words, which are dealt out by anchor.
    A task takes a bounded number of stretches of whole anchors at a time, confirms the windows that may occur in two
    documents, compiles a shard's automaton over their words, and streams all the stretches through it.
-3. Windows of anchors of more than HOT_DOCS texts are dealt out by window instead: they are confirmed by an aggregation,
+3. Windows of anchors of more than HOT_DOCS texts, or HOT_STRETCHES stretches, are dealt out by window instead: they are confirmed by an aggregation,
    their occurrences, gathered over the texts of a batch, are joined with the confirmed ones (a join that Spark deals anew
    where it is skewed, so a passage of a third of all documents lies in many tasks), and each task compiles the automaton
    of the windows that it meets and streams their occurrences through it.
@@ -37,6 +37,10 @@ from .common import Words, materialize, mix, numbered, spans_hash, table, text_c
 WINDOW, GRAM = 13, 5
 #: Texts from which on an anchor is dealt out by window: what one task may gather of an anchor, some 3 MB of stretches.
 HOT_DOCS = 20_000
+#: The same of an anchor's stretches, so that few very long texts count too.
+HOT_STRETCHES = 100_000
+#: Word numbers that have a character of their own; automata over more words take them as sequences of numbers.
+CHARACTERS = 0x110000 - 0x800
 #: Stretches that one automaton serves, unless one anchor has more.
 AUTOMATON_ROWS = 4_000
 PLACED = "route long, h binary, doc_id long, places array<int>, stretch binary"
@@ -70,7 +74,7 @@ def stretches(found: Words, window: int, gram: int):
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """texts: (t, text). (anchor, t), once per text."""
+    """texts: (t, text). (anchor, t, n), once per text; n: the text's stretches of the anchor."""
 
     def find(batches):
         for batch in batches:
@@ -83,9 +87,10 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 doc, anchor = doc[order], anchor[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[low:high][doc[new]])], ["anchor", "t"])
+                n = np.diff(np.append(np.flatnonzero(new), len(doc)))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[low:high][doc[new]]), pa.array(n)], ["anchor", "t", "n"])
 
-    return texts.mapInArrow(find, "anchor long, t long")
+    return texts.mapInArrow(find, "anchor long, t long, n long")
 
 
 def chosen(batch: pa.RecordBatch, column: str, window: int, gram: int):
@@ -182,7 +187,7 @@ def word_codes(stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def as_string(codes: np.ndarray) -> str:
-    """A character for each number (at most 1,112,063 of them), past the surrogates."""
+    """A character for each number below CHARACTERS, past the surrogates."""
     return (codes + 0x800 * (codes >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
 
@@ -191,7 +196,10 @@ def occurrences(codes: np.ndarray, patterns: np.ndarray, window: int) -> tuple[n
     occurrence, where it begins and which pattern it is (of equal patterns the first)."""
     import ahocorasick
 
-    text, automaton = as_string(codes), ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    if codes.max(initial=0) < CHARACTERS:
+        text, automaton = as_string(codes), ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    else:
+        text, automaton = tuple(codes.tolist()), ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for k, p in enumerate(patterns.tolist()):
         key = text[p : p + window]
         if key not in automaton:
@@ -320,9 +328,9 @@ def text_table(df: DataFrame, window: int, gram: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "__file", "__row")).alias("first")
     firsts = docs.groupBy("t", "h").agg(first).groupBy("t").agg(F.collect_list(F.struct("h", "first.doc_id", "first.__file", "first.__row")).alias("firsts"))
     found = materialize(anchors(docs.select("t", "text"), window, gram))
-    many = found.groupBy("anchor").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n")).where("low < high")
+    many = found.groupBy("anchor").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("n")).where("low < high")
     # Written first, so that the join with anchors of many texts is dealt anew where it is skewed.
-    recurring = materialize(many.select("anchor", (F.col("n") > HOT_DOCS).alias("is_hot")))
+    recurring = materialize(many.select("anchor", ((F.col("texts") > HOT_DOCS) | (F.col("n") > HOT_STRETCHES)).alias("is_hot")))
     lists = [F.collect_set(F.when(which, F.col("anchor"))).alias(name) for name, which in (("anchors", ~F.col("is_hot")), ("hot", F.col("is_hot")))]
     listed = found.join(recurring, "anchor").groupBy("t").agg(*lists)
     return materialize(firsts.join(listed, "t", "left"))

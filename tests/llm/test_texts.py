@@ -61,6 +61,28 @@ def test_substring_dedup(odd_docs, monkeypatch, hot):
     assert substring_dedup.remove_repeats(df.limit(0)).collect() == []
 
 
+def test_anchors_of_few_texts_and_automata_over_many_words(spark, monkeypatch):
+    """A phrase of five words that recurs in two long texts makes its anchor hot; automata over more words than there are
+    characters take numbers."""
+    rng = random.Random(21)
+    passage = text_of(rng, 13, 50)
+    long = [" ".join(f"{rng.randrange(10**6)} {rng.randrange(10**6)} {rng.randrange(10**6)} the same old phrase again" for _ in range(600)) for _ in range(2)]
+    rows = [(1, f"{long[0]} {passage}"), (2, f"{passage} {long[1]} {passage}"), (3, f"x {passage} y"), (4, long[0][: len(long[0]) // 2])]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_dedup(rows)
+    most = substring_dedup.CHARACTERS
+    for stretches, characters in ((100_000, most), (50, most), (50, 40), (100_000, 40)):
+        monkeypatch.setattr(substring_dedup, "HOT_STRETCHES", stretches)
+        monkeypatch.setattr(substring_dedup, "CHARACTERS", characters)
+        got = substring_dedup.remove_repeats(df).collect()
+        assert Counter((r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], r["dedup"]["kept"]) for r in got) == want
+    monkeypatch.setattr(substring_dedup, "CHARACTERS", most)
+    codes = np.arange(1, most + 40)
+    with pytest.raises(UnicodeDecodeError):
+        substring_dedup.as_string(codes)
+    place, pattern = substring_dedup.occurrences(np.concatenate([codes, [0], codes[-13:]]), np.array([len(codes) - 13]), 13)
+    assert place.tolist() == [len(codes) - 13, len(codes) + 1] and pattern.tolist() == [0, 0]
+
+
 def test_words_are_found_across_texts():
     texts = [b"", b"ab c", b"c  \x0bd", b"x"]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -379,12 +401,18 @@ def test_language_model_of_nothing(spark):
 
 
 def test_rare_words_are_joined(spark, corpus, monkeypatch):
+    """With 900 known words the rest are joined from the table of counts. Counts and base are the same; contexts name known
+    words by rank and others by hash, so the models differ a little."""
     docs = table(spark, corpus, "documents").select("doc_id", "text").limit(60)
-    plain = {tuple(r) for r in lm_score.score_texts(docs, lm_score.train(docs)).select("doc_id", "n_known", F.round("base_score", 6), F.round("score", 3)).collect()}
-    few = lm_score.train(docs)
-    few.known = dict(list(few.known.items())[:50])
-    few.counts, few.class_of = few.counts[:50], few.class_of[:50]
-    assert {tuple(r) for r in lm_score.score_texts(docs, few).select("doc_id", "n_known", F.round("base_score", 6), F.round("score", 3)).collect()} == plain
+    scored = lambda: {r["doc_id"]: r for r in lm_score.score_texts(docs, lm_score.train(docs)).collect()}
+    plain = scored()
+    monkeypatch.setattr(lm_score.most_frequent, "__defaults__", (900,))
+    few = scored()
+    assert few.keys() == plain.keys()
+    for k, r in plain.items():
+        assert (few[k]["n_tokens"], few[k]["n_known"], few[k]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
+        assert few[k]["base_score"] == pytest.approx(r["base_score"], abs=1e-8)
+        assert few[k]["score"] == pytest.approx(r["score"], rel=0.1)
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -479,6 +507,27 @@ def test_pipeline(spark, corpus):
     assert all(links == 0 for _, _, links in brute_near(texts))
 
 
+def test_pipeline_keeps_columns_and_odd_rows(spark, tmp_path):
+    """Columns with the names of results come out as they went in; nulls, empty tables, ties and repeats don't crash."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [(k % 50 if k % 7 else None, None if k % 11 == 0 else text_of(rng, rng.choice([0, 5, 60])), "xx", rng.choice([None, "a", "b"]), -7, "mine", k) for k in range(200)]
+    rows += rows[:5]
+    kinds = "doc_id long, text string, lang string, source string, size int, target string, taken long"
+    folder = str(tmp_path)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, 50, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i", "some words of a test"), (None, None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for some in (rows, []):
+        spark.createDataFrame(some, kinds).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            assert out.columns == [*docs.columns, "shard", "slot"] if name == "sharding" else docs.columns
+            got = out.collect()
+            assert {(r["size"], r["target"]) for r in got} <= {(-7, "mine")} and {tuple(r)[:7] for r in got} <= {tuple(r) for r in some}
+
+
 def test_every_query_is_listed():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert pq is not None
