@@ -32,10 +32,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it."""
-    mixed = mixing.mix_sources(docs.drop("size", "source_size", "target", "taken"))
+    # Columns of documents that have the names of mixing's results step aside meanwhile.
+    aside = {c: f"__own_{c}" for c in ("size", "source_size", "target", "taken") if c in docs.columns}
+    mixed = mixing.mix_sources(docs.withColumnsRenamed(aside))
     times = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
-    again = F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")
-    return mixed.select(*docs.columns, again).drop("__copy")
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return mixed.select(*own, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
