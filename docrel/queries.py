@@ -605,4 +605,107 @@ def load_live_catalog(spark: SparkSession, sf: str) -> DataFrame:
     stats = load(S.from_table(changed, "_id"), bound, catalog, mode="incremental")
     runs = 2 if stats.total_rows == changed.count() else 0
     last = load_watermark(catalog, "orders")
-    return catalog.read("orders").select("mongo_id", "priority", "status", F.lit(runs).alias("runs"), F.lit(str(last)).alias("last_id"))
+    return _kept(catalog, catalog.read("orders").select("mongo_id", "priority", "status", F.lit(runs).alias("runs"), F.lit(str(last)).alias("last_id")))
+
+
+def _live(spark: SparkSession, docs: DataFrame, collection: str, buckets: int = 8) -> tuple[Catalog, nesting.Plan]:
+    """A new schema with the tables of the documents' plan."""
+    catalog = Catalog(spark, f"live_{uuid.uuid4().hex}", buckets)
+    plan = nesting.relax(plan_documents(docs, collection)[0])
+    ensure_tables(catalog, plan)
+    return catalog, plan
+
+
+def _kept(catalog: Catalog, rows: DataFrame) -> DataFrame:
+    """rows from a folder of their own; the schema is gone."""
+    path = _folder(catalog.spark)
+    rows.write.parquet(path)
+    catalog.spark.sql(f"DROP SCHEMA `{catalog.schema}` CASCADE")
+    return catalog.spark.read.schema(rows.schema).parquet(path)
+
+
+class _Stop(Exception):
+    pass
+
+
+@query("""select conv_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as integer) as messages_idx, role,
+  case when conv_id % 3 = 0 then text || '!' else text end as text, 8 as unchanged, (select cast(max(conv_id) as varchar) from conversations) as last_id from conversations""")
+def load_is_atomic(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations and their messages, loaded; then loads of changed ones that fail at each of their 8 steps, after
+    which both tables and the watermark are as before; then one that ends."""
+    rows = D.conversation_rows(spark, sf)
+    docs = S.from_table(rows, "_id")
+    catalog, plan = _live(spark, docs, "conversations")
+    load(docs, plan, catalog, watermark=True)
+    louder = F.transform("messages", lambda m: F.struct(m["turn"], m["role"], F.concat(m["text"], F.lit("!")).alias("text")))
+    changed = S.from_table(rows.where("_id % 3 = 0").withColumn("messages", louder), "_id")
+
+    def seen() -> list:
+        counts = [catalog.read(t.name).agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first() for t in plan.tables]
+        return [*counts, load_watermark(catalog, "conversations")]
+
+    def failing(step: int):
+        def progress(done: int, of: int, name: str) -> None:
+            if done == step:
+                raise _Stop(name)
+
+        return progress
+
+    before, unchanged = seen(), 0
+    for step in range(8):
+        try:
+            load(changed, plan, catalog, watermark=True, progress=failing(step))
+        except _Stop:
+            unchanged += seen() == before
+    load(changed, plan, catalog, watermark=True)
+    last = load_watermark(catalog, "conversations")
+    messages = catalog.read("conversations_messages")
+    return _kept(catalog, messages.select(F.col("conversation_id").cast("long").alias("conv_id"), "messages_idx", "role", "text", F.lit(unchanged).alias("unchanged"), F.lit(str(last)).alias("last_id")))
+
+
+_TEN = "o_orderkey in (select o_orderkey from orders order by o_orderkey limit 10)"
+
+
+@query(f"""select o_orderkey, case when {_TEN} then 'new' else o_orderstatus end as status, true as few, (select least(10, count(*)) from orders) as upserted from orders""")
+def upsert_few_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten orders upserted into a table of 64 buckets: at most ten of its buckets are rewritten, by the names of its
+    files."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"))
+    catalog, plan = _live(spark, S.from_table(rows, "_id"), "orders", 64)
+    load(S.from_table(rows, "_id"), plan, catalog)
+    names = lambda: {r[0] for r in catalog.live("orders", catalog.log.latest()[1]).select(F.input_file_name()).distinct().collect()}
+    before = names()
+    stats = load(S.from_table(rows.orderBy("_id").limit(10).withColumn("status", F.lit("new")), "_id"), plan, catalog)
+    few = len(before - names()) <= 10 and len(stats.rewritten["orders"]) <= 10
+    return _kept(catalog, catalog.read("orders").select(F.col("mongo_id").cast("long").alias("o_orderkey"), "status", F.lit(few).alias("few"), F.lit(stats.total_rows).cast("long").alias("upserted")))
+
+
+@query("""select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_items from orders where o_orderkey % 3 <> 0""")
+def delete_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third order deleted from a catalogue, with its items, in one commit."""
+    docs = D.order_docs(spark, sf)
+    catalog, plan = _live(spark, docs, "orders")
+    load(docs, plan, catalog)
+    catalog.delete_documents(plan, table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey"))
+    items = catalog.read("orders_items").groupBy("order_id").agg(F.count("*").alias("n"))
+    orders = catalog.read("orders")
+    counted = orders.join(items, orders["mongo_id"] == items["order_id"], "full").select(
+        F.coalesce("mongo_id", "order_id").cast("long").alias("o_orderkey"), F.when(F.col("mongo_id").isNotNull(), F.coalesce("n", F.lit(0))).cast("long").alias("n_items")
+    )
+    return _kept(catalog, counted)
+
+
+@query("""select o_orderkey, o_orderstatus as status, 'incremental' as mode, (select count(*) from orders where o_orderkey > (select max(o_orderkey) // 2 from orders)) as added,
+  (select max(o_orderkey) from orders) as mark from orders""")
+def load_beyond_mark(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders up to half of the largest key, then those beyond the mark that this load has left."""
+    from .streaming.incremental import load_new
+
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    catalog, plan = _live(spark, S.from_table(rows.withColumnRenamed("o_orderkey", "_id"), "_id"), "orders")
+    half = F.lit(rows.agg(F.expr("max(o_orderkey) div 2")).first()[0])
+    load_new(rows.where(F.col("o_orderkey") <= half), "o_orderkey", plan, catalog)
+    stats = load_new(rows, "o_orderkey", plan, catalog)
+    mark = load_watermark(catalog, "orders")
+    found = catalog.read("orders").select(F.col("mongo_id").cast("long").alias("o_orderkey"), "status", F.lit(stats.mode).alias("mode"), F.lit(stats.documents).cast("long").alias("added"), F.lit(mark).cast("long").alias("mark"))
+    return _kept(catalog, found)
