@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_arrays import fragments, read_array_texts
+
 
 def from_table(df: DataFrame, key: str | None = None, nulls: bool = False) -> DataFrame:
     """Typed rows as documents; null fields are missing fields unless ``nulls``. seq follows the key where one is given."""
@@ -37,20 +39,16 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file, read in the order of the files' names; each file is one task. A file that is not one
-    JSON value is an error."""
-    files = spark.read.text(path, wholetext=True)
-    names = files.select(F.col("_metadata.file_path").alias("file")).distinct()
-    order = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("k"))
-    whole = files.select(F.when(F.trim("value") != "", F.parse_json("value")).alias("a"), F.col("_metadata.file_path").alias("file")).join(order, "file")
-    items = whole.lateralJoin(spark.tvf.variant_explode(F.col("a").outer()))
-    return items.select((F.col("k") * (1 << 32) + F.col("pos")).alias("seq"), F.col("value").alias("v"))
+    """One JSON array per file, read in the order of the files' names, large files by many tasks. A file that is not one
+    JSON array is an error."""
+    items = read_array_texts(spark, path)
+    return items.select((F.col("file") * (1 << 32) + F.col("number")).alias("seq"), F.parse_json("text").alias("v"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Chooses by the first character that is not blank: [ starts an array, all else is lines."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return read_json_array(spark, path) if first and first[0]["value"].lstrip().startswith("[") else read_json_lines(spark, path)
+    first = fragments(spark, path).where(F.trim("value") != "").limit(1).collect()
+    return read_json_array(spark, path) if first and first[0]["value"].lstrip("\ufeff \t\r\n").startswith("[") else read_json_lines(spark, path)
 
 
 def sample(df: DataFrame, size: int, key: str, seed: int = 0, order=None) -> DataFrame:
