@@ -20,20 +20,18 @@ WRAPPERS = {
     "date": "date",
     "binary": "binary",
 }
-#: First word of a VARIANT's schema and the type it stands for.
+#: A VARIANT's schema, where it is one word, and the type it stands for.
 SHAPES = {
-    "VOID": "null",
-    "BOOLEAN": "bool",
     "BIGINT": "int",
-    "DECIMAL": "double",
+    "STRING": "string",
     "DOUBLE": "double",
     "FLOAT": "double",
-    "STRING": "string",
+    "BOOLEAN": "bool",
+    "VOID": "null",
     "DATE": "date",
     "TIMESTAMP": "date",
     "TIMESTAMP_NTZ": "date",
     "BINARY": "binary",
-    "ARRAY": "array",
 }
 #: Texts that count as true.
 TRUE_TEXTS = ("1", "true", "yes", "y")
@@ -48,17 +46,19 @@ def label(v: Column, shape: Column | None = None) -> Column:
 
     shape: schema_of_variant(v), where a column already holds it."""
     shape = F.schema_of_variant(v) if shape is None else shape
-    head = F.regexp_extract(shape, "^[A-Z_]+", 0)
     # A literal with decimals is an exact DECIMAL to Spark; only whole numbers too large for 64 bits are integers.
     large = F.rlike(shape, F.lit(r"^DECIMAL\((2[0-9]|3[0-9]),0\)"))
     # A wrapper has no other key than its own, and in it a single value or a flat object or array.
     wrapper = F.regexp_extract(shape, r"^OBJECT<`\$(\w+)`: (?:[A-Z_ ]+(?:\(\d+,\d+\))?|[A-Z]+<[^<>]*>)>$", 1)
     named = F.try_element_at(F.create_map(*[F.lit(x) for pair in WRAPPERS.items() for x in pair]), wrapper)
+    # Patterns only where a wrapper or a decimal can be: most values are told by the beginning of their shape.
     return (
         F.when(v.isNull(), "null")
-        .when(head == "OBJECT", F.coalesce(named, F.when(wrapper != "", wrapper), F.lit("object")))
-        .when(large, "int")
-        .otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair]), head))
+        .when(shape.startswith("OBJECT<`$"), F.coalesce(named, F.when(wrapper != "", wrapper), F.lit("object")))
+        .when(shape.startswith("OBJECT"), "object")
+        .when(shape.startswith("ARRAY"), "array")
+        .when(shape.startswith("DECIMAL"), F.when(large, "int").otherwise("double"))
+        .otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair]), shape))
     )
 
 
@@ -102,7 +102,7 @@ def as_bit(v: Column, kind: Column | None = None) -> Column:
     return (
         F.when(kind == "bool", F.try_variant_get(v, "$", "boolean"))
         .when(kind.isin("int", "int64", "double"), number_value(v, kind) != 0)
-        .when(kind == "string", F.lower(F.trim(text_value(v, kind))).isin(*TRUE_TEXTS))
+        .when(kind == "string", F.lower(F.regexp_replace(text_value(v, kind), r"^\s+|\s+$", "")).isin(*TRUE_TEXTS))
     )
 
 

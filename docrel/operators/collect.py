@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.infer import Profile
 from ..plans.nesting import Plan, build_plan, describe_shape
-from .profile import MAX_PATHS, maps, profile_facts, profile_typed, with_fill
+from .profile import MAX_PATHS, first_rows, maps, outside, profile_facts, profile_paths, profile_typed, with_fill
 from .walk import facts
 
 
@@ -18,22 +18,25 @@ def profile_documents(docs: DataFrame, max_paths: int = MAX_PATHS) -> tuple[Data
     return with_fill(profile_facts(facts(docs), max_paths=max_paths), documents), documents
 
 
-def map_infos(filled: DataFrame, min_keys: int, max_fill: float) -> dict[str, dict]:
-    return {r["path"]: r.asDict() for r in maps(filled, min_keys, max_fill).collect()}
-
-
 def plan_documents(
     docs: DataFrame, collection: str, nesting: str = "deep", schema: str = "dbo", min_keys: int = 30, max_fill: float = 0.2, headroom: float = 1.5
 ) -> tuple[Plan, Profile]:
+    """Data keys don't count against the limit of paths: objects that have them are found among all paths, and where there
+    are more than the limit, what lies inside those objects is left out first."""
+    docs = docs.persist()
+    documents = docs.count()
+    paths = with_fill(profile_paths(facts(docs)), documents).persist()
+    boxes, kept = maps(paths, min_keys, max_fill), paths
+    if paths.count() > MAX_PATHS:
+        boxes = outside(boxes, boxes)
+        kept = outside(paths, boxes)
     # One path more than the limit tells whether any was left out.
-    filled, documents = profile_documents(docs, MAX_PATHS + 1)
-    filled = filled.persist()
-    truncated = filled.count() > MAX_PATHS
-    filled = filled.orderBy("first").limit(MAX_PATHS) if truncated else filled
-    profile = Profile.collect(filled, documents, truncated=truncated)
-    infos = map_infos(filled, min_keys, max_fill)
-    filled.unpersist()
-    docs.unpersist()
+    rows = first_rows(kept, MAX_PATHS + 1).persist()
+    truncated = rows.count() > MAX_PATHS
+    profile = Profile.collect(rows.where(F.col("first") <= MAX_PATHS), documents, truncated=truncated)
+    infos = {r["path"]: r.asDict() for r in boxes.collect() if r["path"] in profile.stats}
+    for held in (rows, paths, docs):
+        held.unpersist()
     return build_plan(profile, collection, schema, infos, nesting, headroom), profile
 
 

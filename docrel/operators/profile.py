@@ -4,8 +4,10 @@ Columns: path, parent, present, nulls, types (map of type to count), dominant, m
 non_integral, non_finite, array_max, array_total, distinct_values (null where more than the limit), first (order of
 the path's first occurrence).
 
-``profile_facts`` aggregates path facts in two levels, by path and type and then by path; texts never shuffle.
-``profile_typed`` needs no facts: one aggregation per array level, generated from the schema.
+``profile_facts`` aggregates path facts in two levels, by path and type and then by path; facts are read once and texts
+never shuffle. ``profile_typed`` needs no facts: one aggregation per array level, generated from the schema. Distinct
+values are held in the same aggregations, in sketches that are exact up to several times the limit and stop growing
+beyond.
 """
 
 from __future__ import annotations
@@ -19,7 +21,22 @@ from ..functions.text import utf16_len
 PREVIEW, DISTINCT, DISTINCT_CHARS, MAX_PATHS = 80, 50, 200, 4000
 
 
-def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT, max_paths: int = MAX_PATHS) -> DataFrame:
+def held_values(text: Column, distinct: int) -> Column:
+    """Aggregate: the distinct texts, all of them as long as there are no more than six times the limit; a null counts as
+    one."""
+    return F.call_function("approx_top_k", text, F.lit(distinct + 2), F.lit(8 * distinct))
+
+
+def few_values(held: Column, about: Column, distinct: int) -> Column:
+    """The sorted values where there are at most ``distinct``, else null. about: their estimated number, which tells
+    whether all are held."""
+    values = F.array_sort(F.filter(F.transform(held, lambda h: h["item"]), lambda v: v.isNotNull()))
+    none = F.when(about == 0, F.array().cast("array<string>"))
+    return F.when((about > 0) & (about <= 2 * distinct) & (F.size(values) <= distinct), values).otherwise(none)
+
+
+def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT) -> DataFrame:
+    """All paths, however many; first: seq and positions of their first occurrence."""
     finite = ~F.isnan("x") & (F.abs("x") < float("inf"))
     units = utf16_len(F.col("s"))
     order = F.struct((-F.col("seq")).alias("a"), F.transform("ord", lambda o: -o).alias("b"))
@@ -36,6 +53,7 @@ def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
         F.max("n").alias("longest_array"),
         F.sum("n").alias("elements"),
         F.approx_count_distinct(F.when(F.length("s") <= DISTINCT_CHARS, F.col("s"))).alias("about"),
+        held_values(F.when(F.length("s") <= DISTINCT_CHARS, F.col("s")), distinct).alias("held"),
     )
     concrete = F.col("type") != "null"
     rows = by_type.groupBy("path").agg(
@@ -54,20 +72,19 @@ def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
         F.coalesce(F.sum("elements"), F.lit(0)).alias("array_total"),
         F.min("first").alias("first"),
         F.max("about").alias("about"),
+        F.first(F.when(F.col("type") == "string", F.col("held")), ignorenulls=True).alias("held"),
     )
-    # At most max_paths rows are left to number.
-    rows = rows.orderBy("first").limit(max_paths).withColumn("first", F.row_number().over(Window.orderBy("first")).cast("long"))
-    # Only paths whose estimate is near the limit or below can be within it.
-    few = rows.where(F.col("about") <= 2 * distinct).select("path")
-    values = (
-        found.where(F.length("s") <= DISTINCT_CHARS)
-        .join(F.broadcast(few), "path")
-        .groupBy("path")
-        .agg(F.array_sort(F.collect_set("s")).alias("distinct_values"))
-        .where(F.size("distinct_values") <= distinct)
-    )
-    none = F.when(F.col("about") == 0, F.array().cast("array<string>"))
-    return rows.join(values, "path", "left").withColumn("distinct_values", F.coalesce("distinct_values", none)).drop("about")
+    return rows.withColumn("distinct_values", few_values(F.col("held"), F.col("about"), distinct)).drop("about", "held")
+
+
+def first_rows(paths: DataFrame, max_paths: int) -> DataFrame:
+    """The first ``max_paths`` paths in reading order, numbered."""
+    # No more rows than that are left to number.
+    return paths.orderBy("first").limit(max_paths).withColumn("first", F.row_number().over(Window.orderBy("first")).cast("long"))
+
+
+def profile_facts(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT, max_paths: int = MAX_PATHS) -> DataFrame:
+    return first_rows(profile_paths(found, preview, distinct), max_paths)
 
 
 def _type_name(kind: T.DataType) -> str:
@@ -94,7 +111,7 @@ def _type_name(kind: T.DataType) -> str:
     return "null" if isinstance(kind, T.NullType) else kind.simpleString()
 
 
-def _measures(path: str, parent: str | None, value: Column, there: Column, kind: T.DataType, order: Column, at: int, preview: int) -> Column:
+def _measures(path: str, parent: str | None, value: Column, there: Column, kind: T.DataType, order: Column, at: int, preview: int, distinct: int) -> Column:
     name, lit = _type_name(kind), F.lit
     null = lit(None).cast("double")
     is_text, is_number, is_array = name == "string", name in ("int", "int64", "double", "decimal"), name == "array"
@@ -105,6 +122,7 @@ def _measures(path: str, parent: str | None, value: Column, there: Column, kind:
     size = F.when(held, F.size(value)).cast("long") if is_array else lit(None).cast("long")
     count = lambda c: F.coalesce(F.count_if(c), lit(0))
     no = lit(False)
+    short = F.when(held & (F.length(value) <= DISTINCT_CHARS), value.cast("string")) if is_text else None
     n = count(held)
     null_n = count(there & value.isNull())
     types = F.map_filter(F.map_from_arrays(F.array(lit(name), lit("null")), F.array(n, null_n)), lambda _, c: c > 0) if name != "null" else F.create_map(lit("null"), null_n)
@@ -124,7 +142,8 @@ def _measures(path: str, parent: str | None, value: Column, there: Column, kind:
         (F.coalesce(F.max(size), lit(0)) if is_array else lit(0)).cast("long").alias("array_max"),
         (F.coalesce(F.sum(size), lit(0)) if is_array else lit(0)).cast("long").alias("array_total"),
         lit(at).cast("long").alias("first"),
-        (F.approx_count_distinct(F.when(held & (F.length(value) <= DISTINCT_CHARS), value)) if is_text else lit(0)).cast("long").alias("about"),
+        (F.approx_count_distinct(short) if is_text else lit(0)).cast("long").alias("about"),
+        (held_values(short, distinct) if is_text else lit(None).cast("array<struct<item: string, count: bigint>>")).alias("held"),
     )
 
 
@@ -160,25 +179,14 @@ def profile_typed(df: DataFrame, key: str, preview: int = PREVIEW, distinct: int
 
     start = df.withColumns({"__key": -F.col(key).cast("long"), "__ord": F.array().cast("array<int>")})
     frame(start, df.schema, "", None, 0)
-    rows, texts = None, []
+    rows = None
     for data, out, _ in frames:
         order = F.struct("__key", "__ord")
-        measured = data.agg(*[_measures(p, parent, c, there, kind, order, k, preview).alias(f"c{i}") for i, (p, parent, c, there, kind, k) in enumerate(out)])
+        measured = data.agg(*[_measures(p, parent, c, there, kind, order, k, preview, distinct).alias(f"c{i}") for i, (p, parent, c, there, kind, k) in enumerate(out)])
         flat = measured.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(out))])).alias("r")).select("r.*")
         rows = flat if rows is None else rows.unionAll(flat)
-        texts += [(p, data, c, there) for p, _, c, there, kind, _ in out if _type_name(kind) == "string"]
-    rows = rows.where("present > 0").persist()
-    about = {r["path"]: r["about"] for r in rows.where("about > 0").select("path", "about").collect()}
-    values = None
-    for path, data, c, there in texts:
-        if 0 < about.get(path, 0) <= 2 * distinct:
-            one = data.where(there & (F.length(c) <= DISTINCT_CHARS)).agg(F.array_sort(F.collect_set(c)).alias("distinct_values"))
-            one = one.where(F.size("distinct_values") <= distinct).select(F.lit(path).alias("path"), "distinct_values")
-            values = one if values is None else values.unionAll(one)
-    none = F.when(F.col("about") == 0, F.array().cast("array<string>"))
-    if values is None:
-        return rows.withColumn("distinct_values", none).drop("about")
-    return rows.join(values, "path", "left").withColumn("distinct_values", F.coalesce("distinct_values", none)).drop("about")
+    rows = rows.where("present > 0")
+    return rows.withColumn("distinct_values", few_values(F.col("held"), F.col("about"), distinct)).drop("about", "held")
 
 
 def containers(rows: DataFrame, documents) -> DataFrame:
@@ -191,7 +199,7 @@ def containers(rows: DataFrame, documents) -> DataFrame:
 def with_fill(rows: DataFrame, documents) -> DataFrame:
     """rows with ``fill``: presence among the visits of the own container; null for array elements."""
     visits = containers(rows, documents)
-    return rows.join(F.broadcast(visits), "parent", "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
+    return rows.join(visits, "parent", "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
 
 
 def direct_children(filled: DataFrame) -> DataFrame:
@@ -201,6 +209,18 @@ def direct_children(filled: DataFrame) -> DataFrame:
     return inside.withColumn("owner", F.expr("substring(parent, 1, length(parent) - 1)")).withColumn("key", F.expr("substring(path, length(parent) + 1)"))
 
 
+def above(path: Column) -> Column:
+    """The objects and arrays that a path may lie in, by the places of its marks."""
+    marks = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path))), lambda i: F.substr(path, i, F.lit(1)).isin(".", "["))
+    return F.transform(marks, lambda i: F.left(path, i - 1))
+
+
+def outside(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """rows whose path lies in none of the boxes (path)."""
+    inside = rows.select("path", F.explode(above(F.col("path"))).alias("box")).join(boxes.select(F.col("path").alias("box")), "box", "left_semi")
+    return rows.join(inside.select("path").distinct(), "path", "left_anti")
+
+
 def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2) -> DataFrame:
     """Objects whose keys are data: many direct children, each rarely present. One row per such path."""
     kids = direct_children(filled)

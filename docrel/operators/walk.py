@@ -1,13 +1,14 @@
 """Path facts: one row per field occurrence of every document.
 
-Level by level, each object and array of VARIANT documents is exploded in Spark; the walk ends at the first level
-without containers. Columns: seq, ord (positions from the root), path, parent (container prefix; null for array
-elements), type, s (text), x (number), n (array length).
+One pass: a row of facts carries the container that it stands for until the next level opens it, so each document is
+walked by one task from root to leaves and nothing is kept between levels. How deep documents are is found first.
+Columns: seq, ord (positions from the root), path, parent (container prefix; null for array elements), type, s (text),
+x (number), n (array length).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.variants import array_length, label, number_value, text_value
@@ -20,36 +21,59 @@ def _facts(level: DataFrame) -> DataFrame:
     )
 
 
+def depth(v: Column) -> Column:
+    """Levels of brackets in a document."""
+    brackets = F.regexp_replace(F.regexp_replace(F.schema_of_variant(v), "`[^`]*`", ""), "[^<>]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket == "<", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(brackets, F.lit("[<>]"), F.lit(0)), start, step, lambda at: at["most"])
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, where they lie in fewer partitions than there are cores; other inputs stay where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    used = docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0]
+    return docs.repartition(cores, "seq") if used is not None and used + 1 < cores else docs
+
+
 def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
     """Documents deeper than ``max_depth`` levels are an error, as their facts would be incomplete."""
-    spark = docs.sparkSession
-    boxes = docs.where(label(F.col("v")) == "object").select(
-        "seq", F.array().cast("array<int>").alias("ord"), F.lit("").alias("base"), F.lit(False).alias("in_array"), "v"
-    )
-    out = None
-    for _ in range(max_depth):
-        items = boxes.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        level = items.select(
+    docs = spread(docs.select("seq", "v"))
+    levels = docs.agg(F.max(depth(F.col("v")))).first()[0] or 0
+    if levels > max_depth:
+        raise ValueError(f"documents are deeper than {max_depth} levels")
+    none = F.array().cast("array<struct<pos: int, key: string, value: variant>>")
+    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    fields = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string, variant>")), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
+    items = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("key"), e.alias("value")))
+    inside = F.when(F.col("open") & (F.col("type") == "object"), fields).when(F.col("open") & (F.col("type") == "array"), items).otherwise(none)
+    rows = docs.where(label(F.col("v")) == "object").select(
+        "seq", F.array().cast("array<int>").alias("ord"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"),
+        F.col("v").alias("value"), F.lit("object").alias("type"), F.lit("").alias("base"), F.lit(True).alias("open"), F.lit(False).alias("is_fact"),
+    )
+    for _ in range(levels):
+        rows = rows.select("*", F.explode(F.concat(F.when(F.col("is_fact"), itself).otherwise(none), inside)).alias("k"))
+        own, in_array = F.col("k.pos") < 0, F.col("type") == "array"
+        old = lambda name, new: F.when(own, F.col(name)).otherwise(new).alias(name)
+        rows = rows.select(
             "seq",
-            F.concat("ord", F.array("pos")).alias("ord"),
-            F.concat("base", F.when(F.col("in_array"), "").otherwise(F.col("key"))).alias("path"),
-            F.when(~F.col("in_array"), F.col("base")).alias("parent"),
-            "value",
-        ).withColumn("shape", F.schema_of_variant("value"))
-        level = level.withColumn("type", label(F.col("value"), F.col("shape"))).drop("shape")
-        out = _facts(level) if out is None else out.unionAll(_facts(level))
+            old("ord", F.concat("ord", F.array("k.pos"))),
+            old("path", F.concat("base", F.when(in_array, "").otherwise(F.col("k.key")))),
+            old("parent", F.when(~in_array, F.col("base"))),
+            old("value", F.col("k.value")),
+            F.when(own, F.col("type")).alias("known"),
+            F.when(~own, F.schema_of_variant("k.value")).alias("shape"),
+        )
+        rows = rows.withColumn("type", F.coalesce("known", label(F.col("value"), F.col("shape"))))
         # An array directly inside an array is recorded and not entered.
-        inside = level.where((F.col("type") == "object") | ((F.col("type") == "array") & F.col("parent").isNotNull()))
-        boxes = inside.select(
-            "seq",
-            "ord",
-            F.concat("path", F.when(F.col("type") == "array", "[]").otherwise(".")).alias("base"),
-            (F.col("type") == "array").alias("in_array"),
-            F.col("value").alias("v"),
-        ).persist()
-        if boxes.isEmpty():
-            return out
-    raise ValueError(f"documents are deeper than {max_depth} levels")
+        enter = F.col("known").isNull() & ((F.col("type") == "object") | ((F.col("type") == "array") & F.col("parent").isNotNull()))
+        base = F.concat("path", F.when(F.col("type") == "array", "[]").otherwise("."))
+        rows = rows.select("seq", "ord", "path", "parent", "value", "type", base.alias("base"), enter.alias("open"), F.lit(True).alias("is_fact"))
+    return _facts(rows.where("is_fact"))
 
 
 def first_paths(found: DataFrame, max_paths: int) -> DataFrame:

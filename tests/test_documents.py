@@ -223,3 +223,25 @@ def test_command_line(docs, tmp_path):
     none = tmp_path / "none.jsonl"
     none.write_text("\n")
     assert cli.main(["--from-file", str(none), "--collection", "orders"]) == 1
+
+
+def test_a_hundred_thousand_data_keys_are_a_key_value_table(spark):
+    from docrel.operators.profile import above
+
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.lit('"k'), F.col("id") * 100 + k, F.lit('": {"a": '), k, F.lit(', "b": "x"}'))), ", ")
+    text = F.concat(F.lit('{"_id": '), F.col("id"), F.lit(', "slots": {'), entries, F.lit('}, "name": "n", "after": [1]}'))
+    docs = spark.range(1000).select(F.col("id").alias("seq"), F.parse_json(text).alias("v"))
+    plan, profile = plan_documents(docs, "t")
+    assert not profile.truncated and sorted(profile.stats) == ["_id", "after", "after[]", "name", "slots"]
+    assert [(t.name, t.kind) for t in plan.tables] == [("t", "root"), ("t_after", "array"), ("t_slots", "map")]
+    assert (plan.children[1].keys_seen, plan.children[1].map_value.sql_type) == (100_000, "NVARCHAR(MAX)")
+    assert spark.range(1).select(above(F.lit("a.b[].c"))).first()[0] == ["a", "a.b", "a.b[]"]
+
+
+@pytest.mark.parametrize("n", [49, 50, 51, 99, 400, 3000])
+def test_distinct_values_up_to_the_limit(spark, n):
+    df = spark.range(6000).select(F.col("id").alias("_id"), F.when(F.col("id") % 13 > 0, F.concat(F.lit("v"), F.col("id") % n)).alias("x"), F.repeat(F.lit("y"), F.lit(201)).alias("long"))
+    want = sorted(f"v{k}" for k in range(n)) if n <= 50 else None
+    typed = {r["path"]: r["distinct_values"] for r in P.profile_typed(df, "_id").collect()}
+    variant, _ = profile_documents(S.from_table(df, "_id"))
+    assert typed == {r["path"]: r["distinct_values"] for r in variant.collect()} == {"_id": [], "x": want, "long": []}
