@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +22,48 @@ def profile_documents(docs: DataFrame, max_paths: int = MAX_PATHS) -> tuple[Data
 def plan_documents(
     docs: DataFrame, collection: str, nesting: str = "deep", schema: str = "dbo", min_keys: int = 30, max_fill: float = 0.2, headroom: float = 1.5
 ) -> tuple[Plan, Profile]:
-    """Data keys don't count against the limit of paths: objects that have them are found among all paths, and where there
-    are more than the limit, what lies inside those objects is left out first."""
+    plans, errors = _plan_all(docs.select(F.lit(collection).alias("collection"), "seq", "v"), [collection], nesting, schema, min_keys, max_fill, headroom, nulls=True)
+    return plans[collection]
+
+
+BY = ("collection",)
+
+
+def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0.2, headroom=1.5, nulls=False):
+    """Plans and profiles of documents (collection, seq, v), profiled together. Data keys don't count against the limit of
+    paths: objects that have them are found among all paths, and where a collection has more than the limit, what lies
+    inside those objects is left out first. nulls: a null v is a document without fields, not an error."""
     docs = docs.persist()
-    documents = docs.count()
-    paths = with_fill(profile_paths(facts(docs)), documents).persist()
-    boxes, kept = maps(paths, min_keys, max_fill), paths
-    if paths.count() > MAX_PATHS:
-        boxes = outside(boxes, boxes)
-        kept = outside(paths, boxes)
+    counts = docs.groupBy(*BY).agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("broken")).persist()
+    known = {r["collection"]: r for r in counts.collect()}
+    errors = {} if nulls else {c: f"{r['broken']} documents are not JSON" for c, r in known.items() if r["broken"]}
+    paths = with_fill(profile_paths(facts(docs, by=BY), by=BY), counts, BY).persist()
+    boxes = maps(paths, min_keys, max_fill, BY)
+    many = paths.groupBy(*BY).count().where(F.col("count") > MAX_PATHS).select("collection")
+    kept = paths
+    if not many.isEmpty():
+        large, small = boxes.join(many, "collection", "left_semi"), boxes.join(many, "collection", "left_anti")
+        large = outside(large, large, BY).persist()
+        boxes, kept = large.unionByName(small), outside(paths, large, BY)
     # One path more than the limit tells whether any was left out.
-    rows = first_rows(kept, MAX_PATHS + 1).persist()
-    truncated = rows.count() > MAX_PATHS
-    profile = Profile.collect(rows.where(F.col("first") <= MAX_PATHS), documents, truncated=truncated)
-    infos = {r["path"]: r.asDict() for r in boxes.collect() if r["path"] in profile.stats}
-    for held in (rows, paths, docs):
+    rows = first_rows(kept, MAX_PATHS + 1, BY).persist()
+    cut = {r["collection"] for r in rows.where(F.col("first") > MAX_PATHS).select("collection").collect()}
+    by_name: dict[str, list] = {}
+    for r in rows.where(F.col("first") <= MAX_PATHS).collect():
+        by_name.setdefault(r["collection"], []).append(r)
+    infos: dict[str, dict] = {}
+    for r in boxes.collect():
+        infos.setdefault(r["collection"], {})[r["path"]] = r.asDict()
+    plans = {}
+    for name in names:
+        if name in errors or (name not in known and not nulls):
+            continue
+        profile = Profile.of_rows(by_name.get(name, []), known[name]["n"] if name in known else 0, name in cut)
+        own = {p: i for p, i in infos.get(name, {}).items() if p in profile.stats}
+        plans[name] = (build_plan(profile, name, schema, own, nesting, headroom), profile)
+    for held in (rows, paths, counts, docs):
         held.unpersist()
-    return build_plan(profile, collection, schema, infos, nesting, headroom), profile
+    return plans, errors
 
 
 def plan_typed(df: DataFrame, collection: str, nesting: str = "deep", schema: str = "dbo", headroom: float = 1.5, key: str = "_id") -> tuple[Plan, Profile]:
@@ -50,14 +76,30 @@ def plan_typed(df: DataFrame, collection: str, nesting: str = "deep", schema: st
 
 
 def plan_many(collections: dict[str, DataFrame], **options) -> tuple[dict[str, Plan], dict[str, str]]:
-    """Plans by collection, and errors by collection; empty collections are left out, an error does not stop the rest."""
-    plans, errors = {}, {}
-    for name, docs in collections.items():
+    """Plans by collection, and errors by collection, from one pass over all of them. Empty collections are left out.
+    Documents whose v is null are broken: their collection is an error and the rest goes on. A collection that cannot
+    be read at all makes the pass fail; then each is planned by itself."""
+    errors, docs = {}, None
+    for name, own in collections.items():
         try:
-            if not docs.isEmpty():
-                plans[name] = plan_documents(docs, name, **options)[0]
-        except Exception as e:  # noqa: BLE001
+            named = own.select(F.lit(name).alias("collection"), "seq", "v")
+            docs = named if docs is None else docs.unionAll(named)
+        except AnalysisException as e:
             errors[name] = str(e)
+    if docs is None:
+        return {}, errors
+    names = [n for n in collections if n not in errors]
+    try:
+        plans, broken = _plan_all(docs, names, **options)
+        return {n: p for n, (p, _) in plans.items()}, errors | broken
+    except Exception as e:  # noqa: BLE001
+        if len(names) == 1:
+            return {}, errors | {names[0]: str(e)}
+    plans = {}
+    for name in names:
+        own, failed = plan_many({name: collections[name]}, **options)
+        plans |= own
+        errors |= failed
     return plans, errors
 
 

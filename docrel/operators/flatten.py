@@ -16,7 +16,14 @@ from ..plans.nesting import ROOT_KEY, Plan, PlanTable
 
 def at(v: Column, dotted: str) -> Column:
     """The value at a dotted path, null where a link is missing or not an object."""
-    steps = "".join(f'["{key}"]' for key in dotted.split(".")) if dotted else ""
+    steps = ""
+    for key in dotted.split(".") if dotted else []:
+        if '"' not in key:
+            steps += f'["{key}"]'
+        elif "'" not in key:
+            steps += f"['{key}']"
+        else:  # no path can name it
+            v, steps = F.try_element_at(F.try_variant_get(v, f"${steps}", "map<string, variant>"), F.lit(key)), ""
     return F.try_variant_get(v, f"${steps}", "variant")
 
 

@@ -35,12 +35,12 @@ def few_values(held: Column, about: Column, distinct: int) -> Column:
     return F.when((about > 0) & (about <= 2 * distinct) & (F.size(values) <= distinct), values).otherwise(none)
 
 
-def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT) -> DataFrame:
-    """All paths, however many; first: seq and positions of their first occurrence."""
+def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT, by: tuple[str, ...] = ()) -> DataFrame:
+    """All paths (of each value of ``by``), however many; first: seq and positions of their first occurrence."""
     finite = ~F.isnan("x") & (F.abs("x") < float("inf"))
     units = utf16_len(F.col("s"))
     order = F.struct((-F.col("seq")).alias("a"), F.transform("ord", lambda o: -o).alias("b"))
-    by_type = found.groupBy("path", "type").agg(
+    by_type = found.groupBy(*by, "path", "type").agg(
         F.first("parent", ignorenulls=True).alias("parent"),
         F.count("*").alias("n"),
         F.min(F.struct("seq", "ord")).alias("first"),
@@ -56,7 +56,7 @@ def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
         held_values(F.when(F.length("s") <= DISTINCT_CHARS, F.col("s")), distinct).alias("held"),
     )
     concrete = F.col("type") != "null"
-    rows = by_type.groupBy("path").agg(
+    rows = by_type.groupBy(*by, "path").agg(
         F.first("parent", ignorenulls=True).alias("parent"),
         F.sum("n").alias("present"),
         F.coalesce(F.sum(F.when(~concrete, F.col("n"))), F.lit(0)).alias("nulls"),
@@ -77,8 +77,11 @@ def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DIST
     return rows.withColumn("distinct_values", few_values(F.col("held"), F.col("about"), distinct)).drop("about", "held")
 
 
-def first_rows(paths: DataFrame, max_paths: int) -> DataFrame:
-    """The first ``max_paths`` paths in reading order, numbered."""
+def first_rows(paths: DataFrame, max_paths: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``max_paths`` paths (of each value of ``by``) in reading order, numbered."""
+    if by:
+        number = F.row_number().over(Window.partitionBy(*by).orderBy("first")).cast("long")
+        return paths.withColumn("first", number).where(F.col("first") <= max_paths)
     # No more rows than that are left to number.
     return paths.orderBy("first").limit(max_paths).withColumn("first", F.row_number().over(Window.orderBy("first")).cast("long"))
 
@@ -189,17 +192,17 @@ def profile_typed(df: DataFrame, key: str, preview: int = PREVIEW, distinct: int
     return rows.withColumn("distinct_values", few_values(F.col("held"), F.col("about"), distinct)).drop("about", "held")
 
 
-def containers(rows: DataFrame, documents) -> DataFrame:
-    """(parent, visits): how often each container prefix was entered."""
-    objects = rows.select(F.concat("path", F.lit(".")).alias("parent"), F.coalesce(F.element_at("types", "object"), F.lit(0)).alias("visits"))
-    spark = rows.sparkSession
-    return objects.unionAll(spark.range(1).select(F.lit("").alias("parent"), F.lit(documents).cast("long").alias("visits")))
+def containers(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, parent, visits): how often each container prefix was entered. documents: their number, or a table of by and n."""
+    objects = rows.select(*by, F.concat("path", F.lit(".")).alias("parent"), F.coalesce(F.element_at("types", "object"), F.lit(0)).alias("visits"))
+    roots = documents if by else rows.sparkSession.range(1).select(F.lit(documents).cast("long").alias("n"))
+    return objects.unionAll(roots.select(*by, F.lit("").alias("parent"), F.col("n").alias("visits")))
 
 
-def with_fill(rows: DataFrame, documents) -> DataFrame:
+def with_fill(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with ``fill``: presence among the visits of the own container; null for array elements."""
-    visits = containers(rows, documents)
-    return rows.join(visits, "parent", "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
+    visits = containers(rows, documents, by)
+    return rows.join(visits, [*by, "parent"], "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
 
 
 def direct_children(filled: DataFrame) -> DataFrame:
@@ -215,27 +218,26 @@ def above(path: Column) -> Column:
     return F.transform(marks, lambda i: F.left(path, i - 1))
 
 
-def outside(rows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """rows whose path lies in none of the boxes (path)."""
-    inside = rows.select("path", F.explode(above(F.col("path"))).alias("box")).join(boxes.select(F.col("path").alias("box")), "box", "left_semi")
-    return rows.join(inside.select("path").distinct(), "path", "left_anti")
-
-
-def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2) -> DataFrame:
-    """Objects whose keys are data: many direct children, each rarely present. One row per such path."""
-    kids = direct_children(filled)
-    objects = filled.where("dominant = 'object'").select(F.col("path").alias("owner"))
-    strings = F.map_filter("types", lambda t, _: (t != "null"))
-    return (
-        kids.join(objects, "owner", "left_semi")
-        .groupBy("owner")
-        .agg(
-            F.count("*").alias("keys"),
-            F.avg("fill").alias("avg_fill"),
-            F.max(utf16_len(F.col("key"))).alias("key_max_utf16"),
-            F.max("max_utf16").alias("value_max_utf16"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys(strings))))).alias("value_types"),
-        )
-        .where((F.col("keys") >= min_keys) & (F.col("avg_fill") <= max_fill))
-        .withColumnRenamed("owner", "path")
+def outside(rows: DataFrame, boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows whose path lies in none of the boxes (by, path)."""
+    boxes = boxes.select(*by, F.col("path").alias("box"))
+    inside = rows.select(*by, "path", F.explode(above(F.col("path"))).alias("box")).join(boxes, [*by, "box"], "left_semi")
+    return rows.join(inside.select(*by, "path").distinct(), [*by, "path"], "left_anti")
+
+
+def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Objects whose keys are data: many direct children, each rarely present. One row per such path; value_types: how
+    many values of each type their keys have, all keys together."""
+    owner = [*by, "owner"]
+    kids = direct_children(filled).join(filled.where("dominant = 'object'").select(*by, F.col("path").alias("owner")), owner, "left_semi")
+    found = kids.groupBy(*owner).agg(
+        F.count("*").alias("keys"),
+        F.avg("fill").alias("avg_fill"),
+        F.max(utf16_len(F.col("key"))).alias("key_max_utf16"),
+        F.max("max_utf16").alias("value_max_utf16"),
     )
+    found = found.where((F.col("keys") >= min_keys) & (F.col("avg_fill") <= max_fill))
+    counted = kids.select(*owner, F.explode(F.map_filter("types", lambda t, _: t != "null")).alias("type", "n")).groupBy(*owner, "type").agg(F.sum("n").alias("n"))
+    types = counted.groupBy(*owner).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("value_types"))
+    none = F.create_map().cast("map<string, bigint>")
+    return found.join(types, owner, "left").withColumn("value_types", F.coalesce("value_types", none)).withColumnRenamed("owner", "path")

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.variants import array_length, label, number_value, text_value
 
 
-def _facts(level: DataFrame) -> DataFrame:
+def _facts(level: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     v, kind = F.col("value"), F.col("type")
     return level.select(
-        "seq", "ord", "path", "parent", "type", text_value(v, kind).alias("s"), number_value(v, kind).alias("x"), array_length(v, kind).alias("n")
+        *by, "seq", "ord", "path", "parent", "type", text_value(v, kind).alias("s"), number_value(v, kind).alias("x"), array_length(v, kind).alias("n")
     )
 
 
@@ -40,9 +40,10 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores, "seq") if used is not None and used + 1 < cores else docs
 
 
-def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Documents deeper than ``max_depth`` levels are an error, as their facts would be incomplete."""
-    docs = spread(docs.select("seq", "v"))
+def facts(docs: DataFrame, max_depth: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """by: columns of docs that every fact keeps. Documents deeper than ``max_depth`` levels are an error, as their facts
+    would be incomplete."""
+    docs = spread(docs.select(*by, "seq", "v"))
     levels = docs.agg(F.max(depth(F.col("v")))).first()[0] or 0
     if levels > max_depth:
         raise ValueError(f"documents are deeper than {max_depth} levels")
@@ -52,7 +53,7 @@ def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
     items = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("key"), e.alias("value")))
     inside = F.when(F.col("open") & (F.col("type") == "object"), fields).when(F.col("open") & (F.col("type") == "array"), items).otherwise(none)
     rows = docs.where(label(F.col("v")) == "object").select(
-        "seq", F.array().cast("array<int>").alias("ord"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"),
+        *by, "seq", F.array().cast("array<int>").alias("ord"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"),
         F.col("v").alias("value"), F.lit("object").alias("type"), F.lit("").alias("base"), F.lit(True).alias("open"), F.lit(False).alias("is_fact"),
     )
     for _ in range(levels):
@@ -60,6 +61,7 @@ def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
         own, in_array = F.col("k.pos") < 0, F.col("type") == "array"
         old = lambda name, new: F.when(own, F.col(name)).otherwise(new).alias(name)
         rows = rows.select(
+            *by,
             "seq",
             old("ord", F.concat("ord", F.array("k.pos"))),
             old("path", F.concat("base", F.when(in_array, "").otherwise(F.col("k.key")))),
@@ -72,8 +74,8 @@ def facts(docs: DataFrame, max_depth: int = 100) -> DataFrame:
         # An array directly inside an array is recorded and not entered.
         enter = F.col("known").isNull() & ((F.col("type") == "object") | ((F.col("type") == "array") & F.col("parent").isNotNull()))
         base = F.concat("path", F.when(F.col("type") == "array", "[]").otherwise("."))
-        rows = rows.select("seq", "ord", "path", "parent", "value", "type", base.alias("base"), enter.alias("open"), F.lit(True).alias("is_fact"))
-    return _facts(rows.where("is_fact"))
+        rows = rows.select(*by, "seq", "ord", "path", "parent", "value", "type", base.alias("base"), enter.alias("open"), F.lit(True).alias("is_fact"))
+    return _facts(rows.where("is_fact"), by)
 
 
 def first_paths(found: DataFrame, max_paths: int) -> DataFrame:

@@ -245,3 +245,62 @@ def test_distinct_values_up_to_the_limit(spark, n):
     typed = {r["path"]: r["distinct_values"] for r in P.profile_typed(df, "_id").collect()}
     variant, _ = profile_documents(S.from_table(df, "_id"))
     assert typed == {r["path"]: r["distinct_values"] for r in variant.collect()} == {"_id": [], "x": want, "long": []}
+
+
+def test_twenty_collections_in_one_pass(spark, monkeypatch):
+    from docrel.operators import collect
+
+    texts = [(c, k, f'{{"_id": {k}, "f{c}": {{"x": "{"y" * c}"}}, "a": [{{"n": 1.5}}]}}') for c in range(20) for k in range(3)]
+    rows = spark.createDataFrame([*texts, (7, 9, "not json")], "c int, seq long, t string").withColumn("v", F.try_parse_json("t"))
+    collections = {f"c{c}": rows.where(F.col("c") == c).select("seq", "v") for c in range(20)}
+    passes = []
+    own = collect._plan_all
+    monkeypatch.setattr(collect, "_plan_all", lambda *a, **b: (passes.append(1), own(*a, **b))[1])
+    plans, errors = collect.plan_many(collections | {"none": rows.where("false"), "odd": rows.select("c")})
+    assert sorted(plans) == sorted(set(collections) - {"c7"}) and len(passes) == 1
+    assert errors["c7"] == "1 documents are not JSON" and set(errors) == {"c7", "odd"}
+    for name, plan in plans.items():
+        alone = plan_documents(collections[name], name)[0]
+        assert plan == alone and plan.documents == 3
+    # One that fails while it is read does not take the others with it.
+    broken = rows.where("c = 3").select("seq", F.parse_json(F.concat(F.lit("{"), "t")).alias("v"))
+    plans, errors = collect.plan_many({"good": collections["c1"], "bad": broken})
+    assert list(plans) == ["good"] and list(errors) == ["bad"]
+
+
+def test_keys_with_quotation_marks(spark):
+    text = r"""{"_id": 1, "a\"b": 5, "c'd": {"e\"f": "x"}, "g\"h'i": {"j": true}}"""
+    docs = spark.createDataFrame([(0, text)], "seq long, t string").select("seq", F.parse_json("t").alias("v"))
+    plan, _ = plan_documents(docs, "odd")
+    row = FL.flatten(docs, plan)["odd"].drop("__clipped").first().asDict()
+    assert sorted(map(str, row.values())) == sorted(map(str, [1, 5, "x", True]))
+
+
+def test_types_of_key_value_tables_are_counted(spark):
+    value = F.when(F.col("id") % 4 == 0, F.lit("null")).when(F.col("id") % 4 == 1, F.lit('"s"')).otherwise(F.col("id").cast("string"))
+    docs = spark.range(40).select(F.col("id").alias("seq"), F.parse_json(F.concat(F.lit('{"_id": '), F.col("id"), F.lit(', "m": {"k'), F.col("id"), F.lit('": '), value, F.lit("}}"))).alias("v"))
+    plan, _ = plan_documents(docs, "t")
+    assert plan.children[0].map_value.types == {"int": 20, "string": 10}
+
+
+def test_notes_and_previews(docs):
+    from docrel.plans.infer import PathStats, declared_type
+
+    stat = lambda types, **more: PathStats("p", "", 9, 0, types, next(iter(types)), **more)
+    assert declared_type(stat({"string": 9}, max_utf16=500))[1] == ["up to 500 UTF-16 units, too wide for an index key"]
+    assert declared_type(stat({"string": 5, "int": 4}, max_utf16=500))[1] == ["type conflict: string 55.6%, int 44.4%"]
+    assert declared_type(stat({"double": 9}, non_finite=True))[1] == ["NaN or infinite values become null"]
+    assert declared_type(stat({"double": 5, "int": 4}, non_finite=True))[1] == ["whole and fractional numbers mixed"]
+    assert declared_type(stat({"object": 9}, max_utf16=500), as_json=True)[1] == ["JSON column"]
+    shape = {"top_arrays": ["a", "b"], "nested_arrays": [f"a[].n{k}" for k in range(8)], "top_objects": [], "nested_objects": []}
+    assert [nesting.preview_table_count(s, shape) for s in nesting.STRATEGIES] == [11, 3, 1] and nesting.preview_table_count("deep", None) == 1
+    assert nesting.preview_json("deep", shape) == [] and nesting.preview_json("hybrid", shape)[-2:] == ["a[].n5 -> JSON", "2 more -> JSON"]
+    assert nesting.preview_json("columns", shape)[0] == "a -> JSON" and nesting.preview_json("hybrid", None) == []
+
+
+def test_texts_that_are_true(spark):
+    from docrel.functions.variants import coerce
+
+    texts = ["\tyes\n", " TRUE ", "no", "y", "", "1\r\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", coerce(FL.at(F.parse_json(F.to_json(F.struct("t"))), "t"), "BIT")[0].alias("b"))
+    assert [r["b"] for r in rows.orderBy("k").collect()] == [True, True, False, True, False, True]
