@@ -20,8 +20,10 @@ WRAPPERS = {
     "date": "date",
     "binary": "binary",
 }
-#: A VARIANT's schema, where it is one word, and the type it stands for.
+#: First word of a VARIANT's schema and the type it stands for.
 SHAPES = {
+    "OBJECT": "object",
+    "ARRAY": "array",
     "BIGINT": "int",
     "STRING": "string",
     "DOUBLE": "double",
@@ -32,6 +34,7 @@ SHAPES = {
     "TIMESTAMP": "date",
     "TIMESTAMP_NTZ": "date",
     "BINARY": "binary",
+    "DECIMAL": "double",
 }
 #: Texts that count as true.
 TRUE_TEXTS = ("1", "true", "yes", "y")
@@ -46,19 +49,17 @@ def label(v: Column, shape: Column | None = None) -> Column:
 
     shape: schema_of_variant(v), where a column already holds it."""
     shape = F.schema_of_variant(v) if shape is None else shape
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
     # A literal with decimals is an exact DECIMAL to Spark; only whole numbers too large for 64 bits are integers.
     large = F.rlike(shape, F.lit(r"^DECIMAL\((2[0-9]|3[0-9]),0\)"))
     # A wrapper has no other key than its own, and in it a single value or a flat object or array.
     wrapper = F.regexp_extract(shape, r"^OBJECT<`\$(\w+)`: (?:[A-Z_ ]+(?:\(\d+,\d+\))?|[A-Z]+<[^<>]*>)>$", 1)
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in WRAPPERS.items() for x in pair]), wrapper)
-    # Patterns only where a wrapper or a decimal can be: most values are told by the beginning of their shape.
+    # The shape stands here as seldom as can be: where it isn't a column, each place computes it and adds to the code.
     return (
         F.when(v.isNull(), "null")
-        .when(shape.startswith("OBJECT<`$"), F.coalesce(named, F.when(wrapper != "", wrapper), F.lit("object")))
-        .when(shape.startswith("OBJECT"), "object")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("DECIMAL"), F.when(large, "int").otherwise("double"))
-        .otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair]), shape))
+        .when(shape.startswith("OBJECT<`$"), F.coalesce(F.try_element_at(table(WRAPPERS | {"": "object"}), wrapper), wrapper))
+        .when(large, "int")
+        .otherwise(F.try_element_at(table(SHAPES), F.substring_index(F.substring_index(shape, "<", 1), "(", 1)))
     )
 
 

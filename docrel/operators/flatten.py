@@ -27,19 +27,25 @@ def at(v: Column, dotted: str) -> Column:
     return F.try_variant_get(v, f"${steps}", "variant")
 
 
-def key_of(plan: Plan) -> Column:
-    """The root key of a document v."""
+def with_key(docs: DataFrame, plan: Plan) -> DataFrame:
+    """docs with their root key ``__key``, null where they have none. Value, shape and kind are columns of their own, so
+    that each is computed, and stands in the generated code, once."""
     own = next((c for c in plan.root.columns if c.name == ROOT_KEY), None)
-    return coerce(at(F.col("v"), own.path if own else "_id"), plan.key)[0]
+    found = docs.withColumn("__kv", at(F.col("v"), own.path if own else "_id"))
+    found = found.withColumn("__ks", F.schema_of_variant("__kv"))
+    found = found.withColumn("__kk", label(F.col("__kv"), F.col("__ks")))
+    return found.select(*docs.columns, coerce(F.col("__kv"), plan.key, F.col("__kk"))[0].alias("__key"))
 
 
 def _keyed(docs: DataFrame, plan: Plan) -> DataFrame:
     """Documents with their key; those without one are left out."""
-    return docs.withColumn("__key", key_of(plan)).where(F.col("__key").isNotNull())
+    there = F.filter(F.array("__key"), lambda k: k.isNotNull())
+    # Not a filter, which would be pushed down with all that the key is computed from.
+    return with_key(docs, plan).select(*docs.columns, F.explode(there).alias("__key"))
 
 
 def without_key(docs: DataFrame, plan: Plan) -> DataFrame:
-    return docs.where(key_of(plan).isNull())
+    return with_key(docs, plan).where(F.col("__key").isNull()).drop("__key")
 
 
 def _projected(df: DataFrame, lead: list[Column], value: Column, table: PlanTable, base: str) -> DataFrame:

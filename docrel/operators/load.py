@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.variants import width_of
 from ..plans.nesting import ROOT_KEY, Plan, bind
 from ..plans.render import shape_of, spark_columns
-from .flatten import flatten, key_of
+from .flatten import flatten, with_key
 from .versions import Commit, Store, measured
 
 STATE = "load_state"
@@ -131,7 +131,7 @@ def staged(docs: DataFrame, plan: Plan, folder: str) -> tuple[DataFrame, dict]:
     """Of documents with one key the last in reading order (seq, v, __key), written to ``folder`` in one job that also
     counts documents, and those without a key."""
     seen = Observation()
-    known = docs.select("seq", "v", key_of(plan).alias("__key"))
+    known = with_key(docs.select("seq", "v"), plan)
     known = known.observe(seen, F.count("*").alias("documents"), F.count_if(F.col("__key").isNull()).alias("without_key"))
     last = known.where("__key is not null").groupBy("__key").agg(F.max_by(F.struct("seq", "v"), "seq").alias("d"))
     last = last.select("d.seq", "d.v", "__key")

@@ -201,6 +201,34 @@ def map_detection(spark: SparkSession, sf: str) -> DataFrame:
     return P.maps(rows).select("path", "keys", F.round("avg_fill", 9).alias("avg_fill"), "key_max_utf16")
 
 
+@query("""with o as (select count(*) as n, count(distinct o_custkey) as k, max(length(concat('c', o_custkey, '_', o_orderkey))) as u from orders)
+select 'slots' as path, n as keys, cast(1.0 / n as double) as avg_fill, cast(u as bigint) as key_max_utf16, false as truncated, 1 as maps, cast(n as bigint) as ints from o""")
+def map_of_very_many_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """An object with more data keys than the limit of paths (from sf0.01 on): a key/value table, and no truncated
+    profile."""
+    orders = table(spark, sf, "orders")
+    text = F.concat(F.lit('{"_id": '), F.col("o_orderkey"), F.lit(', "slots": {"c'), F.col("o_custkey"), F.lit("_"), F.col("o_orderkey"), F.lit('": '), F.col("o_orderkey"), F.lit("}}"))
+    docs = orders.select(F.col("o_orderkey").cast("long").alias("seq"), F.parse_json(text).alias("v"))
+    plan, profile = plan_documents(docs, "orders")
+    m = plan.children[0]
+    longest = docs.agg(F.max(F.length(F.map_keys(F.try_variant_get("v", "$.slots", "map<string, variant>"))[0])).cast("long").alias("u")).first()["u"]
+    row = (m.source, m.keys_seen, m.avg_fill, longest, profile.truncated, len(plan.children), m.map_value.types["int"])
+    return spark.createDataFrame([row], "path string, keys long, avg_fill double, key_max_utf16 long, truncated boolean, maps int, ints long")
+
+
+@query(" union all ".join(f"select '{t}' as collection, count(*) as documents, cast({n} as bigint) as columns, cast(null as varchar) as error from {t}" for t, n in (("customer", 5), ("orders", 6), ("part", 6)))
+  + " union all select 'broken', null, null, concat(count(*), ' documents are not JSON') from supplier")
+def plan_many_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """Several collections profiled in one pass; one of them is not JSON."""
+    from .operators.collect import plan_many
+
+    collections = {t: S.from_table(table(spark, sf, t).withColumnRenamed(k, "_id"), "_id") for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))}
+    collections["broken"] = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("seq"), F.try_parse_json(F.concat("s_name", F.lit("{"))).alias("v"))
+    plans, errors = plan_many(collections)
+    rows = [(c, p.documents, len(p.root.columns), None) for c, p in plans.items()] + [(c, None, None, e) for c, e in errors.items()]
+    return spark.createDataFrame(rows, "collection string, documents long, columns long, error string")
+
+
 def _bucket(units: str) -> str:
     need = f"greatest(1, ceil({units} * 1.5))"
     return "case " + " ".join(f"when {need} <= {w} then 'NVARCHAR({w})'" for w in X.WIDTHS) + " else 'NVARCHAR(MAX)' end"
@@ -321,6 +349,19 @@ def flatten_map(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("slot_doc_id", F.col("slot_doc_id").cast("long"))
 
 
+@query("""with o as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderkey % 10 as d, row_number() over (partition by o_custkey, o_orderkey % 10 order by o_orderkey) as n from orders)
+select o_custkey as thing_id, concat('k', d) as slots_key, concat(o_orderstatus, o_orderkey) as slots_value from o where n = 1""")
+def flatten_map_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which many have the same key, and in them keys that occur again: the first value in reading order
+    wins."""
+    value = F.concat(F.col("o_orderstatus"), F.col("o_orderkey"))
+    text = F.concat(F.lit('{"_id": '), F.col("o_custkey"), F.lit(', "slots": {"k'), F.col("o_orderkey") % 10, F.lit('": "'), value, F.lit('"}}'))
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("seq"), F.parse_json(text).alias("v"))
+    plan, _ = plan_documents(docs, "things", min_keys=1, max_fill=1.0)
+    out = FL.flatten(docs, plan)["things_slots"].drop("__clipped")
+    return out.withColumn("thing_id", F.col("thing_id").cast("long"))
+
+
 @query("""select vec_id, cast(pos as integer) as embedding_idx, cast(embedding[pos + 1] as double) as value from (select vec_id, embedding, unnest(range(0, len(embedding))) as pos from embeddings)""")
 def flatten_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
@@ -364,6 +405,22 @@ def plan_tables(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(t.name, t.kind, len(t.columns), t.elements) for t in plan.tables], "name string, kind string, columns long, elements long")
 
 
+def _ddl_sql() -> str:
+    bucket = lambda c: f"({_bucket(f'max(length({c}))')})"
+    kinds = {"mongo_id": "'INT NOT NULL'", "p_brand": f"{bucket('p_brand')} || ' NOT NULL'", "p_name": f"{bucket('p_name')} || ' NOT NULL'", "p_size": "'INT NOT NULL'", "p_type": f"{bucket('p_type')} || ' NOT NULL'"}
+    lines = " || ',' || chr(10) || ".join(f"'    [{c}] ' || {k}" for c, k in kinds.items())
+    end = "',' || chr(10) || '    CONSTRAINT [PK_part] PRIMARY KEY ([mongo_id])' || chr(10) || ')'"
+    return f"select 'part' as name, 'CREATE TABLE [dbo].[part] (' || chr(10) || {lines} || {end} as statement from part"
+
+
+@query(_ddl_sql())
+def ddl_statement(spark: SparkSession, sf: str) -> DataFrame:
+    """The CREATE TABLE statement of part's documents."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("_id"), "p_name", "p_brand", "p_type", "p_size")
+    plan, _ = plan_documents(S.from_table(rows, "_id"), "part")
+    return spark.createDataFrame(render.ddl_statements(plan), "name string, statement string")
+
+
 @query()
 def ddl_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every rendering of the plan of nested orders."""
@@ -534,6 +591,23 @@ def json_array_source(spark: SparkSession, sf: str) -> DataFrame:
     return _customers(S.read_documents(spark, path))
 
 
+@query(_LINES_SQL.replace("select c_custkey", "select true as blocks, c_custkey"))
+def json_array_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """One array file of all customers, read in blocks of 16 KB."""
+    from .operators.versions import setting
+
+    path, out = _folder(spark), _folder(spark)
+    lines = _customer_json(spark, sf).groupBy((F.col("c_custkey") % 8).alias("k")).agg(F.array_join(F.collect_list("value"), ",\n").alias("part"))
+    whole = lines.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("part"), ", "), F.lit("\n]")).alias("value"))
+    whole.write.option("compression", "none").text(path)
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "16k"):
+        found = _customers(S.read_documents(spark, path)).withColumn("part", F.spark_partition_id())
+        found.write.parquet(out)
+    rows = spark.read.parquet(out)
+    blocks = rows.agg((F.count_distinct("part") > 1).alias("blocks"))
+    return rows.drop("part").join(F.broadcast(blocks))
+
+
 def _wrapped(spark: SparkSession, sf: str) -> DataFrame:
     """at (a date), id (an object id), bin (bytes), two (an object whose first key looks like a wrapper's)."""
     text = F.format_string(
