@@ -21,7 +21,7 @@ from ..plans.render import shape_of, spark_columns
 from .flatten import flatten, with_key
 from .versions import Commit, Store, measured
 
-STATE = "load_state"
+STATE, REJECTS = "load_state", "load_rejects"
 
 
 @dataclass
@@ -33,6 +33,7 @@ class LoadStats:
     last_id: str | None = None
     last_id_type: str | None = None
     mode: str = "full"
+    rejected: int = 0
     commit: int | None = None
     rewritten: dict[str, list[int]] = field(default_factory=dict)
 
@@ -144,6 +145,21 @@ def bound(plan: Plan, catalog: Catalog) -> Plan:
     return bind(plan, {t.name: catalog.widths(t.name) for t in plan.tables if catalog.exists(t.name)})
 
 
+def misfits(flat: dict[str, DataFrame], plan: Plan) -> DataFrame:
+    """(__key, reason): documents with a null, in any of their rows, where the plan allows none."""
+    found = None
+    for table in plan.tables:
+        key = ROOT_KEY if table.kind == "root" else table.parent_key
+        must = [c.name for c in table.columns if not c.nullable and c.name != ROOT_KEY]
+        if must:
+            why = F.coalesce(*[F.when(F.col(f"`{c}`").isNull(), F.lit(f"{table.name}.{c} is null")) for c in must])
+            rows = flat[table.name].select(F.col(key).alias("__key"), why.alias("reason")).where("reason is not null")
+            found = rows if found is None else found.unionAll(rows)
+    if found is None:
+        return flat[plan.root.name].select(F.col(ROOT_KEY).alias("__key"), F.lit("").alias("reason")).where(F.lit(False))
+    return found.groupBy("__key").agg(F.min("reason").alias("reason"))
+
+
 def load(
     docs: DataFrame,
     plan: Plan,
@@ -152,12 +168,15 @@ def load(
     mode: str = "full",
     watermark: bool = False,
     progress: Callable[[int, int, str], None] | None = None,
+    quarantine: bool = False,
 ) -> LoadStats:
     """Flattens documents (seq, v) and upserts every table of the plan, in one commit with the watermark if that is
-    asked for. progress: gets the steps done, all steps and the name of the next one."""
+    asked for. progress: gets the steps done, all steps and the name of the next one. quarantine: documents without a key,
+    or with a null where the plan allows none, go to the table of rejects with the reason (what the tables have of their
+    keys stays), and the rest is loaded."""
     spark, stats, plan = catalog.spark, LoadStats(mode=mode), bound(plan, catalog)
     tables = key_columns(plan)
-    steps = 2 + (2 + clear_first) * len(tables) + 2 * watermark
+    steps = 2 + (2 + clear_first) * len(tables) + 2 * watermark + 2 * quarantine
     done = iter(range(steps))
 
     def step(name: str, table: str = "") -> None:
@@ -166,13 +185,26 @@ def load(
 
     if watermark:
         ensure_state(catalog)
+    if quarantine:
+        catalog.ensure_schema()
+        catalog.create(REJECTS, "collection STRING, key STRING, reason STRING, document STRING")
     commit = catalog.commit(step)
     folder = f"{catalog.log.folder}/_staged-{uuid.uuid4().hex}"
     try:
         step("read")
-        documents, counts = staged(docs, plan, folder)
+        documents, counts = staged(docs, plan, f"{folder}/documents")
         stats.documents, stats.without_key = counts.get("documents", 0), counts.get("without_key", 0)
-        flat, keys = flatten(documents.select("seq", "v"), plan), documents.select("__key")
+        flat = flatten(documents.select("seq", "v"), plan)
+        if quarantine:
+            step("judge")
+            misfits(flat, plan).write.parquet(f"{folder}/rejected")
+            bad = spark.read.schema(misfits(flat, plan).schema).parquet(f"{folder}/rejected")
+            rejected = documents.join(bad, "__key").unionByName(with_key(docs.select("seq", "v"), plan).where("__key is null").withColumn("reason", F.lit("no key")))
+            rejected = rejected.select(F.lit(plan.collection).alias("collection"), F.col("__key").cast("string").alias("key"), "reason", F.to_json("v").alias("document"))
+            stats.rejected = commit.append(REJECTS, "key", rejected, [F.count("*").alias("rows")]).get("rows", 0)
+            documents = documents.join(bad, "__key", "left_anti")
+            flat = flatten(documents.select("seq", "v"), plan)
+        keys = documents.select("__key")
         if clear_first:
             for table in tables:
                 commit.clear(table)

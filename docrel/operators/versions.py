@@ -187,10 +187,11 @@ class Commit:
         self._record(table, {v: live for v, live in held.items() if live}, touched)
         return found
 
-    def append(self, table: str, column: str, rows: DataFrame) -> None:
-        """Rows more, whatever is there; ``column`` gives their buckets."""
-        self._add(table, column, rows, [])
+    def append(self, table: str, column: str, rows: DataFrame, metrics: list[Column] = ()) -> dict:
+        """Rows more, whatever is there; ``column`` gives their buckets. Metrics of the rows are returned."""
+        found = self._add(table, column, rows, metrics)
         self._record(table, self.state.get(table, {}), list(range(self.store.buckets_of(table))))
+        return found
 
     def clear(self, table: str) -> None:
         self.progress("clear", table)

@@ -15,7 +15,7 @@ from .operators import flatten as FL
 from .operators import profile as P
 from .operators.collect import plan_documents, plan_typed, profile_documents
 from .operators.flatten_typed import flatten_typed
-from .operators.load import Catalog, encode_key, ensure_tables, load, load_watermark, save_watermark, upserted, without_keys
+from .operators.load import REJECTS, Catalog, encode_key, ensure_tables, load, load_watermark, save_watermark, upserted, without_keys
 from .operators.walk import facts, first_paths
 from .plans import nesting, render
 from .plans.infer import Profile, bi_type, declared_type
@@ -783,3 +783,25 @@ def load_beyond_mark(spark: SparkSession, sf: str) -> DataFrame:
     mark = load_watermark(catalog, "orders")
     found = catalog.read("orders").select(F.col("mongo_id").cast("long").alias("o_orderkey"), "status", F.lit(stats.mode).alias("mode"), F.lit(stats.documents).cast("long").alias("added"), F.lit(mark).cast("long").alias("mark"))
     return _kept(catalog, found)
+
+
+@query("""select o_orderkey, case when o_orderkey % 10 = 7 then 'no key' when o_orderkey % 5 = 0 then 'orders.total is null' else 'loaded' end as outcome,
+  (select count(*) from orders) as documents, (select count(*) from orders where o_orderkey % 10 = 7 or o_orderkey % 5 = 0) as rejected from orders""")
+def load_sets_misfits_apart(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of which some have no key and some no total, where the plan asks for one: those go to the table of rejects,
+    the rest is loaded, and both add up."""
+    orders = table(spark, sf, "orders")
+    key = F.when(F.col("o_orderkey") % 10 != 7, F.concat(F.lit('"_id": '), F.col("o_orderkey"), F.lit(", "))).otherwise("")
+    total = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit('"total": '), F.col("o_custkey"), F.lit(", "))).otherwise("")
+    text = F.concat(F.lit("{"), key, total, F.lit('"number": '), F.col("o_orderkey"), F.lit("}"))
+    docs = orders.select(F.col("o_orderkey").cast("long").alias("seq"), F.parse_json(text).alias("v"))
+    whole = docs.where("seq % 10 <> 7 and seq % 5 <> 0")
+    catalog = Catalog(spark, f"live_{uuid.uuid4().hex}", 8)
+    plan, _ = plan_documents(whole, "orders")
+    ensure_tables(catalog, plan)
+    stats = load(docs, plan, catalog, quarantine=True)
+    number = F.try_variant_get(F.parse_json("document"), "$.number", "bigint")
+    loaded = catalog.read("orders").select(F.col("number").cast("long").alias("o_orderkey"), F.lit("loaded").alias("outcome"))
+    rejected = catalog.read(REJECTS).select(number.alias("o_orderkey"), F.col("reason").alias("outcome"))
+    found = loaded.unionAll(rejected).select("*", F.lit(stats.documents).cast("long").alias("documents"), F.lit(stats.rejected).cast("long").alias("rejected"))
+    return _kept(catalog, found)

@@ -304,3 +304,14 @@ def test_texts_that_are_true(spark):
     texts = ["\tyes\n", " TRUE ", "no", "y", "", "1\r\n"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", coerce(FL.at(F.parse_json(F.to_json(F.struct("t"))), "t"), "BIT")[0].alias("b"))
     assert [r["b"] for r in rows.orderBy("k").collect()] == [True, True, False, True, False, True]
+
+
+def test_typed_maps_under_arrays(spark):
+    from docrel.operators.flatten_typed import flatten_typed
+
+    rows = [(1, [({"a": 1, "b": 2},), ({"b": 3, "c": 4},), (None,)]), (2, []), (3, None), (4, [({},), ({"a": 5},)])]
+    df = spark.createDataFrame(rows, "_id int, boxes array<struct<m: map<string, int>>>")
+    plan, _ = plan_documents(S.from_table(df, "_id"), "things", min_keys=1, max_fill=1.0)
+    (name,) = [t.name for t in plan.children if t.kind == "map"]
+    got = {tuple(r)[:3] for r in flatten_typed(df, plan)[name].collect()}
+    assert got == {tuple(r)[:3] for r in FL.flatten(S.from_table(df, "_id"), plan)[name].collect()} == {(1, "a", "1"), (1, "b", "2"), (1, "c", "4"), (4, "a", "5")}

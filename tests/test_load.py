@@ -158,3 +158,21 @@ def test_loads_beyond_the_mark(spark, catalog, plan):
     more = load_new(rows, "key", plan, catalog)
     assert (more.mode, more.documents, more.rows, L.load_watermark(catalog, "things")) == ("incremental", 10, {"things_nums": 10, "things": 10}, 19)
     assert BUCKET not in catalog.read("things").columns
+
+
+def test_documents_that_do_not_fit_are_set_apart(spark, catalog):
+    good = ['{"_id": 1, "n": 5, "items": [{"q": 1}]}', '{"_id": 2, "n": 6, "items": [{"q": 2}, {"q": 3}]}']
+    bad = ['{"_id": 3, "items": []}', '{"_id": 4, "n": 7, "items": [{"q": 1}, {"q": null}]}', '{"n": 8, "items": []}']
+    docs = lambda texts: spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "seq long, t string").select("seq", F.parse_json("t").alias("v"))
+    strict, _ = plan_documents(docs(good), "bills")
+    assert not any(c.nullable for t in strict.tables for c in t.columns)
+    L.ensure_tables(catalog, strict)
+    stats = L.load(docs(good + bad), strict, catalog, quarantine=True)
+    assert (stats.documents, stats.without_key, stats.rejected, stats.rows) == (5, 1, 3, {"bills_items": 3, "bills": 2})
+    rejects = {(r["key"], r["reason"]) for r in catalog.read(L.REJECTS).where("collection = 'bills'").collect()}
+    assert rejects == {("3", "bills.n is null"), ("4", "bills_items.q is null"), (None, "no key")}
+    assert '"n":8' in catalog.read(L.REJECTS).where("key is null").first()["document"]
+    # A key that is there keeps its rows when its new document doesn't fit.
+    again = L.load(docs(['{"_id": 1, "n": null, "items": []}']), strict, catalog, quarantine=True)
+    assert again.rejected == 1 and sorted(r["n"] for r in catalog.read("bills").collect()) == [5, 6]
+    assert L.load(docs(good), nesting.relax(strict), catalog, quarantine=True).rejected == 0
