@@ -153,7 +153,8 @@ def misfits(flat: dict[str, DataFrame], plan: Plan) -> DataFrame:
         must = [c.name for c in table.columns if not c.nullable and c.name != ROOT_KEY]
         if must:
             why = F.coalesce(*[F.when(F.col(f"`{c}`").isNull(), F.lit(f"{table.name}.{c} is null")) for c in must])
-            rows = flat[table.name].select(F.col(key).alias("__key"), why.alias("reason")).where("reason is not null")
+            # Not a filter, which would be pushed down with all that the columns are computed from.
+            rows = flat[table.name].select(F.col(key).alias("__key"), F.explode(F.filter(F.array(why), lambda w: w.isNotNull())).alias("reason"))
             found = rows if found is None else found.unionAll(rows)
     if found is None:
         return flat[plan.root.name].select(F.col(ROOT_KEY).alias("__key"), F.lit("").alias("reason")).where(F.lit(False))
