@@ -11,7 +11,8 @@
    linked.) The rest, if still large, is split by SPLITS of its minimum hashes for each run of its buckets (for
    SPLIT_RUNS of them, if there are more), other ones at each level; all large buckets of a set are followed, and every
    set has a part to go to. Buckets still large at the last level become candidates whole.
-3. Connected candidates form components. The sets of each component are compared exactly, every pair once, in blocks
+3. Connected candidates form components. Those of more than a block's size are parted by their sets' rarest shingles,
+   which loses no pair (see ``rare_components``). The sets of each component are compared exactly, every pair once, in blocks
    of bounded size; a block pair gives each set its number of links and its least linked neighbour, never the pairs.
 4. Links connect the classes; a class is named by its smallest doc_id.
 
@@ -149,6 +150,27 @@ def with_pivots(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.mapInArrow(compare, "node binary, pivot binary, runs array<int>, sketch binary, same int")
 
 
+def near_sets(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """rows: whole lists of sets (list, node, n, sketch), by list. Links (a, b) that connect the sets of each list that
+    agree in SKETCH_LEAST of the hashes and whose sizes allow the similarity."""
+    if not rows.num_rows:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.binary())] * 2, ["a", "b"])
+    node, n = rows.column("node").to_pylist(), rows.column("n").to_numpy().astype(float)
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+    lists = rows.column("list").to_numpy()
+    edges = np.r_[0, np.flatnonzero(np.diff(lists)) + 1, len(lists)]
+    first, size = edges[:-1], np.diff(edges)
+    alike = lambda a, b: ((sketch[a] == sketch[b]).mean(-1) >= SKETCH_LEAST) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]) - 1e-9)
+    pair = first[size == 2]
+    pair = pair[alike(pair, pair + 1)]
+    out = [(node[k], node[k + 1]) for k in pair]
+    for low, count in zip(first[size > 2], size[size > 2], strict=True):
+        of = slice(low, low + count)
+        near = np.stack([alike(of, k) for k in range(low, low + count)])
+        out += [(node[low + k], node[low + r]) for k, r in enumerate(_components_of(near)) if k != r]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
 def candidate_links(made: DataFrame) -> DataFrame:
     """(a, b): links that connect whatever may be similar."""
     picks = made.where("node is not null").select("node", F.explode("picks").alias("p")).distinct()
@@ -182,21 +204,22 @@ def candidate_links(made: DataFrame) -> DataFrame:
         together = together.unionAll(more)
     lists = together.groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
     listed = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node")).join(sketches, "node")
-    grouped = listed.groupBy("list").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("sets"))
+    # Sets stream through a task list by list, so what it holds is one batch, however many lists there are.
+    spread = listed.select("list", "node", "n", "sketch").repartition("list").sortWithinPartitions("list", "node")
 
     def compare(batches):
+        held = None
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for sets in batch.column("sets").to_pylist():
-                sets = sorted({s["node"]: s for s in sets}.values(), key=lambda s: s["node"])
-                sketch = np.stack([np.frombuffer(s["sketch"], np.uint32) for s in sets])
-                n = np.array([s["n"] for s in sets], float)
-                near = np.stack([(sketch == row).mean(1) >= SKETCH_LEAST for row in sketch])
-                near &= np.minimum(n[:, None], n[None]) >= SIMILARITY * np.maximum(n[:, None], n[None]) - 1e-9
-                out += [(sets[k]["node"], sets[r]["node"]) for k, r in enumerate(_components_of(near)) if k != r]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    links = grouped.mapInArrow(compare, "a binary, b binary")
+            if held is not None and held.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            starts = np.flatnonzero(np.diff(batch.column("list").to_numpy(), prepend=np.int64(0)) != 0)
+            last = int(starts[-1]) if len(starts) else 0
+            yield near_sets(batch.slice(0, last))
+            held = batch.slice(last)
+        if held is not None:
+            yield near_sets(held)
+
+    links = spread.mapInArrow(compare, "a binary, b binary")
     for more in sure:
         links = links.unionAll(more)
     return links
@@ -243,32 +266,75 @@ def linked(rows: list[dict]) -> list[tuple]:
     return [(r["node"], int(k), rows[x]["node"]) for r, k, x in zip(rows, links, root, strict=True)]
 
 
-def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members: (node, comp, __file, __row, copies, n), with one document that holds the set. Returns (node, links, root, parts): one row per node and block pair."""
-    stats = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(stats.select("comp", parts.alias("parts")), "comp").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    own = docs.select("__file", "__row", "text")
+def sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows: __file, __row and more columns. The more columns, and values: the document's shingle hashes, packed."""
+    kept = [c for c in rows.columns if c not in ("__file", "__row")]
 
     def load(batches):
         for batch in batches:
-            others = [c for c in batch.schema.names if c != "text"]
             for low, high, data, offsets in text_chunks(batch, "text"):
                 value, first, _ = shingle_sets(data, offsets)
                 sets = [value[first[k] : first[k + 1]].tobytes() for k in range(high - low)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in others), pa.array(sets, pa.binary())], [*others, "values"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in kept), pa.array(sets, pa.binary())], [*kept, "values"])
 
-    loaded = dealt.join(own, ["__file", "__row"]).select("node", "comp", "copies", "parts", "block", "text").mapInArrow(
-        load, "node binary, comp binary, copies long, parts int, block int, values binary"
-    )
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.join(docs.select("__file", "__row", "text"), ["__file", "__row"]).select(*kept, "text").mapInArrow(load, kinds + ", values binary")
+
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """members with parts: into how many blocks of bounded size the sets of their component go."""
+    stats = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return members.join(stats.select("comp", parts.alias("parts")), "comp")
+
+
+def rare_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members: as of exact_links. Those of components of one block, and those of larger ones by the components of their
+    rarest shingles; with parts (see in_parts).
+
+    Two sets at the similarity t share one of their n - ceil(t * n) + 1 first shingles, whatever the order of all
+    shingles is. In the order of their frequency in the component these are the rarest, so sets that have only a page's
+    template or a licence in common part here, without a comparison, and no pair at the similarity does. Shingles of one
+    set link nothing; a set without any other among its first ones has no link and leaves."""
+    parted = materialize(in_parts(members))
+    large = parted.where("parts > 1")
+    if large.isEmpty():
+        return parted
+
+    def spread(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                values = np.frombuffer(batch.column("values")[k].as_buffer(), np.int64)
+                for low in range(0, len(values), 10_000):
+                    part = pa.array(values[low : low + 10_000])
+                    same = [pa.repeat(batch.column(c)[k], len(part)) for c in ("comp", "node", "n")]
+                    yield pa.RecordBatch.from_arrays([*same, part], ["comp", "node", "n", "shingle"])
+
+    held = materialize(sets_of(large.select("__file", "__row", "comp", "node", "n"), docs).mapInArrow(spread, "comp binary, node binary, n int, shingle long"))
+    times = held.groupBy("comp", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    shared = held.join(times, ["comp", "shingle"])
+    by_node = Window.partitionBy("node")
+    place = F.row_number().over(by_node.orderBy("times", "shingle")) + F.col("n") - F.count("*").over(by_node)
+    first = shared.select("comp", "node", "n", "shingle", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1)
+    # A shingle of a component is a vertex of its own; digests of sets are shorter, so that none is taken for the other.
+    vertex = F.concat("comp", F.to_binary(F.lpad(F.hex("shingle"), 16, "0"), F.lit("hex")))
+    fine = connected(first.select(F.col("node").alias("a"), vertex.alias("b"))).select("node", F.col("root").alias("comp"))
+    return parted.where("parts = 1").unionByName(in_parts(large.drop("comp", "parts").join(fine, "node")))
+
+
+def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members: (node, comp, __file, __row, copies, n), with one document that holds the set. Returns (node, links, root, parts): one row per node and block pair."""
+    dealt = rare_components(docs, members).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    loaded = sets_of(dealt.select("__file", "__row", "node", "comp", "copies", "parts", "block"), docs)
     other = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
     def compare(batches):
         held, key, out = [], None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                r["values"] = np.frombuffer(r["values"], np.uint64)
+            values = batch.column("values")
+            for k, r in enumerate(batch.drop_columns("values").to_pylist()):
+                r["values"] = np.frombuffer(values[k].as_buffer(), np.uint64)
                 now = (r["comp"], r["i"], r["j"])
                 if now != key and held:
                     out += [(*x, held[0]["parts"]) for x in linked(held)]

@@ -181,6 +181,26 @@ def test_pairs_of_common_passages_are_found(spark):
     assert got == want and sum(n > 0 for _, _, n in want) > 350
 
 
+def test_documents_of_one_template_are_not_compared(spark, monkeypatch):
+    """3,000 documents share a page's template and are like no other; 40 of them have a near copy."""
+    template = " ".join(f"t{k}" for k in range(100))
+    own = lambda d: [f"w{d}_{k}" for k in range(60)]
+    rows = [(d, f"{template} {' '.join(own(d))}") for d in range(3000)]
+    rows += [(3000 + d, f"{template} {' '.join(own(d)[:-4])} other{d}") for d in range(40)]
+    compared = []
+    whole = near_copies.in_parts
+
+    def watched(members):
+        out = whole(members)
+        compared.append(out.groupBy("comp").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(near_copies, "in_parts", watched)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (d % 3000 if d >= 3000 else d, int(d < 40 or d >= 3000)) for d in range(3040)}
+    assert compared[0] > 4_000_000 and compared[1] == 40
+
+
 def test_two_thousand_near_copies_are_one_class(spark):
     base = text_of(random.Random(12), 100).split()
     rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(2000)]
