@@ -591,6 +591,21 @@ def json_array_source(spark: SparkSession, sf: str) -> DataFrame:
     return _customers(S.read_documents(spark, path))
 
 
+@query(_LINES_SQL.replace("select c_custkey", "select true as pruned, c_custkey") + " where c_custkey > (select 0.75 * max(c_custkey) from customer)")
+def collection_beyond_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers beyond three quarters of the keys, through the data source, from the splits that can hold them."""
+    from .sources.collection import measure_keys, read_collection
+
+    path = _folder(spark)
+    lines = _customer_json(spark, sf)
+    lines.repartitionByRange(8, "c_custkey").select("value").write.option("compression", "none").text(path)
+    measure_keys(spark, path, "_id long", 1 << 20)
+    mark = lines.agg(F.floor(0.75 * F.max("c_custkey"))).first()[0]
+    whole, docs = read_collection(spark, path), read_collection(spark, path, after=mark)
+    pruned = 2 * docs.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    return _customers(docs.select("v")).withColumn("pruned", F.lit(pruned))
+
+
 @query(_LINES_SQL.replace("select c_custkey", "select true as blocks, c_custkey"))
 def json_array_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """One array file of all customers, read in blocks of 16 KB."""
