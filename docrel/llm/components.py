@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def small_star(edges: DataFrame) -> DataFrame:
+    """edges: distinct (u, v), u > v. Each u, and all its v but the least, link to its least v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    joined = edges.join(least, "u")
+    small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    return small.where("u <> v").distinct()
+
+
 def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """links: (a, b), any orderable type. Returns (node, root): every node of a link with its component's least node.
 
-    It ends when a round changes nothing; where ``rounds`` are given and run out before, with an error.
+    It ends when all components are stars; where ``rounds`` are given and run out before, with an error.
     Links are only rewritten, never collected; nodes of many links are joined, not grouped."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = materialize(edges), None
+    # Nodes with many smaller neighbours (sets that share several pivots) keep one link before links are read both ways.
+    edges = materialize(small_star(materialize(edges)))
     for done in count():
-        if done == rounds:
-            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table, so that the join with nodes of many links is dealt anew where it is skewed.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("links")))
+        # Where every node but the least of its neighbours has one link, all components are stars.
+        if least.where((F.col("u") != F.col("m")) & (F.col("links") > 1)).isEmpty():
             break
-        before = now
+        if done == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
+        large = both.join(least.select("u", "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = materialize(small_star(large))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

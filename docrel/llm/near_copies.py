@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, numbered, table, text_chunks
+from .common import Words, likely_in, materialize, mix, numbered, table, text_chunks
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -176,7 +176,7 @@ def candidate_links(made: DataFrame) -> DataFrame:
     picks = made.where("node is not null").select("node", F.explode("picks").alias("p")).distinct()
     rows = picks.select("node", F.shiftrightunsigned("p", 60).cast("int").alias("run"), F.xxhash64("p").alias("bucket"))
     sketches = made.where("node is not null").select("node", "n", "sketch").dropDuplicates(["node"])
-    small, sure = [], []
+    small, sure, own = [], [], None
     for level in range(LEVELS):
         counts = rows.groupBy("bucket").count().where("count > 1")
         held = materialize(rows.join(counts, "bucket"))
@@ -184,7 +184,9 @@ def candidate_links(made: DataFrame) -> DataFrame:
         large = held.where(F.col("count") > BUCKET)
         if large.isEmpty():
             break
-        large = materialize(with_pivots(large, sketches))
+        if own is None:  # those of the large buckets; later levels have no other sets
+            own = materialize(likely_in(made.select("node", "sketch"), large, "node").dropDuplicates(["node"]))
+        large = materialize(with_pivots(large, own))
         tight, loose = (F.count_if(F.col("same") >= k) for k in (TIGHT, LOOSE))
         stats = large.groupBy("pivot").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
         large = large.join(stats, "pivot")
@@ -267,7 +269,8 @@ def linked(rows: list[dict]) -> list[tuple]:
 
 
 def sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows: __file, __row and more columns. The more columns, and values: the document's shingle hashes, packed."""
+    """rows: a table of __file, __row and more columns. The more columns, and values: the document's shingle hashes,
+    packed. Only texts that are likely wanted are moved to the rows."""
     kept = [c for c in rows.columns if c not in ("__file", "__row")]
 
     def load(batches):
@@ -278,7 +281,8 @@ def sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in kept), pa.array(sets, pa.binary())], [*kept, "values"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.join(docs.select("__file", "__row", "text"), ["__file", "__row"]).select(*kept, "text").mapInArrow(load, kinds + ", values binary")
+    texts = likely_in(docs.select("__file", "__row", "text"), rows, "__file", "__row")
+    return rows.join(texts, ["__file", "__row"]).select(*kept, "text").mapInArrow(load, kinds + ", values binary")
 
 
 def in_parts(members: DataFrame) -> DataFrame:
@@ -316,10 +320,12 @@ def rare_components(docs: DataFrame, members: DataFrame) -> DataFrame:
     by_node = Window.partitionBy("node")
     place = F.row_number().over(by_node.orderBy("times", "shingle")) + F.col("n") - F.count("*").over(by_node)
     first = shared.select("comp", "node", "n", "shingle", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1)
-    # A shingle of a component is a vertex of its own; digests of sets are shorter, so that none is taken for the other.
-    vertex = F.concat("comp", F.to_binary(F.lpad(F.hex("shingle"), 16, "0"), F.lit("hex")))
-    fine = connected(first.select(F.col("node").alias("a"), vertex.alias("b"))).select("node", F.col("root").alias("comp"))
-    return parted.where("parts = 1").unionByName(in_parts(large.drop("comp", "parts").join(fine, "node")))
+    # The sets of a shingle link to their least one: as many links as sets and shingles at most, mostly far fewer.
+    first = materialize(first.select("comp", "node", "shingle"))
+    least = first.groupBy("comp", "shingle").agg(F.min("node").alias("least"), F.count("*").alias("times")).where("times > 1")
+    fine = connected(first.join(least, ["comp", "shingle"]).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    fine = fine.select("node", F.col("root").alias("comp"))
+    return materialize(parted.where("parts = 1").unionByName(in_parts(large.drop("comp", "parts").join(fine, "node"))))
 
 
 def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:

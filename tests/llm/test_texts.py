@@ -241,6 +241,40 @@ def test_components_are_never_cut_short(spark):
         connected(path, rounds=1)
 
 
+def test_stars_and_shared_pivots_take_few_tables(spark, monkeypatch):
+    from docrel.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "materialize", lambda df, write=components.materialize: made.append(write(df)) or made[-1])
+    pivots = [(k, p) for k in range(20, 220) for p in range(20)]
+    got = connected(spark.createDataFrame(pivots, "a int, b int"))
+    assert {tuple(r) for r in got.collect()} == {(k, 0) for k in range(220)}
+    assert len(made) == 3 and made[1].count() == 219
+
+
+def test_sets_of_one_passage_are_linked_once_each(spark, monkeypatch):
+    """600 sets share their rarest shingles: what is connected grows with the sets, not with sets times shingles."""
+    base = text_of(random.Random(12), 100).split()
+    rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(600)]
+    links = []
+    monkeypatch.setattr(near_copies, "connected", lambda df: links.append(df.distinct().count()) or connected(df))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.select("class_id", "n_links").collect()} == {(0, 599)}
+    assert links[1] < 3 * 600
+
+
+def test_rows_that_are_likely_among_keys_are_marked(spark):
+    from docrel.llm.common import mark_likely
+
+    df = spark.range(20_000).select((F.col("id") % 100).alias("a"), (F.col("id") / 100).cast("long").alias("b"))
+    keys = df.where("b = 7 or (a = 3 and b < 50)")
+    got = mark_likely(df, keys, "a", "b", name="in")
+    assert got.columns == ["a", "b", "in"] and got.count() == 20_000
+    assert got.where("in").count() - keys.count() in range(20)
+    assert got.where("in").join(keys, ["a", "b"], "left_semi").count() == keys.count() == 149
+    assert mark_likely(df, keys.where("false"), "a", "b").where("__likely").isEmpty()
+
+
 def test_items_without_an_id_hit(spark):
     docs = spark.createDataFrame([(1, "x One two y"), (2, "three"), (3, "none")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "one two"), (7, "two"), (None, "three")], "item_id int, text string")
