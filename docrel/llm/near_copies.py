@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, likely_in, materialize, mix, numbered, table, text_chunks
+from .common import Words, likely_in, mark_likely, materialize, mix, numbered, table, text_chunks
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -397,11 +397,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame) -> DataFrame:
     """df with one row of each class: of its least doc_id (null last), the first in the files. Rows without words stay."""
     rows = numbered(df)
-    found = near_copies(rows)
+    found = near_copies(rows).where("class_node is not null")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")).alias("least")
-    first = found.where("class_node is not null").groupBy("class_node").agg(least).select("least.__file", "least.__row")
-    stay = first.unionAll(found.where("class_node is null").select("__file", "__row"))
-    return rows.join(stay, ["__file", "__row"], "left_semi").select(*df.columns)
+    first = found.groupBy("class_node").agg(least).select("class_node", "least.__file", "least.__row")
+    # Rows that go are few, so those that stay are not moved.
+    gone = materialize(found.select("class_node", "__file", "__row").join(first, ["class_node", "__file", "__row"], "left_anti").select("__file", "__row"))
+    marked = mark_likely(rows, gone, "__file", "__row", name="__row_may_go")
+    stay = marked.where("__row_may_go").join(gone, ["__file", "__row"], "left_anti")
+    return marked.where("not __row_may_go").select(*df.columns).unionAll(stay.select(*df.columns))
 
 
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

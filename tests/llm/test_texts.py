@@ -217,6 +217,16 @@ def test_pipeline_keeps_one_of_a_large_group(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()] == [0]
 
 
+def test_only_rows_that_go_are_looked_up(spark, monkeypatch):
+    """Rows that stay pass without a shuffle: what is looked up are the rows that go."""
+    keys = []
+    monkeypatch.setattr(near_copies, "mark_likely", lambda df, gone, *c, mark=near_copies.mark_likely, **k: keys.append(gone.count()) or mark(df, gone, *c, **k))
+    rows = [(d, text_of(random.Random(d), 50), 5) for d in range(30)] + [(40, text_of(random.Random(7), 50), 6), (41, None, 7), (41, "", 7), (None, text_of(random.Random(8), 50), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    assert Counter(tuple(r) for r in near_copies.keep_one(df).collect()) == Counter(r for k, r in enumerate(rows) if k not in (30, 33))
+    assert keys == [2]
+
+
 def test_connected(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
