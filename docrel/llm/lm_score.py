@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -113,8 +114,8 @@ class Vocabulary:
         ids, others, lengths, rare = [], [], [], []
         for text in texts:
             words = tokens(text)
-            own = [self.known.get(w, -1) for w in words]
-            unknown = [w for k, w in zip(own, words, strict=True) if k < 0]
+            own = list(map(self.known.get, words, repeat(-1)))
+            unknown = [w for k, w in zip(own, words, strict=True) if k < 0] if -1 in own else []
             ids += own
             others += unknown
             rare.append(Counter(unknown))
@@ -178,13 +179,18 @@ class Weights:
                 yield at, rows, self.starts[k][decided[at]], outcome[at]
 
     def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-        logits = self.table[rows[:, 0]]
+        logits = self.table.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
-            logits += self.table[rows[:, k]]
+            logits += self.table.take(rows[:, k], 0)
         logits += start
-        logits -= logits.max(1, keepdims=True)
+        # By halves and as a product: reductions along rows of SLOTS take several times as long.
+        most = logits
+        while most.shape[1] > 1:
+            half = most.shape[1] // 2
+            most = np.maximum(most[:, :half], most[:, half:])
+        logits -= most
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
+        logits /= (logits @ np.ones(SLOTS, logits.dtype))[:, None]
         return logits
 
     def log_p(self, *batch: np.ndarray) -> np.ndarray:
@@ -199,16 +205,17 @@ def row_gradient(rows: np.ndarray, p: np.ndarray, own: np.ndarray) -> tuple[np.n
     """Rows that the tokens' features meet, how often, and the gradient of the log likelihood of ``own`` in them."""
     rest = -p
     rest[np.arange(len(own)), own] += 1
-    flat = rows.T.ravel()
-    order = np.argsort(flat, kind="stable")
-    ids, token = flat[order], order % len(own)
+    # Row and place packed into one number sort much faster than places by their rows; places keep their order.
+    bits = max(1, (rows.size - 1).bit_length())
+    packed = np.sort(rows.T.ravel() << bits | np.arange(rows.size))
+    ids, token = packed >> bits, (packed & (1 << bits) - 1) % len(own)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     times = np.diff(np.append(first, len(ids)))
-    out = rest[token[first]]
+    out = rest.take(token[first], 0)
     more = np.flatnonzero(times > 1)  # mostly a row is met once
     if len(more):
         inner = np.repeat(times > 1, times)
-        out[more] = np.add.reduceat(rest[token[inner]], np.cumsum(times[more]) - times[more])
+        out[more] = np.add.reduceat(rest.take(token[inner], 0), np.cumsum(times[more]) - times[more])
     return ids[first], times, out
 
 
@@ -231,9 +238,11 @@ def train_weights(docs: DataFrame, vocabulary: Vocabulary, start: Weights, round
                     for some in vocabulary.coded(batch.column("text").slice(low, high - low).to_pylist())[0].batches():
                         for _, rows, start, outcome in own.decisions(*some):
                             at, times, g = row_gradient(rows, own.softmax(rows, start), outcome)
-                            squares[at] += np.einsum("ij,ij->i", g, g)
-                            g *= (STEP / np.sqrt(squares[at] + 1))[:, None]
-                            own.table[at] += g
+                            met = squares.take(at) + np.einsum("ij,ij->i", g, g)
+                            squares[at] = met
+                            g *= (STEP / np.sqrt(met + 1))[:, None]
+                            g += own.table.take(at, 0)
+                            own.table[at] = g
                             seen[at] += times
             if seen.any():
                 moved = (own.table - weights.table).astype(np.float16)
