@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +44,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(df: DataFrame, rows: int) -> int:
+    """To how many partitions to coalesce what is made from df (a table, so that its count is cheap) before it is written:
+    one for each ``rows`` rows of df, no fewer than keep all cores busy. A file of few rows costs far more than they do."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+#: Bytes of a batch that goes to Python; Spark's own limits are 10,000 rows, whatever they hold, and 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands texts to Python by BATCH_BYTES, so that a task holds neither 10,000 nor 64 MB of them, in
+    the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Marks the columns that ``numbered`` has made, so that columns of an input with their names are not taken for them.
 _NUMBERED = {"numbered": True}
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, likely_in, mark_likely, materialize, mix, numbered, table, text_chunks
+from .common import Words, files_for, likely_in, mark_likely, materialize, mix, numbered, small_batches, table, text_chunks
 from .components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -52,6 +52,12 @@ LOOSE = TIGHT + math.ceil(SKETCH * SKETCH_LEAST) - SKETCH
 SPLIT_RUNS = math.ceil(math.log(MISS) / math.log(1 - (1 - (1 - SIMILARITY) ** SPLITS) ** (LEVELS - 1)))
 #: A block of exact comparison: sets, and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+#: Documents of one file of the tables between steps: some 400,000 picks.
+DOCS_A_FILE = 20_000
+#: Bytes of text whose shingles are found at once; some 50 times as much is held meanwhile.
+CHUNK = 1 << 18
+#: Rows of one batch of shingles.
+SHINGLE_ROWS = 10_000
 
 _ODD = mix(np.arange(1, RUNS * LEVELS + SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -88,7 +94,7 @@ def features(docs: DataFrame) -> DataFrame:
     def find(batches):
         for batch in batches:
             own = [batch.column(c) for c in ("doc_id", "__file", "__row")]
-            for low, high, data, offsets in text_chunks(batch, "text"):
+            for low, high, data, offsets in text_chunks(batch, "text", CHUNK):
                 value, first, doc = shingle_sets(data, offsets)
                 n = np.diff(first)
                 some = n > 0
@@ -115,6 +121,7 @@ def features(docs: DataFrame) -> DataFrame:
                     [*(x.slice(low, high - low) for x in own), pa.array(nodes, pa.binary()), pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), picks],
                     ["doc_id", "__file", "__row", "node", "n", "sketch", "picks"],
                 )
+        pa.default_memory_pool().release_unused()  # idle workers stay
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row", "text")
     return own.mapInArrow(find, "doc_id long, __file long, __row long, node binary, n int, sketch binary, picks array<long>")
@@ -132,13 +139,12 @@ def _components_of(near: np.ndarray) -> np.ndarray:
 
 
 def with_pivots(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """large: (bucket, node, run). The least set of a bucket is its pivot; buckets with the same pivot (most of those of
-    a group of copies) become one, so that a set meets its pivot once. Adds in how many hashes the two agree, and the
-    runs of the pivot's buckets, as many as its splits need."""
-    firsts = large.groupBy("bucket", "run").agg(F.min("node").alias("pivot"))
-    runs = firsts.groupBy("pivot").agg(F.slice(F.array_sort(F.collect_set("run")), 1, SPLIT_RUNS).alias("runs"))
+    """large: (node, run, pivot), for each set of a bucket. The least set of a bucket is its pivot; buckets with the same
+    pivot (most of those of a group of copies) become one, so that a set meets its pivot once. Adds in how many hashes the
+    two agree, and the runs of the pivot's buckets, as many as its splits need."""
+    runs = large.groupBy("pivot").agg(F.slice(F.array_sort(F.collect_set("run")), 1, SPLIT_RUNS).alias("runs"))
     other = runs.join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-    met = large.join(firsts.select("bucket", "pivot"), "bucket").select("node", "pivot").distinct()
+    met = large.select("node", "pivot").distinct()
     joined = met.join(sketches.select("node", "sketch"), "node").join(other, "pivot").select("node", "pivot", "runs", "sketch", "other")
 
     def compare(batches):
@@ -171,27 +177,28 @@ def near_sets(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def candidate_links(made: DataFrame) -> DataFrame:
-    """(a, b): links that connect whatever may be similar."""
+def candidate_links(made: DataFrame, files: int) -> DataFrame:
+    """(a, b): links that connect whatever may be similar. files: of the tables between its steps."""
     picks = made.where("node is not null").select("node", F.explode("picks").alias("p")).distinct()
     rows = picks.select("node", F.shiftrightunsigned("p", 60).cast("int").alias("run"), F.xxhash64("p").alias("bucket"))
     sketches = made.where("node is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     small, sure, own = [], [], None
     for level in range(LEVELS):
-        counts = rows.groupBy("bucket").count().where("count > 1")
-        held = materialize(rows.join(counts, "bucket"))
+        pivot = F.when(F.count("*") > BUCKET, F.min("node")).alias("pivot")
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("count"), pivot).where("count > 1")
+        held = materialize(rows.join(counts, "bucket").coalesce(files))
         small.append(held.where(F.col("count") <= BUCKET).select("bucket", "node"))
         large = held.where(F.col("count") > BUCKET)
         if large.isEmpty():
             break
         if own is None:  # those of the large buckets; later levels have no other sets
-            own = materialize(likely_in(made.select("node", "sketch"), large, "node").dropDuplicates(["node"]))
-        large = materialize(with_pivots(large, own))
+            own = materialize(likely_in(made.select("node", "sketch"), large, "node").dropDuplicates(["node"]).coalesce(files))
+        large = materialize(with_pivots(large, own).coalesce(files))
         tight, loose = (F.count_if(F.col("same") >= k) for k in (TIGHT, LOOSE))
         stats = large.groupBy("pivot").agg((2 * tight >= loose).alias("leave"), (F.count("*") - F.when(2 * tight >= loose, tight).otherwise(0)).alias("left"))
-        large = large.join(stats, "pivot")
+        large = materialize(large.join(stats, "pivot").coalesce(files))
         sure.append(large.where(F.col("leave") & (F.col("same") >= LOOSE)).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        rest = materialize(large.where(~F.col("leave") | (F.col("same") < TIGHT)))
+        rest = large.where(~F.col("leave") | (F.col("same") < TIGHT))
         small.append(rest.where(F.col("left") <= BUCKET).select(F.xxhash64("pivot", F.lit(level)).alias("bucket"), "node"))
         rest = rest.where(F.col("left") > BUCKET)
         if level == LEVELS - 1:
@@ -268,21 +275,28 @@ def linked(rows: list[dict]) -> list[tuple]:
     return [(r["node"], int(k), rows[x]["node"]) for r, k, x in zip(rows, links, root, strict=True)]
 
 
-def sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_of(rows: DataFrame, docs: DataFrame, apart: bool = False) -> DataFrame:
     """rows: a table of __file, __row and more columns. The more columns, and values: the document's shingle hashes,
-    packed. Only texts that are likely wanted are moved to the rows."""
+    packed; or, if ``apart``, a row for each of them: shingle. Only texts that are likely wanted are moved to the rows."""
     kept = [c for c in rows.columns if c not in ("__file", "__row")]
 
     def load(batches):
         for batch in batches:
-            for low, high, data, offsets in text_chunks(batch, "text"):
-                value, first, _ = shingle_sets(data, offsets)
+            for low, high, data, offsets in text_chunks(batch, "text", CHUNK):
+                value, first, doc = shingle_sets(data, offsets)
+                if apart:
+                    for k in range(0, len(value), SHINGLE_ROWS):
+                        at = pa.array(low + doc[k : k + SHINGLE_ROWS])
+                        part = pa.array(value[k : k + SHINGLE_ROWS].view(np.int64))
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), part], [*kept, "shingle"])
+                    continue
                 sets = [value[first[k] : first[k + 1]].tobytes() for k in range(high - low)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in kept), pa.array(sets, pa.binary())], [*kept, "values"])
+        pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
     texts = likely_in(docs.select("__file", "__row", "text"), rows, "__file", "__row")
-    return rows.join(texts, ["__file", "__row"]).select(*kept, "text").mapInArrow(load, kinds + ", values binary")
+    return rows.join(texts, ["__file", "__row"]).select(*kept, "text").mapInArrow(load, kinds + (", shingle long" if apart else ", values binary"))
 
 
 def in_parts(members: DataFrame) -> DataFrame:
@@ -292,7 +306,7 @@ def in_parts(members: DataFrame) -> DataFrame:
     return members.join(stats.select("comp", parts.alias("parts")), "comp")
 
 
-def rare_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+def rare_components(docs: DataFrame, members: DataFrame, files: int) -> DataFrame:
     """members: as of exact_links. Those of components of one block, and those of larger ones by the components of their
     rarest shingles; with parts (see in_parts).
 
@@ -300,37 +314,29 @@ def rare_components(docs: DataFrame, members: DataFrame) -> DataFrame:
     shingles is. In the order of their frequency in the component these are the rarest, so sets that have only a page's
     template or a licence in common part here, without a comparison, and no pair at the similarity does. Shingles of one
     set link nothing; a set without any other among its first ones has no link and leaves."""
-    parted = materialize(in_parts(members))
+    parted = materialize(in_parts(members).coalesce(files))
     large = parted.where("parts > 1")
     if large.isEmpty():
         return parted
 
-    def spread(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                values = np.frombuffer(batch.column("values")[k].as_buffer(), np.int64)
-                for low in range(0, len(values), 10_000):
-                    part = pa.array(values[low : low + 10_000])
-                    same = [pa.repeat(batch.column(c)[k], len(part)) for c in ("comp", "node", "n")]
-                    yield pa.RecordBatch.from_arrays([*same, part], ["comp", "node", "n", "shingle"])
-
-    held = materialize(sets_of(large.select("__file", "__row", "comp", "node", "n"), docs).mapInArrow(spread, "comp binary, node binary, n int, shingle long"))
+    with small_batches(docs.sparkSession):
+        held = materialize(sets_of(large.select("__file", "__row", "comp", "node", "n"), docs, apart=True).coalesce(files))
     times = held.groupBy("comp", "shingle").agg(F.count("*").alias("times")).where("times > 1")
     shared = held.join(times, ["comp", "shingle"])
     by_node = Window.partitionBy("node")
     place = F.row_number().over(by_node.orderBy("times", "shingle")) + F.col("n") - F.count("*").over(by_node)
     first = shared.select("comp", "node", "n", "shingle", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1)
     # The sets of a shingle link to their least one: as many links as sets and shingles at most, mostly far fewer.
-    first = materialize(first.select("comp", "node", "shingle"))
+    first = materialize(first.select("comp", "node", "shingle").coalesce(files))
     least = first.groupBy("comp", "shingle").agg(F.min("node").alias("least"), F.count("*").alias("times")).where("times > 1")
     fine = connected(first.join(least, ["comp", "shingle"]).select(F.col("node").alias("a"), F.col("least").alias("b")))
     fine = fine.select("node", F.col("root").alias("comp"))
-    return materialize(parted.where("parts = 1").unionByName(in_parts(large.drop("comp", "parts").join(fine, "node"))))
+    return materialize(parted.where("parts = 1").unionByName(in_parts(large.drop("comp", "parts").join(fine, "node"))).coalesce(files))
 
 
-def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, members: DataFrame, files: int) -> DataFrame:
     """members: (node, comp, __file, __row, copies, n), with one document that holds the set. Returns (node, links, root, parts): one row per node and block pair."""
-    dealt = rare_components(docs, members).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = rare_components(docs, members, files).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     loaded = sets_of(dealt.select("__file", "__row", "node", "comp", "copies", "parts", "block"), docs)
     other = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
@@ -365,13 +371,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     n_copies (documents with the same set, itself included), and class_node (its class, null without words), __file and
     __row (which document it is)."""
     docs = numbered(docs)
-    made = materialize(features(docs))
+    with small_batches(docs.sparkSession):
+        made = materialize(features(docs))
+    files = files_for(made, DOCS_A_FILE)
     nodes = made.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min(F.struct("__file", "__row")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n")
     )
-    nodes = materialize(nodes.select("node", "doc_id", "at.__file", "at.__row", "copies", "n"))
-    comps = materialize(connected(candidate_links(made)).select("node", F.col("root").alias("comp")))
-    found = materialize(exact_links(docs, comps.join(nodes, "node")))
+    nodes = materialize(nodes.select("node", "doc_id", "at.__file", "at.__row", "copies", "n").coalesce(files))
+    comps = connected(candidate_links(made, files)).select("node", F.col("root").alias("comp"))
+    found = exact_links(docs, comps.join(nodes, "node"), files)
+    with small_batches(docs.sparkSession):
+        found = materialize(found.coalesce(files))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = found.where("parts = 1").select("node", "root")
     pieces = found.where("parts > 1").select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
@@ -379,9 +389,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         roots = roots.unionAll(connected(pieces))
     root = F.coalesce("root", "node")
     named = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", root)
-    named = materialize(named.select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
+    named = materialize(named.select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")).coalesce(files))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of_node = materialize(named.join(classes, "root").select("node", F.col("root").alias("class_node"), "class_id", "n_links", "n_copies"))
+    of_node = materialize(named.join(classes, "root").select("node", F.col("root").alias("class_node"), "class_id", "n_links", "n_copies").coalesce(files))
     empty = F.col("node").isNull()
     return made.select("doc_id", "__file", "__row", "node").join(of_node, "node", "left").select(
         "doc_id",
@@ -401,7 +411,7 @@ def keep_one(df: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")).alias("least")
     first = found.groupBy("class_node").agg(least).select("class_node", "least.__file", "least.__row")
     # Rows that go are few, so those that stay are not moved.
-    gone = materialize(found.select("class_node", "__file", "__row").join(first, ["class_node", "__file", "__row"], "left_anti").select("__file", "__row"))
+    gone = materialize(found.select("class_node", "__file", "__row").join(first, ["class_node", "__file", "__row"], "left_anti").select("__file", "__row").coalesce(files_for(rows, DOCS_A_FILE)))
     marked = mark_likely(rows, gone, "__file", "__row", name="__row_may_go")
     stay = marked.where("__row_may_go").join(gone, ["__file", "__row"], "left_anti")
     return marked.where("not __row_may_go").select(*df.columns).unionAll(stay.select(*df.columns))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,42 @@ def test_only_rows_that_go_are_looked_up(spark, monkeypatch):
     assert keys == [2]
 
 
+def test_tables_between_steps_have_few_files(spark, monkeypatch):
+    """A file of a few rows costs more than they do: with 64 shuffle partitions op5 took longer for its files than its work."""
+    from docrel.llm import components
+
+    written = []
+    for module in (near_copies, components):
+        monkeypatch.setattr(module, "materialize", lambda df, write=module.materialize: written.append(write(df)) or written[-1])
+    base = text_of(random.Random(12), 100).split()
+    rows = [(k, " ".join([*base[: 5 + k % 90], f"x{k}", *base[6 + k % 90 :]])) for k in range(600)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {tuple(r) for r in got.select("class_id", "n_links").collect()} == {(0, 599)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [len(t.inputFiles()) for t in written]
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert len(files) > 10 and sum(n > most for n in files) <= 3  # links are counted when they are first written
+
+
+def test_texts_go_to_python_by_bytes(spark, tmp_path):
+    from docrel.llm import common
+
+    spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('x', 10000) as text").write.parquet(str(tmp_path / "t"))
+    sizes = lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches])], ["n"])])
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with common.small_batches(spark):
+        got = [r["n"] for r in spark.read.parquet(str(tmp_path / "t")).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_connected(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
