@@ -12,8 +12,8 @@ All training documents count: word counts, and every token in the gradient updat
 ROUNDS rounds. In each round, every task starts from the weights so far and moves its copy along the gradient of the
 log likelihood, batch by batch (steps scaled per row by the squares of its gradients); what the tasks have moved is
 averaged by row, weighted with how often a task met the row, in Spark, by slices of the table. The table has
-ROWS_A_WORD rows for each distinct word up to MOST_ROWS (32 MB, what tasks can hold), so it grows with the corpus until
-then; word counts grow without a bound. The KNOWN_WORDS most frequent words go to the tasks; counts of all rarer words
+ROWS_A_WORD rows for each distinct word up to WORD_ROWS, and beyond that at least one for every ROW_TOKENS training tokens
+up to MOST_ROWS (64 MB, what tasks can hold), so it grows with the corpus until then; word counts grow without a bound. The KNOWN_WORDS most frequent words go to the tasks; counts of all rarer words
 are joined in Spark, per document and word.
 
 Null and empty texts are scored as their end mark alone. An empty training part leaves all counts 0 and leaves
@@ -44,7 +44,8 @@ REST = 1 + SINGLE + GROUPS
 #: Words sent to the tasks with their counts (some 15 MB); counted words held before they are passed on.
 KNOWN_WORDS, HELD_WORDS = 150_000, 200_000
 #: Rows of the weight table, each of SLOTS weights.
-ROWS_A_WORD, LEAST_ROWS, MOST_ROWS = 32, 1 << 14, 1 << 19
+ROWS_A_WORD, LEAST_ROWS, WORD_ROWS = 32, 1 << 14, 1 << 19
+ROW_TOKENS, MOST_ROWS = 128, 1 << 20
 #: Rounds of training; tokens of one update; its step; slices of the table that are averaged apart.
 ROUNDS, BATCH, STEP, SLICES = 3, 4096, 1.0, 512
 #: A probability below it counts as this (32-bit floats end there).
@@ -114,13 +115,13 @@ class Vocabulary:
         ids, others, lengths, rare = [], [], [], []
         for text in texts:
             words = tokens(text)
-            own = list(map(self.known.get, words, repeat(-1)))
-            unknown = [w for k, w in zip(own, words, strict=True) if k < 0] if -1 in own else []
-            ids += own
+            own = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+            unknown = [words[k] for k in np.flatnonzero(own < 0).tolist()]
+            ids.append(own)
             others += unknown
             rare.append(Counter(unknown))
             lengths.append(len(words))
-        ids, lengths = np.array(ids, np.int64), np.array(lengths, np.int64)
+        ids, lengths = np.concatenate([*ids, np.zeros(0, np.int64)]), np.array(lengths, np.int64)
         classes, leaves, context = self.class_of[ids], self.leaf_of[ids], ids.copy()
         at = ids < 0
         hashed = np.array([crc32(w) for w in others], np.int64)
@@ -146,7 +147,7 @@ class Coded:
         for low in range(0, len(self.ids), BATCH):
             at = np.arange(low, min(low + BATCH, len(self.ids)))
             back = {k: np.where(place[at] >= k, self.context[np.maximum(at - k, 0)] + 1, 0).astype(np.uint64) for k in (1, 2)}
-            codes = np.empty((len(at), len(FEATURES)), np.uint64)
+            codes = np.empty((len(at), len(FEATURES)), np.uint64, order="F")
             for column, places in enumerate(FEATURES):
                 code = np.full(len(at), column + 1, np.uint64)
                 for k in places:
@@ -172,13 +173,17 @@ class Weights:
             (every, np.zeros_like(classes), high), (every, high, low), (inner, classes, slots),
             (deep, classes, first), (deep, classes * SLOTS + first, last),
         )
+        shift = np.uint64(65 - len(self.table).bit_length())
         for k, (at, decided, outcome) in enumerate(asked):
             if len(at):
-                node = ((decided[at, None] + 1) * 8 + k).astype(np.uint64)
-                rows = (mix(codes[at] * _ODD + node) & np.uint64(len(self.table) - 1)).astype(np.int64)
-                yield at, rows, self.starts[k][decided[at]], outcome[at]
-
-    def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+                # The codes are mixed bits already: the upper bits of their products with each node's own odd number do.
+                decided = decided[at]
+                node = mix(((decided + 1) * 8 + k).astype(np.uint64)) | np.uint64(1)
+                rows = (codes.T.take(at, 1) * node >> shift).view(np.int64).T
+                yield at, rows, self.starts[k].take(decided, 0), outcome[at]
+
+    def exps(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the outcomes' probabilities are in proportion to, and their sums."""
         logits = self.table.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
             logits += self.table.take(rows[:, k], 0)
@@ -190,14 +195,19 @@ class Weights:
             most = np.maximum(most[:, :half], most[:, half:])
         logits -= most
         np.exp(logits, out=logits)
-        logits /= (logits @ np.ones(SLOTS, logits.dtype))[:, None]
-        return logits
+        return logits, logits @ np.ones(SLOTS, logits.dtype)
+
+    def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        shares, total = self.exps(rows, start)
+        shares /= total[:, None]
+        return shares
 
     def log_p(self, *batch: np.ndarray) -> np.ndarray:
         """Log probability of each token's class, slot and leaf."""
         out = np.zeros(len(batch[0]))
         for at, rows, start, outcome in self.decisions(*batch):
-            out[at] += np.log(np.maximum(self.softmax(rows, start)[np.arange(len(at)), outcome], LEAST_P))
+            shares, total = self.exps(rows, start)
+            out[at] += np.log(np.maximum(shares[np.arange(len(at)), outcome] / total, LEAST_P))
         return out
 
 
@@ -205,10 +215,10 @@ def row_gradient(rows: np.ndarray, p: np.ndarray, own: np.ndarray) -> tuple[np.n
     """Rows that the tokens' features meet, how often, and the gradient of the log likelihood of ``own`` in them."""
     rest = -p
     rest[np.arange(len(own)), own] += 1
-    # Row and place packed into one number sort much faster than places by their rows; places keep their order.
-    bits = max(1, (rows.size - 1).bit_length())
-    packed = np.sort(rows.T.ravel() << bits | np.arange(rows.size))
-    ids, token = packed >> bits, (packed & (1 << bits) - 1) % len(own)
+    # Row and token packed into one number sort much faster than tokens by their rows; tokens keep their order.
+    bits = max(1, (len(own) - 1).bit_length())
+    packed = np.sort((rows.T << bits | np.arange(len(own))).ravel())
+    ids, token = packed >> bits, packed & (1 << bits) - 1
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     times = np.diff(np.append(first, len(ids)))
     out = rest.take(token[first], 0)
@@ -232,23 +242,26 @@ def train_weights(docs: DataFrame, vocabulary: Vocabulary, start: Weights, round
         def part(batches):
             vocabulary, weights, before = sent.value
             own, squares, seen = replace(weights, table=weights.table.copy()), before.copy(), np.zeros(size, np.float32)
+            whole_rows, ones = own.table.view(f"V{4 * SLOTS}").ravel(), np.ones(SLOTS, np.float32)  # set faster as one item each
 
             for batch in batches:
                 for low, high in byte_slices(batch, 1000, 1 << 20):
                     for some in vocabulary.coded(batch.column("text").slice(low, high - low).to_pylist())[0].batches():
                         for _, rows, start, outcome in own.decisions(*some):
                             at, times, g = row_gradient(rows, own.softmax(rows, start), outcome)
-                            met = squares.take(at) + np.einsum("ij,ij->i", g, g)
+                            met = squares.take(at) + np.square(g) @ ones
                             squares[at] = met
                             g *= (STEP / np.sqrt(met + 1))[:, None]
                             g += own.table.take(at, 0)
-                            own.table[at] = g
+                            whole_rows[at] = g.view(whole_rows.dtype).ravel()
                             seen[at] += times
             if seen.any():
-                moved = (own.table - weights.table).astype(np.float16)
-                cut = [[x.tobytes() for x in np.split(a, slices)] for a in (moved, squares - before, seen)]
                 for low in range(0, slices, 32):
-                    arrays = [pa.array(range(slices)[low : low + 32], pa.int32()), *(pa.array(c[low : low + 32], pa.binary()) for c in cut)]
+                    numbers = range(slices)[low : low + 32]
+                    at = [slice(k * size // slices, (k + 1) * size // slices) for k in numbers]
+                    moved = ((own.table[x] - weights.table[x]).astype(np.float16).tobytes() for x in at)
+                    cut = moved, ((squares[x] - before[x]).tobytes() for x in at), (seen[x].tobytes() for x in at)
+                    arrays = [pa.array(numbers, pa.int32()), *(pa.array(list(c), pa.binary()) for c in cut)]
                     yield pa.RecordBatch.from_arrays(arrays, ["slice", "moved", "squares", "seen"])
 
         mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(tasks)
@@ -322,6 +335,12 @@ def train(docs: DataFrame) -> LanguageModel:
     return replace(model, weights=train_weights(docs, model.vocabulary, model.weights), word_counts=counts)
 
 
+def table_rows(types: int, total: int) -> int:
+    """Rows of the weight table for so many distinct words and tokens, a power of two."""
+    by_words = min(WORD_ROWS, max(LEAST_ROWS, 1 << (ROWS_A_WORD * types).bit_length()))
+    return min(MOST_ROWS, max(by_words, 1 << (total // ROW_TOKENS).bit_length()))
+
+
 def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_types: np.ndarray) -> LanguageModel:
     """The model before training. top: the known words, most frequent first; counts of all words by class and leaf."""
     types, total = int(leaf_types.sum()), int(leaf_tokens.sum())
@@ -347,7 +366,7 @@ def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_type
     def shares(x: np.ndarray) -> np.ndarray:
         return np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(x.sum(-1, keepdims=True), 1)), -1e4).astype(np.float32)
 
-    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (ROWS_A_WORD * types).bit_length()))
+    rows = table_rows(types, total)
     by_digit = class_counts.reshape(SLOTS, SLOTS)
     starts = shares(by_digit.sum(1)[None]), shares(by_digit), shares(slot_counts), shares(by_bits.sum(2)), shares(by_bits.reshape(-1, SLOTS))
     start = Weights(np.zeros((rows, SLOTS), np.float32), starts)
@@ -355,40 +374,38 @@ def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_type
     return LanguageModel(vocabulary, start, np.log10(held), total, types)
 
 
-def score_batch(model: LanguageModel, texts: list[str | None]) -> list[dict]:
-    """Per text: tokens, known tokens, base and model log10 but for the counts of words that the task does not know,
-    and those words with how often they occur."""
+def score_batch(model: LanguageModel, texts: list[str | None]) -> list[pa.Array]:
+    """Columns, a row per text: tokens, known tokens, base and model log10 but for the counts of words that the task does
+    not know, and those words with how often they occur."""
     coded, rare = model.vocabulary.coded(texts)
     log_p = np.concatenate([model.weights.log_p(*x) for x in coded.batches()]).astype(np.float64) / math.log(10)
     count = np.log10(model.vocabulary.counts + 1.0)[coded.ids]  # index -1: a rare word's count is added later
     line = np.repeat(np.arange(len(texts)), coded.lengths)
     base = count - math.log10(model.tokens + model.types + 1)
     score = log_p + np.where(coded.classes >= REST, count - model.rest[coded.classes, coded.leaves], 0.0)
-    base, score = (np.bincount(line, x, len(texts)).tolist() for x in (base, score))
-    seen = np.bincount(line, coded.ids >= 0, len(texts)).astype(int).tolist()
-    return [
-        {"n_tokens": n, "n_known": k, "base": b, "score": s, "rare": [{"word": w, "n": c} for w, c in r.items()]}
-        for n, k, b, s, r in zip(coded.lengths.tolist(), seen, base, score, rare, strict=True)
-    ]
+    base, score = (np.bincount(line, x, len(texts)) for x in (base, score))
+    seen = np.bincount(line, coded.ids >= 0, len(texts)).astype(np.int64)
+    # From flat lists: a dict for each word takes several times as long.
+    words, times = [w for r in rare for w in r], [n for r in rare for n in r.values()]
+    pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+    ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+    return [*map(pa.array, (coded.lengths, seen, base, score)), pa.ListArray.from_arrays(pa.array(ends), pairs)]
 
 
 def score_texts(df: DataFrame, model: LanguageModel) -> DataFrame:
     """df without text, with n_tokens, n_known, train_tokens, base_score and score."""
     shipped = df.sparkSession.sparkContext.broadcast(model.shipped())
     from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_type
 
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in df.columns if c != "text" and c not in results]
     fields = T._parse_datatype_string("n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>")
-    kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches):
         for batch in batches:
             for low, high in byte_slices(batch, 500, 1 << 20):
                 part = batch.slice(low, high - low)
-                rows = score_batch(shipped.value, part.column("text").to_pylist())
-                made = [pa.array([r[f.name] for r in rows], k) for f, k in zip(fields, kinds, strict=True)]
+                made = score_batch(shipped.value, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, *(f"__{f.name}" for f in fields)])
 
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(f"__{f.name}", f.dataType) for f in fields)])

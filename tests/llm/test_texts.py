@@ -632,3 +632,24 @@ def test_pipeline_keeps_columns_and_odd_rows(spark, tmp_path):
 def test_every_query_is_listed():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert pq is not None
+
+
+def test_weight_table_grows_with_the_corpus():
+    """A larger corpus of the same words gets more rows, until tasks can't hold them; no corpus fewer than before."""
+    assert lm_score.table_rows(0, 0) == 1 << 14
+    assert lm_score.table_rows(400_000, 400_000) == lm_score.table_rows(400_000, 20_000_000) == 1 << 19
+    assert lm_score.table_rows(400_000, 100_000_000) == lm_score.MOST_ROWS == 1 << 20
+
+
+def test_rows_of_features_spread_over_the_table():
+    """Nodes of one softmax, and softmaxes, put one feature's rows far apart; rows are within the table."""
+    rng = np.random.default_rng(3)
+    codes = np.asfortranarray(rng.integers(0, 1 << 63, (4096, 3), np.uint64))
+    weights = lm_score.Weights(np.zeros((1 << 14, lm_score.SLOTS), np.float32), tuple(np.zeros((n, lm_score.SLOTS), np.float32) for n in (1, 16, 256, 256, 4096)))
+    classes, none = np.full(4096, lm_score.REST + 3), np.zeros(4096, np.int64)
+    asked = [rows for _, rows, _, _ in weights.decisions(classes, none, none, codes)]
+    assert len(asked) == 4
+    for rows in asked:
+        assert rows.shape == (4096, 3) and rows.min() >= 0 and rows.max() < 1 << 14
+        assert len(np.unique(rows)) > 0.95 * (1 << 14) * (1 - math.exp(-0.75))
+    assert max(np.mean(a == b) for k, a in enumerate(asked) for b in asked[:k]) < 0.002
