@@ -207,7 +207,8 @@ def candidate_links(made: DataFrame, files: int) -> DataFrame:
             rows = rest.select("node", "pivot", "sketch", F.explode("runs").alias("run"))
             slots = F.array(*(F.col("run") * (LEVELS - 1) * SPLITS + level * SPLITS + k for k in range(SPLITS)))
             rows = rows.select("node", "pivot", "sketch", "run", F.explode(slots).alias("slot"))
-            rows = rows.select("node", "run", F.xxhash64("pivot", "slot", F.expr("substring(sketch, slot * 4 + 1, 4)")).alias("bucket"))
+            # A table, as the next level counts its buckets and joins their sets: each part of a set is made once.
+            rows = materialize(rows.select("node", "run", F.xxhash64("pivot", "slot", F.expr("substring(sketch, slot * 4 + 1, 4)")).alias("bucket")).coalesce(files))
     together = small[0]
     for more in small[1:]:
         together = together.unionAll(more)

@@ -228,6 +228,33 @@ def test_only_rows_that_go_are_looked_up(spark, monkeypatch):
     assert keys == [2]
 
 
+def rows_of_generators(spark, name):
+    """Rows that all generators of a column of this name have made in the session so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for e in (runs.apply(k).executionId() for k in range(runs.size())):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "Generate" and f"explode({name}" in node.desc():
+                found = (m for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows")
+                total += sum(int(str(values.apply(m.accumulatorId())).replace(",", "")) for m in found if values.contains(m.accumulatorId()))
+    return total
+
+
+def test_parts_of_large_buckets_are_made_once(spark, large_groups, monkeypatch):
+    """Of each set, a row for every run and hash that splits its bucket: no more, and written, as two steps read them."""
+    monkeypatch.setattr(near_copies, "BUCKET", 64)
+    made, written = near_copies.materialize(near_copies.features(near_copies.numbered(large_groups[0]))), []
+    monkeypatch.setattr(near_copies, "materialize", lambda df, write=near_copies.materialize: written.append(write(df)) or written[-1])
+    before = rows_of_generators(spark, "runs")
+    near_copies.candidate_links(made, 2).collect()
+    split = sum(t.count() for t in written if t.columns == ["node", "run", "bucket"])
+    met = sum(t.count() for t in written if "left" in t.columns)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < split == (rows_of_generators(spark, "runs") - before) * near_copies.SPLITS
+    assert split <= met * near_copies.SPLIT_RUNS * near_copies.SPLITS
+
+
 def test_tables_between_steps_have_few_files(spark, monkeypatch):
     """A file of a few rows costs more than they do: with 64 shuffle partitions op5 took longer for its files than its work."""
     from docrel.llm import components
