@@ -32,6 +32,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ from .common import LOWER, byte_slices, materialize, mix, table
 SLOTS = 16
 CLASSES, SINGLE, GROUPS = SLOTS**2, 191, 32
 REST = 1 + SINGLE + GROUPS
-#: Words sent to the tasks with their counts (some 15 MB); counted words held before they are passed on.
-KNOWN_WORDS, HELD_WORDS = 150_000, 200_000
+#: Words sent to the tasks with their counts (some 15 MB); bytes of text whose words are counted before they are passed on.
+KNOWN_WORDS, COUNT_BYTES = 150_000, 4 << 20
 #: Rows of the weight table, each of SLOTS weights.
 ROWS_A_WORD, LEAST_ROWS, WORD_ROWS = 32, 1 << 14, 1 << 19
 ROW_TOKENS, MOST_ROWS = 128, 1 << 20
@@ -61,6 +62,21 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8").translate(LOWER).split(), END]
 
 
+def word_lists(texts: pa.Array | list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of all texts but for the end marks, found in Arrow: the words, and how many each text has."""
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = found.flatten()
+    is_word = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(is_word.to_numpy(zero_copy_only=False)))
+    ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+    return words.filter(is_word).cast(pa.binary()), np.diff(before[ends])
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+
+
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
@@ -69,17 +85,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts."""
 
     def count(batches):
-        held: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-                if len(held) > HELD_WORDS:
-                    yield out(held)
-                    held = Counter()
-        yield out(held)
-
-    def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            for low, high in byte_slices(batch, batch.num_rows, COUNT_BYTES):
+                if high > low:
+                    counted = pc.value_counts(word_lists(batch.column("text").slice(low, high - low))[0])
+                    words, n = pa.array([END], pa.binary()), pa.array([high - low], pa.int64())
+                    arrays = [pa.concat_arrays([counted.field("values"), words]), pa.concat_arrays([counted.field("counts"), n])]
+                    yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
+        pa.default_memory_pool().release_unused()  # idle workers stay
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -110,23 +123,26 @@ class Vocabulary:
     slot_of: np.ndarray
     leaf_of: np.ndarray
 
-    def coded(self, texts: list[str | None]) -> tuple[Coded, list[Counter]]:
-        """The tokens of all texts, and each text's words that are not known."""
-        ids, others, lengths, rare = [], [], [], []
-        for text in texts:
-            words = tokens(text)
-            own = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-            unknown = [words[k] for k in np.flatnonzero(own < 0).tolist()]
-            ids.append(own)
-            others += unknown
-            rare.append(Counter(unknown))
-            lengths.append(len(words))
-        ids, lengths = np.concatenate([*ids, np.zeros(0, np.int64)]), np.array(lengths, np.int64)
-        classes, leaves, context = self.class_of[ids], self.leaf_of[ids], ids.copy()
-        at = ids < 0
+    def coded(self, texts: pa.Array | list[str | None]) -> tuple[Coded, pa.Array]:
+        """The tokens of all texts, and each text's words that are not known, with how often they occur: a list a text."""
+        words, lengths = word_lists(texts)
+        words = words.dictionary_encode()
+        # Each distinct word is looked up once; the end mark is the last of them.
+        distinct = pa.concat_arrays([words.dictionary, pa.array([END], pa.binary())])
+        own = np.fromiter(map(self.known.get, as_bytes(distinct), repeat(-1)), np.int64, len(distinct))
+        classes, leaves, context = self.class_of[own], self.leaf_of[own], own.copy()
+        at = np.flatnonzero(own < 0)
+        others = as_bytes(distinct.take(pa.array(at)))
         hashed = np.array([crc32(w) for w in others], np.int64)
         classes[at], leaves[at], context[at] = [rest_class(w) for w in others], hashed % SLOTS**2, hashed + (1 << 32)
-        return Coded(ids, classes, self.slot_of[ids], leaves, context, lengths), rare
+        of = np.insert(words.indices.to_numpy(), np.cumsum(lengths), len(distinct) - 1)
+        lengths = lengths + 1
+        unknown = np.flatnonzero(own[of] < 0)
+        pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[unknown] * len(distinct) + of[unknown], return_counts=True)
+        rare = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % len(distinct))), pa.array(times, pa.int64())], ["word", "n"])
+        ends = np.searchsorted(pairs, np.arange(len(lengths) + 1) * len(distinct)).astype(np.int32)
+        codes = (x.take(of) for x in (own, classes, self.slot_of[own], leaves, context))
+        return Coded(*codes, lengths), pa.ListArray.from_arrays(pa.array(ends), rare)
 
 
 @dataclass
@@ -182,23 +198,31 @@ class Weights:
                 rows = (codes.T.take(at, 1) * node >> shift).view(np.int64).T
                 yield at, rows, self.starts[k].take(decided, 0), outcome[at]
 
-    def exps(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the outcomes' probabilities are in proportion to, and their sums."""
-        logits = self.table.take(rows[:, 0], 0)
-        for k in range(1, rows.shape[1]):
-            logits += self.table.take(rows[:, k], 0)
-        logits += start
-        # By halves and as a product: reductions along rows of SLOTS take several times as long.
-        most = logits
-        while most.shape[1] > 1:
-            half = most.shape[1] // 2
-            most = np.maximum(most[:, :half], most[:, half:])
-        logits -= most
-        np.exp(logits, out=logits)
-        return logits, logits @ np.ones(SLOTS, logits.dtype)
-
-    def softmax(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-        shares, total = self.exps(rows, start)
+    def exps(self, rows: np.ndarray, start: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What the outcomes' probabilities are in proportion to, and their sums. held: a part of the table that rows
+        point into."""
+        table = self.table if held is None else held
+
+        def logits(rows, start):
+            out = table.take(rows[:, 0], 0)
+            for k in range(1, rows.shape[1]):
+                out += table.take(rows[:, k], 0)
+            out += start
+            return out
+
+        ones, shares = np.ones(SLOTS, np.float32), logits(rows, start)
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = np.exp(shares, out=shares) @ ones
+        # Logits start from log shares, so their sums are mostly near 1; where they may have lost digits, from the most.
+        far = np.flatnonzero(~((total > 1e-3) & (total < 1e30)))
+        if len(far):
+            again = logits(rows[far], start[far])
+            shares[far] = np.exp(again - again.max(1, keepdims=True))
+            total[far] = shares[far] @ ones
+        return shares, total
+
+    def softmax(self, rows: np.ndarray, start: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
+        shares, total = self.exps(rows, start, held)
         shares /= total[:, None]
         return shares
 
@@ -211,22 +235,54 @@ class Weights:
         return out
 
 
-def row_gradient(rows: np.ndarray, p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class MetRows:
+    """The distinct rows of the table that tokens' features meet (ids), how often (times), and where each feature's row is
+    among them (inner: tokens x features)."""
+
+    def __init__(self, rows: np.ndarray):
+        n, features = rows.shape
+        # Row, feature and token packed into one number sort much faster than tokens by their rows.
+        bits, place = max(1, (n - 1).bit_length()), max(1, (n - 1).bit_length()) + features.bit_length()
+        packed = np.sort((rows.T << place | np.arange(features)[:, None] << bits | np.arange(n)).ravel())
+        ids, at = packed >> place, packed & (1 << place) - 1
+        new = np.append(True, ids[1:] != ids[:-1])
+        self.first = np.flatnonzero(new)
+        self.ids, self.times = ids[self.first], np.diff(np.append(self.first, len(ids)))
+        self.token = at & (1 << bits) - 1
+        inner = np.empty(features << bits, np.int64)
+        inner[at] = np.cumsum(new) - 1
+        self.inner = inner.reshape(features, -1)[:, :n].T
+
+
+def row_gradient(rows: np.ndarray, p: np.ndarray, own: np.ndarray, met: MetRows | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that the tokens' features meet, how often, and the gradient of the log likelihood of ``own`` in them."""
+    met = met or MetRows(rows)
     rest = -p
     rest[np.arange(len(own)), own] += 1
-    # Row and token packed into one number sort much faster than tokens by their rows; tokens keep their order.
-    bits = max(1, (len(own) - 1).bit_length())
-    packed = np.sort((rows.T << bits | np.arange(len(own))).ravel())
-    ids, token = packed >> bits, packed & (1 << bits) - 1
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    times = np.diff(np.append(first, len(ids)))
-    out = rest.take(token[first], 0)
-    more = np.flatnonzero(times > 1)  # mostly a row is met once
+    out = rest.take(met.token[met.first], 0)
+    more = np.flatnonzero(met.times > 1)  # mostly a row is met once
     if len(more):
-        inner = np.repeat(times > 1, times)
-        out[more] = np.add.reduceat(rest.take(token[inner], 0), np.cumsum(times[more]) - times[more])
-    return ids[first], times, out
+        times = met.times[more]
+        inner = np.repeat(met.times > 1, met.times)
+        out[more] = np.add.reduceat(rest.take(met.token[inner], 0), np.cumsum(times) - times)
+    return met.ids, met.times, out
+
+
+def learn(own: Weights, squares_seen: np.ndarray, batch: tuple[np.ndarray, ...]) -> None:
+    """Moves own's table along the gradient of one batch. squares_seen: of each row, the squares of its gradients and how
+    often it was met; side by side, so that a row's two are one item."""
+    pairs, whole_rows = squares_seen.view(np.int64).ravel(), own.table.view(f"V{4 * SLOTS}").ravel()  # set faster as one item each
+    for _, rows, start, outcome in own.decisions(*batch):
+        met = MetRows(rows)
+        held = own.table.take(met.ids, 0)
+        at, times, g = row_gradient(rows, own.softmax(met.inner, start, held), outcome, met)
+        now = pairs.take(at).view(np.float32).reshape(-1, 2)
+        now[:, 0] += np.einsum("rs,rs->r", g, g)
+        now[:, 1] += times
+        pairs[at] = now.view(np.int64).ravel()
+        g *= (STEP / np.sqrt(now[:, 0] + 1))[:, None]
+        g += held
+        whole_rows[at] = g.view(whole_rows.dtype).ravel()
 
 
 def train_weights(docs: DataFrame, vocabulary: Vocabulary, start: Weights, rounds: int = ROUNDS) -> Weights:
@@ -241,20 +297,13 @@ def train_weights(docs: DataFrame, vocabulary: Vocabulary, start: Weights, round
 
         def part(batches):
             vocabulary, weights, before = sent.value
-            own, squares, seen = replace(weights, table=weights.table.copy()), before.copy(), np.zeros(size, np.float32)
-            whole_rows, ones = own.table.view(f"V{4 * SLOTS}").ravel(), np.ones(SLOTS, np.float32)  # set faster as one item each
-
+            own, squares_seen = replace(weights, table=weights.table.copy()), np.zeros((size, 2), np.float32)
+            squares_seen[:, 0] = before
             for batch in batches:
                 for low, high in byte_slices(batch, 1000, 1 << 20):
-                    for some in vocabulary.coded(batch.column("text").slice(low, high - low).to_pylist())[0].batches():
-                        for _, rows, start, outcome in own.decisions(*some):
-                            at, times, g = row_gradient(rows, own.softmax(rows, start), outcome)
-                            met = squares.take(at) + np.square(g) @ ones
-                            squares[at] = met
-                            g *= (STEP / np.sqrt(met + 1))[:, None]
-                            g += own.table.take(at, 0)
-                            whole_rows[at] = g.view(whole_rows.dtype).ravel()
-                            seen[at] += times
+                    for some in vocabulary.coded(batch.column("text").slice(low, high - low))[0].batches():
+                        learn(own, squares_seen, some)
+            squares, seen = squares_seen.T
             if seen.any():
                 for low in range(0, slices, 32):
                     numbers = range(slices)[low : low + 32]
@@ -322,7 +371,7 @@ def train(docs: DataFrame) -> LanguageModel:
 
     def per_leaf(batches):
         for batch in batches:
-            arrays = leaf_sums(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+            arrays = leaf_sums(as_bytes(batch.column("word")), batch.column("n").to_pylist())
             at = np.flatnonzero(arrays[1])
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(a.flat[at]) for a in arrays)], ["c", "n", "types"])
 
@@ -374,7 +423,7 @@ def start_model(top: list[tuple[bytes, int]], leaf_tokens: np.ndarray, leaf_type
     return LanguageModel(vocabulary, start, np.log10(held), total, types)
 
 
-def score_batch(model: LanguageModel, texts: list[str | None]) -> list[pa.Array]:
+def score_batch(model: LanguageModel, texts: pa.Array | list[str | None]) -> list[pa.Array]:
     """Columns, a row per text: tokens, known tokens, base and model log10 but for the counts of words that the task does
     not know, and those words with how often they occur."""
     coded, rare = model.vocabulary.coded(texts)
@@ -385,11 +434,7 @@ def score_batch(model: LanguageModel, texts: list[str | None]) -> list[pa.Array]
     score = log_p + np.where(coded.classes >= REST, count - model.rest[coded.classes, coded.leaves], 0.0)
     base, score = (np.bincount(line, x, len(texts)) for x in (base, score))
     seen = np.bincount(line, coded.ids >= 0, len(texts)).astype(np.int64)
-    # From flat lists: a dict for each word takes several times as long.
-    words, times = [w for r in rare for w in r], [n for r in rare for n in r.values()]
-    pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
-    ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-    return [*map(pa.array, (coded.lengths, seen, base, score)), pa.ListArray.from_arrays(pa.array(ends), pairs)]
+    return [*map(pa.array, (coded.lengths, seen, base, score)), rare]
 
 
 def score_texts(df: DataFrame, model: LanguageModel) -> DataFrame:
@@ -405,7 +450,7 @@ def score_texts(df: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for low, high in byte_slices(batch, 500, 1 << 20):
                 part = batch.slice(low, high - low)
-                made = score_batch(shipped.value, part.column("text").to_pylist())
+                made = score_batch(shipped.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, *(f"__{f.name}" for f in fields)])
 
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(f"__{f.name}", f.dataType) for f in fields)])

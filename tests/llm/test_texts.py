@@ -680,3 +680,59 @@ def test_rows_of_features_spread_over_the_table():
         assert rows.shape == (4096, 3) and rows.min() >= 0 and rows.max() < 1 << 14
         assert len(np.unique(rows)) > 0.95 * (1 << 14) * (1 - math.exp(-0.75))
     assert max(np.mean(a == b) for k, a in enumerate(asked) for b in asked[:k]) < 0.002
+
+
+def test_words_are_found_in_arrow_as_one_by_one(spark):
+    import pyarrow as pa
+
+    odd = ["", None, " ", "A\tB\nc\x0bD\x0ce\rf  G ", "\x00\x1c x\x85y\xa0z\u2028Ä\u0130 ß", "a" * 5000, "\n\n", "end\nEnd", "😀 A😀"]
+    rng = random.Random(3)
+    odd += ["".join(rng.choice("aB \t\x0b\x1f\xa0é\u3000") for _ in range(rng.randrange(40))) for _ in range(200)]
+    for texts in (odd, odd[5:9], []):
+        for given in (texts, pa.array(["cut off", *texts], pa.string()).slice(1)):
+            words, lengths = lm_score.word_lists(given)
+            want = [lm_score.tokens(t)[:-1] for t in texts]
+            assert words.to_pylist() == [w for t in want for w in t] and lengths.tolist() == [len(t) for t in want]
+    docs = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert {bytes(r["word"]): r["n"] for r in lm_score.count_tokens(docs).collect()} == Counter(w for t in odd for w in lm_score.tokens(t))
+
+
+def test_each_distinct_word_is_looked_up_once():
+    looked_up = []
+
+    class Watched(dict):
+        def get(self, word, *default):
+            looked_up.append(word)
+            return super().get(word, *default)
+
+    model = small_model(["a b c"])
+    vocabulary = lm_score.replace(model.vocabulary, known=Watched(model.vocabulary.known))
+    texts = ["A b new a", None, "new other new " * 50, "c"]
+    coded, rare = vocabulary.coded(texts)
+    assert sorted(looked_up) == sorted({w for t in texts for w in lm_score.tokens(t)})
+    assert coded.ids.tolist() == [vocabulary.known[w] if w in vocabulary.known else -1 for t in texts for w in lm_score.tokens(t)]
+    assert coded.lengths.tolist() == [len(lm_score.tokens(t)) for t in texts]
+    assert [{r["word"]: r["n"] for r in t} for t in rare.to_pylist()] == [{b"new": 1}, {}, {b"new": 100, b"other": 50}, {}]
+
+
+def test_a_step_equals_a_plain_one():
+    """One batch against the gradient row by row; steep weights, whose sums leave the range of 32 bits, included."""
+    model = small_model(["a b c a b d e f g", "b a c"])
+    rng = np.random.default_rng(2)
+    for spread in (0.1, 200):
+        start = rng.normal(0, spread, model.weights.table.shape).astype(np.float32)
+        own, squares_seen = lm_score.replace(model.weights, table=start.copy()), np.ones((len(start), 2), np.float32)
+        (batch,) = model.vocabulary.coded(["a b c d new a b", "b a b c"])[0].batches()
+        table, squares, seen = start.astype(float), np.ones(len(start)), np.ones(len(start))
+        for _, rows, first, outcome in own.decisions(*batch):
+            logits = table[rows].sum(1) + first
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            g = np.eye(lm_score.SLOTS)[outcome] - p / p.sum(1, keepdims=True)
+            total = np.zeros(table.shape)
+            np.add.at(total, rows, g[:, None])
+            np.add.at(seen, rows, 1)
+            squares += (total**2).sum(1)
+            table += total * (lm_score.STEP / np.sqrt(squares + 1))[:, None]
+        lm_score.learn(own, squares_seen, batch)
+        assert np.isfinite(own.table).all() and np.allclose(own.table, table, atol=1e-3)
+        assert np.allclose(squares_seen, np.stack([squares, seen], 1), rtol=1e-3, atol=1e-3)
