@@ -16,7 +16,15 @@ def profile_documents(docs: DataFrame, max_paths: int = MAX_PATHS) -> tuple[Data
     """Profile rows with fill, and the number of documents."""
     docs = docs.persist()
     documents = docs.count()
-    return with_fill(profile_facts(facts(docs), max_paths=max_paths), documents), documents
+    # Held, as its rows meet those of their containers and the documents would be walked for both.
+    return with_fill(profile_facts(facts(docs), max_paths=max_paths).persist(), documents), documents
+
+
+def document_maps(docs: DataFrame, min_keys: int = 30, max_fill: float = 0.2) -> DataFrame:
+    """Objects whose keys are data (see ``maps``), found among all paths, however many."""
+    docs = docs.persist()
+    documents = docs.count()
+    return maps(with_fill(profile_paths(facts(docs)).persist(), documents).persist(), min_keys, max_fill)
 
 
 def plan_documents(
@@ -37,7 +45,9 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
     counts = docs.groupBy(*BY).agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("broken")).persist()
     known = {r["collection"]: r for r in counts.collect()}
     errors = {} if nulls else {c: f"{r['broken']} documents are not JSON" for c, r in known.items() if r["broken"]}
-    paths = with_fill(profile_paths(facts(docs, by=BY), by=BY), counts, BY).persist()
+    # Held, as its rows meet those of their containers and the documents would be walked for both.
+    walked = profile_paths(facts(docs, by=BY), by=BY).persist()
+    paths = with_fill(walked, counts, BY).persist()
     boxes = maps(paths, min_keys, max_fill, BY)
     many = paths.groupBy(*BY).count().where(F.col("count") > MAX_PATHS).select("collection")
     kept = paths
@@ -61,7 +71,7 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
         profile = Profile.of_rows(by_name.get(name, []), known[name]["n"] if name in known else 0, name in cut)
         own = {p: i for p, i in infos.get(name, {}).items() if p in profile.stats}
         plans[name] = (build_plan(profile, name, schema, own, nesting, headroom), profile)
-    for held in (rows, paths, counts, docs):
+    for held in (rows, paths, walked, counts, docs):
         held.unpersist()
     return plans, errors
 
@@ -70,8 +80,10 @@ def plan_typed(df: DataFrame, collection: str, nesting: str = "deep", schema: st
     """Plan of typed rows, from aggregations generated from their schema."""
     df = df.persist()
     documents = df.count()
-    profile = Profile.collect(with_fill(profile_typed(df, key), documents), documents)
-    df.unpersist()
+    rows = profile_typed(df, key).persist()
+    profile = Profile.collect(with_fill(rows, documents), documents)
+    for held in (rows, df):
+        held.unpersist()
     return build_plan(profile, collection, schema, None, nesting, headroom), profile
 
 

@@ -193,14 +193,14 @@ def profile_typed(df: DataFrame, key: str, preview: int = PREVIEW, distinct: int
 
 
 def containers(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, parent, visits): how often each container prefix was entered. documents: their number, or a table of by and n."""
+    """(by, parent, visits): how often each container prefix that was entered was. documents: their number, or a table of by and n."""
     objects = rows.select(*by, F.concat("path", F.lit(".")).alias("parent"), F.coalesce(F.element_at("types", "object"), F.lit(0)).alias("visits"))
     roots = documents if by else rows.sparkSession.range(1).select(F.lit(documents).cast("long").alias("n"))
-    return objects.unionAll(roots.select(*by, F.lit("").alias("parent"), F.col("n").alias("visits")))
+    return objects.where("visits > 0").unionAll(roots.select(*by, F.lit("").alias("parent"), F.col("n").alias("visits")))
 
 
 def with_fill(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with ``fill``: presence among the visits of the own container; null for array elements."""
+    """rows (read twice) with ``fill``: presence among the visits of the own container; null for array elements."""
     visits = containers(rows, documents, by)
     return rows.join(visits, [*by, "parent"], "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
 

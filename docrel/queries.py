@@ -13,7 +13,7 @@ from .functions import text as X
 from .functions import variants as V
 from .operators import flatten as FL
 from .operators import profile as P
-from .operators.collect import plan_documents, plan_typed, profile_documents
+from .operators.collect import document_maps, plan_documents, plan_typed, profile_documents
 from .operators.flatten_typed import flatten_typed
 from .operators.load import REJECTS, Catalog, encode_key, ensure_tables, load, load_watermark, save_watermark, upserted, without_keys
 from .operators.walk import facts, first_paths
@@ -197,8 +197,7 @@ child as (select l_suppkey, count(*) / (select n from docs) as fill from slot gr
 select 'slots' as path, count(*) as keys, round(avg(fill), 9) as avg_fill, cast(max(length(concat('s', l_suppkey))) as bigint) as key_max_utf16 from child
 having count(*) >= 30 and avg(fill) <= 0.2""")
 def map_detection(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = profile_documents(D.slot_docs(spark, sf))
-    return P.maps(rows).select("path", "keys", F.round("avg_fill", 9).alias("avg_fill"), "key_max_utf16")
+    return document_maps(D.slot_docs(spark, sf)).select("path", "keys", F.round("avg_fill", 9).alias("avg_fill"), "key_max_utf16")
 
 
 @query("""with o as (select count(*) as n, count(distinct o_custkey) as k, max(length(concat('c', o_custkey, '_', o_orderkey))) as u from orders)

@@ -315,3 +315,12 @@ def test_typed_maps_under_arrays(spark):
     (name,) = [t.name for t in plan.children if t.kind == "map"]
     got = {tuple(r)[:3] for r in flatten_typed(df, plan)[name].collect()}
     assert got == {tuple(r)[:3] for r in FL.flatten(S.from_table(df, "_id"), plan)[name].collect()} == {(1, "a", "1"), (1, "b", "2"), (1, "c", "4"), (4, "a", "5")}
+
+
+def test_data_keys_beyond_the_limit_of_paths_are_detected(spark, tmp_path):
+    from docrel.queries import QUERIES
+
+    lines = spark.range(8400).select((F.col("id") % 700).alias("l_orderkey"), (F.col("id") % 4200).alias("l_suppkey"), F.lit(1.0).alias("l_quantity"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    (row,) = QUERIES["map_detection"](spark, str(tmp_path)).collect()
+    assert tuple(row) == ("slots", 4200, round(1 / 700, 9), 5)
