@@ -48,10 +48,11 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
     # Held, as its rows meet those of their containers and the documents would be walked for both.
     walked = profile_paths(facts(docs, by=BY), by=BY).persist()
     paths = with_fill(walked, counts, BY).persist()
-    boxes = maps(paths, min_keys, max_fill, BY)
+    boxes = found = maps(paths, min_keys, max_fill, BY).persist()
     many = paths.groupBy(*BY).count().where(F.col("count") > MAX_PATHS).select("collection")
     kept = paths
     if not many.isEmpty():
+        walked.unpersist()
         large, small = boxes.join(many, "collection", "left_semi"), boxes.join(many, "collection", "left_anti")
         large = outside(large, large, BY).persist()
         boxes, kept = large.unionByName(small), outside(paths, large, BY)
@@ -71,7 +72,7 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
         profile = Profile.of_rows(by_name.get(name, []), known[name]["n"] if name in known else 0, name in cut)
         own = {p: i for p, i in infos.get(name, {}).items() if p in profile.stats}
         plans[name] = (build_plan(profile, name, schema, own, nesting, headroom), profile)
-    for held in (rows, paths, walked, counts, docs):
+    for held in (rows, found, paths, walked, counts, docs):
         held.unpersist()
     return plans, errors
 

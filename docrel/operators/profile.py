@@ -17,35 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import utf16_len
+from .sketches import few_values, held_values
 
 PREVIEW, DISTINCT, DISTINCT_CHARS, MAX_PATHS = 80, 50, 200, 4000
-
-
-def held_values(text: Column, distinct: int) -> Column:
-    """Aggregate: the distinct texts, all of them as long as there are no more than six times the limit; a null counts as
-    one."""
-    return F.call_function("approx_top_k", text, F.lit(distinct + 2), F.lit(8 * distinct))
-
-
-def few_values(held: Column, about: Column, distinct: int) -> Column:
-    """The sorted values where there are at most ``distinct``, else null. about: their estimated number, which tells
-    whether all are held."""
-    values = F.array_sort(F.filter(F.transform(held, lambda h: h["item"]), lambda v: v.isNotNull()))
-    none = F.when(about == 0, F.array().cast("array<string>"))
-    return F.when((about > 0) & (about <= 2 * distinct) & (F.size(values) <= distinct), values).otherwise(none)
+#: Rows of path names that may go to every task.
+FEW = 10_000
 
 
 def profile_paths(found: DataFrame, preview: int = PREVIEW, distinct: int = DISTINCT, by: tuple[str, ...] = ()) -> DataFrame:
     """All paths (of each value of ``by``), however many; first: seq and positions of their first occurrence."""
     finite = ~F.isnan("x") & (F.abs("x") < float("inf"))
-    units = utf16_len(F.col("s"))
-    order = F.struct((-F.col("seq")).alias("a"), F.transform("ord", lambda o: -o).alias("b"))
+    found = found.withColumn("units", utf16_len(F.col("s")))
+    units = F.col("units")
     by_type = found.groupBy(*by, "path", "type").agg(
         F.first("parent", ignorenulls=True).alias("parent"),
         F.count("*").alias("n"),
         F.min(F.struct("seq", "ord")).alias("first"),
         F.max(units).alias("units"),
-        F.max_by(F.struct(units.alias("u"), F.left("s", F.lit(preview)).alias("t")), F.struct(units, order)).alias("long"),
+        F.min_by(F.struct(units.alias("u"), F.left("s", F.lit(preview)).alias("t")), F.when(units.isNotNull(), F.struct((-units).alias("u"), "seq", "ord"))).alias("long"),
         F.min(F.when(finite, F.col("x"))).alias("lo"),
         F.max(F.when(finite, F.col("x"))).alias("hi"),
         F.max(F.when(F.col("x").isNotNull() & finite & (F.col("type") == "double"), F.col("x") != F.rint("x"))).alias("odd"),
@@ -199,10 +188,17 @@ def containers(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFram
     return objects.where("visits > 0").unionAll(roots.select(*by, F.lit("").alias("parent"), F.col("n").alias("visits")))
 
 
+def meet(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with a table that is mostly small and read twice. A small one goes to the rows: dealt out by their
+    containers or boxes, all fields of one object would lie in one task."""
+    small = few.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(few) if small else few, on, how)
+
+
 def with_fill(rows: DataFrame, documents, by: tuple[str, ...] = ()) -> DataFrame:
-    """rows (read twice) with ``fill``: presence among the visits of the own container; null for array elements."""
-    visits = containers(rows, documents, by)
-    return rows.join(visits, [*by, "parent"], "left").withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
+    """rows (read several times) with ``fill``: presence among the visits of the own container; null for array elements."""
+    filled = meet(rows, containers(rows, documents, by), [*by, "parent"], "left")
+    return filled.withColumn("fill", F.when(F.col("visits") > 0, F.col("present") / F.col("visits"))).drop("visits")
 
 
 def direct_children(filled: DataFrame) -> DataFrame:
@@ -221,7 +217,7 @@ def above(path: Column) -> Column:
 def outside(rows: DataFrame, boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """rows whose path lies in none of the boxes (by, path)."""
     boxes = boxes.select(*by, F.col("path").alias("box"))
-    inside = rows.select(*by, "path", F.explode(above(F.col("path"))).alias("box")).join(boxes, [*by, "box"], "left_semi")
+    inside = meet(rows.select(*by, "path", F.explode(above(F.col("path"))).alias("box")), boxes, [*by, "box"], "left_semi")
     return rows.join(inside.select(*by, "path").distinct(), [*by, "path"], "left_anti")
 
 
@@ -229,7 +225,8 @@ def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2, by: tuple
     """Objects whose keys are data: many direct children, each rarely present. One row per such path; value_types: how
     many values of each type their keys have, all keys together."""
     owner = [*by, "owner"]
-    kids = direct_children(filled).join(filled.where("dominant = 'object'").select(*by, F.col("path").alias("owner")), owner, "left_semi")
+    # Summed up by object before any join, so the keys of a large one don't meet in one task.
+    kids = direct_children(filled)
     found = kids.groupBy(*owner).agg(
         F.count("*").alias("keys"),
         F.avg("fill").alias("avg_fill"),
@@ -237,6 +234,7 @@ def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2, by: tuple
         F.max("max_utf16").alias("value_max_utf16"),
     )
     found = found.where((F.col("keys") >= min_keys) & (F.col("avg_fill") <= max_fill))
+    found = found.join(filled.where("dominant = 'object'").select(*by, F.col("path").alias("owner")), owner, "left_semi")
     counted = kids.select(*owner, F.explode(F.map_filter("types", lambda t, _: t != "null")).alias("type", "n")).groupBy(*owner, "type").agg(F.sum("n").alias("n"))
     types = counted.groupBy(*owner).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("value_types"))
     none = F.create_map().cast("map<string, bigint>")

@@ -324,3 +324,41 @@ def test_data_keys_beyond_the_limit_of_paths_are_detected(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     (row,) = QUERIES["map_detection"](spark, str(tmp_path)).collect()
     assert tuple(row) == ("slots", 4200, round(1 / 700, 9), 5)
+
+
+def test_known_paths_give_the_facts_of_a_walk(spark):
+    from docrel.operators import walk as W
+
+    texts = [
+        '{"_id": 1, "b": {"c": {"d": null, "e": "x"}, "big": 123456789012345678901}, "a": [{"n": 1, "t": ["p", null]}, {"n": 2.5}, null], "s": "é\U0001f600"}',
+        '{"_id": 2, "b": 7, "a": [], "é k.x": {"end": true}, "deep": [[1, 2], [3]]}',
+        '{"_id": 3, "b": {}, "a": "none", "two": {"r": [{"q": [{"z": 1}, {"y": -0.5}]}, {}]}, "OBJECT<": 1}',
+        '{"_id": 4, "b": [null], "A": {"a": 1e400}, "t`k": 2, "DECIMAL(2,1)": 1.5}',
+        "[1, 2]",
+        "3",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "seq long, t string").select("seq", F.parse_json("t").alias("v"))
+    spread, tree = W.surveyed(docs)
+    assert tree is not None and tree.levels() == W.deepest(docs) == 6
+    known, walked = W._known(spread, tree, ()).collect(), W._walked(docs, 6, ()).collect()
+    plain = lambda rows: sorted(repr([r[c] for c in ("seq", "path", "parent", "type", "s", "x", "n")]) for r in rows)
+    assert plain(known) == plain(walked)
+    order = lambda rows: [r["path"] for r in sorted(rows, key=lambda r: (r["seq"], r["ord"]))]
+    assert order(known) == order(walked)
+    # Shapes that don't tell the paths, or kinds, are walked.
+    for odd in ('{"a": [1, "x"]}', '{"a": {"$oid": "b"}}', "{\"a'b\": 1}"):
+        more = docs.unionAll(spark.createDataFrame([(10, odd)], "seq long, t string").select("seq", F.parse_json("t").alias("v")))
+        assert W.surveyed(more)[1] is None and W.facts(more).count() > len(walked)
+    many = spark.range(150).select(F.col("id").alias("seq"), F.parse_json(F.concat(F.lit('{"k'), F.col("id"), F.lit('": 1}'))).alias("v"))
+    assert W.surveyed(many)[1] is None and W.facts(many).select("path").distinct().count() == 150
+
+
+def test_keys_of_one_object_are_not_dealt_to_one_task(spark):
+    """Fields meet their container where they are."""
+    rows = spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") == 0, "slots").otherwise(F.concat(F.lit("slots.k"), "id")).alias("path"), F.when(F.col("id") == 0, "").otherwise("slots.").alias("parent"), F.lit(1).cast("long").alias("present"),
+        F.create_map(F.when(F.col("id") == 0, "object").otherwise("int"), F.lit(10).cast("long")).alias("types"),
+    )
+    filled = P.with_fill(rows, 10)
+    sizes = [r["count"] for r in filled.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) == 750 and filled.agg(F.count_if(F.col("fill") == 0.1)).first()[0] == 3000
