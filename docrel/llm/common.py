@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -15,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize, shared_dir  # noqa: F401
+
 #: What separates words: space and the ASCII controls 0x09 to 0x0D. bytes.split() uses the same six bytes.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lower-cases A-Z and nothing else.
@@ -28,22 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder where that is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docrel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docrel-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def files_for(df: DataFrame, rows: int) -> int:
     """To how many partitions to coalesce what is made from df (a table, so that its count is cheap) before it is written:
     one for each ``rows`` rows of df, no fewer than keep all cores busy. A file of few rows costs far more than they do."""

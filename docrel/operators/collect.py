@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.infer import Profile
 from ..plans.nesting import Plan, build_plan, describe_shape
+from ..shared import materialize
 from .profile import MAX_PATHS, first_rows, maps, outside, profile_facts, profile_paths, profile_typed, with_fill
 from .walk import facts
 
@@ -16,15 +17,15 @@ def profile_documents(docs: DataFrame, max_paths: int = MAX_PATHS) -> tuple[Data
     """Profile rows with fill, and the number of documents."""
     docs = docs.persist()
     documents = docs.count()
-    # Held, as its rows meet those of their containers and the documents would be walked for both.
-    return with_fill(profile_facts(facts(docs), max_paths=max_paths).persist(), documents), documents
+    # Written, as its rows meet those of their containers and the documents would be walked for both.
+    return with_fill(materialize(profile_facts(facts(docs), max_paths=max_paths)), documents), documents
 
 
 def document_maps(docs: DataFrame, min_keys: int = 30, max_fill: float = 0.2) -> DataFrame:
     """Objects whose keys are data (see ``maps``), found among all paths, however many."""
     docs = docs.persist()
     documents = docs.count()
-    return maps(with_fill(profile_paths(facts(docs)).persist(), documents).persist(), min_keys, max_fill)
+    return maps(with_fill(materialize(profile_paths(facts(docs))), documents), min_keys, max_fill)
 
 
 def plan_documents(
@@ -42,19 +43,20 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
     paths: objects that have them are found among all paths, and where a collection has more than the limit, what lies
     inside those objects is left out first. nulls: a null v is a document without fields, not an error."""
     docs = docs.persist()
-    counts = docs.groupBy(*BY).agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("broken")).persist()
+    counts = docs.groupBy(*BY).agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("broken"))
     known = {r["collection"]: r for r in counts.collect()}
+    counts = docs.sparkSession.createDataFrame([(c, r["n"]) for c, r in known.items()], "collection string, n long")
     errors = {} if nulls else {c: f"{r['broken']} documents are not JSON" for c, r in known.items() if r["broken"]}
-    # Held, as its rows meet those of their containers and the documents would be walked for both.
-    walked = profile_paths(facts(docs, by=BY), by=BY).persist()
-    paths = with_fill(walked, counts, BY).persist()
+    # Written, as it is read several times, and plans that hold others in memory are repeated in each other's texts, which
+    # the driver keeps.
+    paths = with_fill(materialize(profile_paths(facts(docs, by=BY), by=BY)), counts, BY)
+    docs.unpersist()
     boxes = found = maps(paths, min_keys, max_fill, BY).persist()
     many = paths.groupBy(*BY).count().where(F.col("count") > MAX_PATHS).select("collection")
     kept = paths
     if not many.isEmpty():
-        walked.unpersist()
         large, small = boxes.join(many, "collection", "left_semi"), boxes.join(many, "collection", "left_anti")
-        large = outside(large, large, BY).persist()
+        large = outside(large, large, BY)
         boxes, kept = large.unionByName(small), outside(paths, large, BY)
     # One path more than the limit tells whether any was left out.
     rows = first_rows(kept, MAX_PATHS + 1, BY).persist()
@@ -72,7 +74,7 @@ def _plan_all(docs, names, nesting="deep", schema="dbo", min_keys=30, max_fill=0
         profile = Profile.of_rows(by_name.get(name, []), known[name]["n"] if name in known else 0, name in cut)
         own = {p: i for p, i in infos.get(name, {}).items() if p in profile.stats}
         plans[name] = (build_plan(profile, name, schema, own, nesting, headroom), profile)
-    for held in (rows, found, paths, walked, counts, docs):
+    for held in (rows, found):
         held.unpersist()
     return plans, errors
 

@@ -229,12 +229,15 @@ def maps(filled: DataFrame, min_keys: int = 30, max_fill: float = 0.2, by: tuple
     kids = direct_children(filled)
     found = kids.groupBy(*owner).agg(
         F.count("*").alias("keys"),
-        F.avg("fill").alias("avg_fill"),
+        F.sum("present").alias("present"),
         F.max(utf16_len(F.col("key"))).alias("key_max_utf16"),
         F.max("max_utf16").alias("value_max_utf16"),
     )
-    found = found.where((F.col("keys") >= min_keys) & (F.col("avg_fill") <= max_fill))
-    found = found.join(filled.where("dominant = 'object'").select(*by, F.col("path").alias("owner")), owner, "left_semi")
+    objects = filled.where("dominant = 'object'").select(*by, F.col("path").alias("owner"), F.element_at("types", F.lit("object")).alias("visits"))
+    # The mean of present / visits, without the errors that many small fractions add up to.
+    fill = F.col("present") / (F.col("keys") * F.col("visits"))
+    found = found.where(F.col("keys") >= min_keys).join(objects, owner).withColumn("avg_fill", fill).where(F.col("avg_fill") <= max_fill)
+    found = found.select(*owner, "keys", "avg_fill", "key_max_utf16", "value_max_utf16")
     counted = kids.select(*owner, F.explode(F.map_filter("types", lambda t, _: t != "null")).alias("type", "n")).groupBy(*owner, "type").agg(F.sum("n").alias("n"))
     types = counted.groupBy(*owner).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("value_types"))
     none = F.create_map().cast("map<string, bigint>")

@@ -357,8 +357,11 @@ def test_keys_of_one_object_are_not_dealt_to_one_task(spark):
     """Fields meet their container where they are."""
     rows = spark.range(0, 3000, 1, 4).select(
         F.when(F.col("id") == 0, "slots").otherwise(F.concat(F.lit("slots.k"), "id")).alias("path"), F.when(F.col("id") == 0, "").otherwise("slots.").alias("parent"), F.lit(1).cast("long").alias("present"),
-        F.create_map(F.when(F.col("id") == 0, "object").otherwise("int"), F.lit(10).cast("long")).alias("types"),
+        F.create_map(F.when(F.col("id") == 0, "object").otherwise("int"), F.lit(10).cast("long")).alias("types"), F.when(F.col("id") == 0, "object").otherwise("int").alias("dominant"), F.lit(0).cast("long").alias("max_utf16"),
     )
     filled = P.with_fill(rows, 10)
     sizes = [r["count"] for r in filled.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) == 750 and filled.agg(F.count_if(F.col("fill") == 0.1)).first()[0] == 3000
+    (box,) = P.maps(filled).collect()
+    # Exactly: a sum of 2999 tenths is not 299.9.
+    assert (box["path"], box["keys"], box["avg_fill"], box["key_max_utf16"], box["value_types"]) == ("slots", 2999, 0.1, 5, {"int": 29990})
