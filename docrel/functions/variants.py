@@ -173,3 +173,20 @@ def coerce(v: Column, sql_type: str, kind: Column | None = None) -> tuple[Column
     if width is None:
         return text, F.lit(False)
     return clip_utf16(text, width), F.coalesce(utf16_len(text) > width, F.lit(False))
+
+
+def coerce_shaped(v: Column, sql_type: str, shape: Column) -> tuple[Column, Column]:
+    """The same as ``coerce``. shape: a column with schema_of_variant(v). Values that are of the declared type already take a
+    short way; all others are coerced inside a lambda, so that the generated code stays small enough for the JVM to compile."""
+    base, width = sql_type.partition("(")[0].upper(), width_of(sql_type)
+    number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL(")
+    whole = F.try_variant_get(v, "$", "bigint")
+    plain = {"INT": (shape == "BIGINT", whole.try_cast("int")), "BIGINT": (shape == "BIGINT", whole), "FLOAT": (number, _finite(F.try_variant_get(v, "$", "double")))}
+    text = base not in ("BIT", "INT", "BIGINT", "FLOAT", "DECIMAL", "VARBINARY") and not base.startswith("DATETIME")
+    if text:
+        plain[base] = (shape == "STRING", F.try_variant_get(v, "$", "string"))
+    others = F.transform(F.array(v), lambda x: as_text(x) if text else coerce(x, sql_type)[0])[0]
+    found = F.when(*plain[base]).when(v.isNotNull(), others) if base in plain else F.when(v.isNotNull(), others)
+    if not text or width is None:
+        return found, F.lit(False)
+    return clip_utf16(found, width), F.coalesce(utf16_len(found) > width, F.lit(False))

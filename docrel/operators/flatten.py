@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_utf16, utf16_len
-from ..functions.variants import coerce, label, width_of
+from ..functions.variants import coerce, coerce_shaped, label, width_of
 from ..plans.nesting import ROOT_KEY, Plan, PlanTable
 
 
@@ -49,17 +49,16 @@ def without_key(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _projected(df: DataFrame, lead: list[Column], value: Column, table: PlanTable, base: str) -> DataFrame:
-    """Values, then their shapes, then their kinds, then typed columns: each is computed once per row."""
+    """Values, then their shapes, then typed columns: each is computed once per row."""
     columns = [c for c in table.columns if table.kind != "root" or c.name != ROOT_KEY]
     found = df.select(*lead, *[at(value, c.path.removeprefix(base).lstrip(".")).alias(f"__v{k}") for k, c in enumerate(columns)])
     shaped = found.withColumns({f"__s{k}": F.schema_of_variant(f"__v{k}") for k in range(len(columns))})
-    kinds = shaped.withColumns({f"__k{k}": label(F.col(f"__v{k}"), F.col(f"__s{k}")) for k in range(len(columns))})
     out, clipped = [c for c in found.columns if not c.startswith("__v")], F.lit(0)
     for k, c in enumerate(columns):
-        typed, cut = coerce(F.col(f"__v{k}"), c.sql_type, F.col(f"__k{k}"))
+        typed, cut = coerce_shaped(F.col(f"__v{k}"), c.sql_type, F.col(f"__s{k}"))
         out.append(typed.alias(c.name))
         clipped = clipped + cut.cast("int")
-    return kinds.select(*out, clipped.alias("__clipped"))
+    return shaped.select(*out, clipped.alias("__clipped"))
 
 
 def root_rows(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -68,15 +67,12 @@ def root_rows(docs: DataFrame, plan: Plan) -> DataFrame:
 
 def elements(docs: DataFrame, source: str, indexes: tuple[str, ...]) -> DataFrame:
     """One row per element of the array at ``source`` (with [] at each array on the way): __key, positions, __v."""
-    spark, levels = docs.sparkSession, (source + "[]").split("[]")[:-1]
+    levels = (source + "[]").split("[]")[:-1]
     df, value = docs, F.col("v")
     for k, level in enumerate(levels):
-        boxed = df.withColumn("__box", at(value, level.lstrip(".")))
-        boxed = boxed.where(label(F.col("__box")) == "array")
-        kept = [c for c in boxed.columns if c in ("__key", "seq") or c in indexes[:k]]
-        df = boxed.select(*kept, "__box").lateralJoin(spark.tvf.variant_explode(F.col("__box").outer())).select(
-            *kept, F.col("pos").alias(indexes[k]), F.col("value").alias("__v")
-        )
+        kept = [c for c in df.columns if c in ("__key", "seq") or c in indexes[:k]]
+        box = at(value, level.lstrip("."))
+        df = df.select(*kept, F.posexplode(F.try_variant_get(box, "$", "array<variant>")).alias(indexes[k], "__v"))
         value = F.col("__v")
     return df
 

@@ -365,3 +365,16 @@ def test_keys_of_one_object_are_not_dealt_to_one_task(spark):
     (box,) = P.maps(filled).collect()
     # Exactly: a sum of 2999 tenths is not 299.9.
     assert (box["path"], box["keys"], box["avg_fill"], box["key_max_utf16"], box["value_types"]) == ("slots", 2999, 0.1, 5, {"int": 29990})
+
+
+def test_short_way_of_coercion_agrees(spark):
+    from docrel.functions.variants import coerce, coerce_shaped
+
+    values = [
+        "1", "-3000000000", "123456789012345678901", "2.5", "17.0", "1e400", "1e3", '"12"', '"true"', '"\U0001f600\U0001f600x"', "null", "true", "[1]", '{"a": 1}', '{"$oid": "0123456789abcdef01234567"}',
+        '{"$numberLong": "5"}', '{"$numberDecimal": "-7.9"}', '{"$date": "2024-01-01T00:00:00Z"}', '{"$binary": {"base64": "AQI="}}', None,
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(values)], "k int, t string").select("k", F.parse_json("t").alias("v")).withColumn("s", F.schema_of_variant("v")).persist()
+    for kind in ("BIT", "INT", "BIGINT", "FLOAT", "DECIMAL(38, 6)", "DATETIME2(3)", "VARBINARY(MAX)", "NVARCHAR(3)", "NVARCHAR(MAX)", "CHAR(24)"):
+        pick = lambda pair: [repr(tuple(r)) for r in rows.orderBy("k").select(pair[0], pair[1]).collect()]
+        assert pick(coerce_shaped(F.col("v"), kind, F.col("s"))) == pick(coerce(F.col("v"), kind)), kind
